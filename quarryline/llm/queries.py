@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encoded
 from .common import documents
 from .exact_dedup import exact_groups
+from .licenses import scanned
 from .packing import packed
 from .quality import repetition
 from . import substring_dedup, suffix_dedup
@@ -17,6 +18,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned(documents(spark, sf_dir)).drop("detections")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -38,7 +43,7 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op4_byte_bpe, op5_suffix_dedup, op6_quality, op7_packing, op8_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_licenses, op4_byte_bpe, op5_suffix_dedup, op6_quality, op7_packing, op8_exact_dedup)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
