@@ -10,6 +10,7 @@ from .common import documents
 from .exact_dedup import exact_groups
 from .licenses import scanned
 from .packing import packed
+from .pii import reported
 from .quality import repetition
 from . import substring_dedup, suffix_dedup
 
@@ -43,7 +44,11 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_licenses, op4_byte_bpe, op5_suffix_dedup, op6_quality, op7_packing, op8_exact_dedup)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reported(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_licenses, op4_byte_bpe, op5_suffix_dedup, op6_quality, op7_packing, op8_exact_dedup, op10_pii)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
