@@ -9,6 +9,7 @@ from .byte_bpe import encoded
 from .common import documents
 from .exact_dedup import exact_groups
 from .licenses import scanned
+from .near_dedup import near_groups
 from .packing import packed
 from .pii import reported
 from .quality import repetition
@@ -44,11 +45,15 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir)).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reported(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_licenses, op4_byte_bpe, op5_suffix_dedup, op6_quality, op7_packing, op8_exact_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_licenses, op4_byte_bpe, op5_suffix_dedup, op6_quality, op7_packing, op8_exact_dedup, op9_near_dedup, op10_pii)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
