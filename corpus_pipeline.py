@@ -1,29 +1,58 @@
-"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again."""
+"""The corpus pipeline: stages over ``documents``, each written as Parquet and read again.
+
+Every stage but the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarryline.llm.common import documents, written
+from quarryline.llm.common import documents, ship, written
 from quarryline.llm.exact_dedup import drop_exact_copies
+from quarryline.llm.language import accepted, trained
+from quarryline.llm.near_dedup import drop_near_copies
 from quarryline.llm.packing import packed
+from quarryline.llm.pii import redacted
+
+#: Documents whose language has a lower mean probability are rejected; four languages at chance have 0.25.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without a determined language."""
+    return accepted(docs, trained(docs), LEAST_SCORE)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of equal texts, the row with the largest doc_id."""
     return drop_exact_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps, of each class of near copies, the row with the smallest doc_id."""
+    return drop_near_copies(docs)
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by the name of its kind; ``n_chars`` follows the text."""
+    out = redacted(docs)
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token ids."""
     return packed(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup), ("packing", packing)]
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
 
-#: Models and tokenizers take part, which SQL can't express.
+#: A trained network, boosted trees and a tokenizer take part, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)

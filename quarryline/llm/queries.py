@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import encoded
 from .common import documents
 from .exact_dedup import exact_groups
+from .language import held_out, identified, trained
 from .licenses import scanned
 from .near_dedup import near_groups
 from .packing import packed
@@ -24,6 +25,12 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(documents(spark, sf_dir)).drop("detections")
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    out = identified(docs, trained(docs))
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(True)).alias("held_out"), "lang_pred", "score")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(documents(spark, sf_dir)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
@@ -53,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reported(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_licenses, op4_byte_bpe, op5_suffix_dedup, op6_quality, op7_packing, op8_exact_dedup, op9_near_dedup, op10_pii)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_licenses, op3_language, op4_byte_bpe, op5_suffix_dedup, op6_quality, op7_packing, op8_exact_dedup, op9_near_dedup, op10_pii)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
