@@ -94,12 +94,12 @@ def with_group(members: DataFrame, groups: DataFrame, keys: list[str], size: str
     rest = [c for c in groups.columns if c not in keys]
     heavy = groups.filter(F.col(size) > limit).select(*keys, F.struct(*rest).alias("__heavy"))
     light = groups.filter(F.col(size) <= limit).select(
-        *[F.col(k).alias(f"__l_{k}") for k in keys], F.lit(0).cast("long").alias("__l_salt"), F.struct(*rest).alias("__light")
+        *[F.col(k).alias(f"__l_{k}") for k in keys], F.xxhash64(*keys).alias("__l_salt"), F.struct(*rest).alias("__light")
     )
     at = members.join(F.broadcast(heavy), keys, "left")
     hit = F.col("__heavy").isNotNull()
     row = F.xxhash64(*[F.col(c) for c in members.columns])
-    at = at.withColumn("__salt", F.when(hit, row.bitwiseOR(F.lit(1).cast("long"))).otherwise(F.lit(0).cast("long")))
+    at = at.withColumn("__salt", F.when(hit, row).otherwise(F.xxhash64(*keys)))
     on = F.col("__salt") == F.col("__l_salt")
     for k in keys:
         on = on & (F.when(~hit, F.col(k)) == F.col(f"__l_{k}"))
