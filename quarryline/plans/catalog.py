@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from ..functions import jsonish, tensors, text
 from ..operators import chunks, continuity, lineage, metering, planning, vectors
+from ..shipping import ship
 from ..streaming import events as streams
 from .predicate import query, typed_fields, where
 
@@ -24,6 +25,7 @@ SINCE = "2024-01-15 00:00:00"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
