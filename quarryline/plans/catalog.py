@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions import jsonish, tensors, text
+from ..functions import formulas, jsonish, tensors, text
 from ..operators import chunks, continuity, lineage, metering, planning, vectors
 from ..shipping import ship
+from ..sources import sinks
 from ..streaming import events as streams
 from .predicate import query, typed_fields, where
 
@@ -769,3 +770,120 @@ def session_window(spark, sf_dir):
 @registered("SELECT event_type, COUNT(*) AS n, COUNT(*) FILTER (WHERE value > 90) AS breaches FROM events GROUP BY 1")
 def service_breaches(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 90).alias("breaches"))
+
+
+# --- planning formulas, gates and documents --------------------------------------------------------------
+
+
+@registered("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity / SUM(l_quantity) OVER (PARTITION BY l_orderkey), 9) AS weight FROM lineitem")
+def ensemble_weights(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(formulas.normalized(F.col("l_quantity"), "l_orderkey"), 9).alias("weight"))
+
+
+@registered("SELECT CAST(floor(p_size / 13.0) AS INT) AS part_no, MIN(p_size) AS first_layer, MAX(p_size) AS last_layer, COUNT(*) AS n FROM part GROUP BY 1")
+def split_ranges(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("part_no", formulas.layer_bucket(F.col("p_size"), 51, 4))
+    return p.groupBy("part_no").agg(F.min("p_size").alias("first_layer"), F.max("p_size").alias("last_layer"), F.count("*").alias("n"))
+
+
+@registered("""WITH t AS (SELECT p_partkey, n_nationkey, round(p_size * CAST(n_nationkey % 10 AS DOUBLE) / 10, 3) AS cached_gb, p_size FROM part JOIN nation ON p_partkey % 25 = n_nationkey)
+    SELECT p_partkey, n_nationkey, cached_gb, round(p_size - cached_gb, 3) AS transfer_gb, CAST(ceil(round(p_size - cached_gb, 3) * 1024 / 64) AS BIGINT) AS chunks FROM t""")
+def cdn_plan(spark, sf_dir):
+    p = table(spark, sf_dir, "part").withColumn("n_nationkey", (F.col("p_partkey") % 25).cast("int"))
+    rows = p.join(F.broadcast(table(spark, sf_dir, "nation")), "n_nationkey")
+    t = formulas.transfer(F.col("p_size").cast("double"), (F.col("n_nationkey") % 10).cast("double") / 10, F.lit(0.02), 64.0)
+    return rows.select("p_partkey", "n_nationkey", *[t[k].alias(k) for k in ("cached_gb", "transfer_gb", "chunks")])
+
+
+@registered("SELECT event_id, CAST(ceil(value * 1000 / 250) AS BIGINT) AS chunks, CAST(floor(value) AS BIGINT) * 2 * 32 * 8 * 128 * 2 AS kv_bytes FROM events")
+def stream_and_cache_sizes(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", formulas.stream_chunks(F.col("value") * 1000, 250).alias("chunks"), formulas.cache_bytes(F.floor("value"), 32, 8, 128).alias("kv_bytes"))
+
+
+@registered("SELECT o_orderkey, TIMESTAMP '1998-06-01' > o_orderdate + INTERVAL '48 hours' AS expired FROM orders")
+def lease_expiry(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", formulas.expired(F.col("o_orderdate"), 48, F.lit("1998-06-01").cast("timestamp")).alias("expired"))
+
+
+@registered("""SELECT p_partkey, CASE WHEN contains(p_type, 'ECONOMY') THEN 8 WHEN contains(p_type, 'PROMO') THEN 16 ELSE 4 END AS bits, round(0.25::DOUBLE / (2 * power(p_size, 2)), 9) AS rho, round(0.5::DOUBLE / p_size, 9) AS laplace FROM part""")
+def quantize_and_noise(spark, sf_dir):
+    kind = F.when(F.contains("p_type", F.lit("ECONOMY")), "embedding").when(F.contains("p_type", F.lit("PROMO")), "norm").otherwise("mlp")
+    return table(spark, sf_dir, "part").select("p_partkey", formulas.quant_bits(kind).alias("bits"), F.round(formulas.zcdp(0.5, F.col("p_size")), 9).alias("rho"), F.round(formulas.laplace_scale(0.5, F.col("p_size")), 9).alias("laplace"))
+
+
+@registered("""WITH a AS (SELECT p_brand, AVG(p_size) AS x FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), b AS (SELECT p_brand, AVG(p_size) AS y FROM part WHERE p_partkey % 2 = 1 GROUP BY 1)
+    SELECT p_brand, round(y - x, 6) AS delta, row_number() OVER (ORDER BY abs(round(y - x, 6)) DESC, p_brand) AS rk FROM a JOIN b USING (p_brand)""")
+def feature_drift(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    mean = lambda k, n: p.filter(f"p_partkey % 2 = {k}").groupBy("p_brand").agg(F.avg("p_size").alias(n))
+    d = mean(0, "x").join(mean(1, "y"), "p_brand").select("p_brand", F.round(F.col("y") - F.col("x"), 6).alias("delta"))
+    return d.withColumn("rk", F.row_number().over(W.orderBy(F.abs("delta").desc(), "p_brand")))  # a row a brand
+
+
+@registered("SELECT s_nationkey, string_agg(CAST(s_suppkey AS VARCHAR), ',' ORDER BY lpad(CAST(s_suppkey AS VARCHAR), 9, '0')) AS adapters, COUNT(*) AS n FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
+def adapter_list(spark, sf_dir):
+    ids = F.transform(F.array_sort(F.collect_list(F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))), lambda x: x.cast("long").cast("string"))
+    return table(spark, sf_dir, "supplier").filter("s_acctbal > 0").groupBy("s_nationkey").agg(F.array_join(ids, ",").alias("adapters"), F.count("*").alias("n"))
+
+
+@registered("SELECT c_custkey, n_name IS NOT NULL AS pinned, COALESCE(r_name, 'unpinned') AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 2 LEFT JOIN region ON r_regionkey = n_regionkey")
+def geo_pin(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").filter("n_regionkey != 2").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    return c.select("c_custkey", F.col("n_name").isNotNull().alias("pinned"), F.coalesce("r_name", F.lit("unpinned")).alias("region"))
+
+
+@registered("""SELECT o_custkey, bool_and(o_totalprice > 0) AS has_value, bool_and(o_orderstatus IN ('F', 'O', 'P')) AS known_status, CASE WHEN COUNT(*) < 3 THEN 'INCONCLUSIVE' WHEN bool_and(o_totalprice > 1500) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM orders GROUP BY 1""")
+def integrity_gate(spark, sf_dir):
+    every = lambda c: F.every(c)
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(every(F.col("o_totalprice") > 0).alias("has_value"), every(F.col("o_orderstatus").isin("F", "O", "P")).alias("known_status"), F.when(F.count("*") < 3, "INCONCLUSIVE").when(every(F.col("o_totalprice") > 1500), "PASS").otherwise("FAIL").alias("verdict"))
+
+
+@registered("""SELECT conv_id, COUNT(*) AS steps, COUNT(*) FILTER (WHERE role = 'user') AS user_steps, sha256(string_agg(sha256(text), '|' ORDER BY turn)) AS session_hash FROM conversations GROUP BY 1""")
+def session_state(spark, sf_dir):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", F.sha2("text", 256).alias("h")))), lambda x: x["h"])
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("steps"), F.count_if(F.col("role") == "user").alias("user_steps"), F.sha2(F.array_join(ordered, "|"), 256).alias("session_hash"))
+
+
+@registered("SELECT doc_id, 'sha256:' || sha256(text) AS artifact_id, length(text) AS size FROM documents")
+def emit_artifact(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    a = sinks.artifacts(d, F.col("doc_id"), F.col("text"))
+    return a.select(F.col("name").alias("doc_id"), "artifact_id", "size")
+
+
+@registered("SELECT substr(sha256(text), 1, 2) AS prefix, COUNT(*) AS files, COUNT(DISTINCT sha256(text)) AS kinds FROM documents GROUP BY 1")
+def ingest_layout(spark, sf_dir):
+    h = F.sha2("text", 256)
+    return table(spark, sf_dir, "documents").groupBy(F.substring(h, 1, 2).alias("prefix")).agg(F.count("*").alias("files"), F.count_distinct(h).alias("kinds"))
+
+
+@registered()
+def compress_family(spark, sf_dir):
+    return sinks.compression(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@registered()
+def fail_vectors(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"run": [{"id": '), F.col("event_id").cast("string"), F.lit(', "verdict": "'), F.when(F.col("event_type") == "error", "CONTINUITY_FAIL").otherwise("PASS"), F.lit('"}]}')).alias("doc"))
+    return jsonish.found(e, "event_id", "doc", "verdict", "CONTINUITY_FAIL")
+
+
+@registered("SELECT p_partkey, '# ' || p_name || chr(10) || chr(10) || 'Type ' || lower(p_type) || ', size ' || CAST(p_size AS VARCHAR) || '.' AS narration FROM part")
+def narrate_brief(spark, sf_dir):
+    body = F.concat(F.lit("Type "), F.lower("p_type"), F.lit(", size "), F.col("p_size").cast("string"), F.lit("."))
+    return table(spark, sf_dir, "part").select("p_partkey", text.narration(F.col("p_name"), body).alias("narration"))
+
+
+@registered("""SELECT p_partkey, CASE WHEN contains(p_name, 'small') THEN 'tiny' WHEN contains(p_type, 'STANDARD') THEN 'standard' WHEN p_size > 40 THEN 'bulk' ELSE 'other' END AS kind FROM part""")
+def classify_first_match(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.contains("p_name", F.lit("small")), "tiny").when(F.contains("p_type", F.lit("STANDARD")), "standard").when(F.col("p_size") > 40, "bulk").otherwise("other").alias("kind"))
+
+
+@registered("""WITH RECURSIVE d AS (SELECT p_partkey AS step, CASE WHEN p_partkey > 0 THEN p_partkey // 2 END AS dep FROM part WHERE p_partkey < 64),
+    t AS (SELECT step, 0 AS depth FROM d WHERE dep IS NULL UNION ALL SELECT d.step, t.depth + 1 FROM d JOIN t ON d.dep = t.step) SELECT step, CAST(depth AS INT) AS depth FROM t""")
+def pipeline_depth(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").filter("p_partkey < 64").select(F.col("p_partkey").alias("step"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 2)).alias("dep"))
+    rows.createOrReplaceTempView("plan_steps")
+    return spark.sql("WITH RECURSIVE t(step, depth) AS (SELECT step, 0 FROM plan_steps WHERE dep IS NULL UNION ALL SELECT d.step, t.depth + 1 FROM plan_steps d JOIN t ON d.dep = t.step) SELECT step, depth FROM t")

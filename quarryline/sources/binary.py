@@ -110,12 +110,85 @@ def range_of(content: str, start: int, end: int):
     return F.substring(content, start + 1, end - start)
 
 
-# --- a compact binary form of proof graphs: string table, 32-byte hashes, delta edges ---------------
-
-_MAGIC = b"QLPRF01\x00"
+# --- binary manifests, packs and proofs: fixed layouts, little-endian ------------------------------
+
+#: The first bytes of each format and the sizes of its records.
+MANIFEST_MAGIC, PACK_MAGIC, PROOF_MAGIC = b"AKMBIN01", b"AKPACKV2", b"AKPRF01\x00"
+_CHUNK = np.dtype([("hash", "V32"), ("offset", "<u8"), ("size", "<u4"), ("refs", "<u4")])
+_REGION = np.dtype([("name", "<u4"), ("first", "<u4"), ("count", "<u4"), ("size", "<u8")])
+_NODE = np.dtype([("hash", "<u4"), ("type", "<u4"), ("label", "<u4")])
+_PROOF_HEAD = struct.Struct("<8sHHIIIII")
+
+
+def manifest_packed(chunk_rows: list[tuple[str, int, int, int]], regions: list[tuple[str, int, int, int]]) -> bytes:
+    """Chunks (hex hash, offset, size, refs) and regions (name, first chunk, chunks, size) as one binary manifest."""
+    places: dict[str, int] = {}
+    names = bytearray()
+    for name, *_ in regions:
+        if name not in places:
+            places[name] = len(names)
+            names += name.encode() + b"\0"
+    one = np.array([(bytes.fromhex(h), o, s, r) for h, o, s, r in chunk_rows], _CHUNK)
+    two = np.array([(places[n], f, c, s) for n, f, c, s in regions], _REGION)
+    return MANIFEST_MAGIC + struct.pack("<4I", len(regions), len(chunk_rows), len(names), 1) + one.tobytes() + two.tobytes() + bytes(names)
+
+
+def manifest_unpacked(data: bytes) -> tuple[list[tuple[str, int, int, int]], list[tuple[str, int, int, int]]]:
+    if data[:8] != MANIFEST_MAGIC:
+        raise ValueError("not a binary manifest")
+    n_regions, n_chunks, n_names, _ = struct.unpack_from("<4I", data, 8)
+    one = np.frombuffer(data, _CHUNK, n_chunks, 24)
+    at = 24 + one.nbytes
+    two = np.frombuffer(data, _REGION, n_regions, at)
+    names = data[at + two.nbytes : at + two.nbytes + n_names]
+    named = lambda start: names[start : names.index(b"\0", start)].decode()
+    return (
+        [(bytes(c["hash"]).hex(), int(c["offset"]), int(c["size"]), int(c["refs"])) for c in one],
+        [(named(int(r["name"])), int(r["first"]), int(r["count"]), int(r["size"])) for r in two],
+    )
+
+
+def pack_index(data: bytes) -> tuple[dict, list[tuple[str, int, int, int]], list[tuple[str, int, int, int]], int]:
+    """A pack's metadata, chunks, regions and where its payload starts."""
+    if data[:8] != PACK_MAGIC:
+        raise ValueError("not a pack")
+    n_meta, n_manifest = struct.unpack_from("<2Q", data, 8)
+    start = 24 + n_meta
+    return (json.loads(data[24:start]), *manifest_unpacked(data[start : start + n_manifest]), start + n_manifest)
+
+
+def pack_packed(files: dict[str, list[bytes]]) -> bytes:
+    """A pack of files given as chunks: equal chunks are stored once, smallest first."""
+    import hashlib
+
+    uses: dict[str, int] = {}
+    body: dict[str, bytes] = {}
+    for parts in files.values():
+        for p in parts:
+            h = hashlib.sha256(p).hexdigest()
+            uses[h] = uses.get(h, 0) + 1
+            body[h] = p
+    order = sorted(body, key=lambda h: (len(body[h]), h))
+    offsets = dict(zip(order, np.concatenate([[0], np.cumsum([len(body[h]) for h in order])]).tolist()))
+    regions, first = [], 0
+    for name, parts in files.items():
+        regions.append((name, first, len(parts), sum(map(len, parts))))
+        first += len(parts)
+    refs = [[order.index(hashlib.sha256(p).hexdigest()) for p in parts] for parts in files.values()]
+    meta = json.dumps({"files": [{"name": n, "chunk_refs": r} for n, r in zip(files, refs)]}).encode()
+    manifest = manifest_packed([(h, offsets[h], len(body[h]), uses[h]) for h in order], regions)
+    return PACK_MAGIC + struct.pack("<2Q", len(meta), len(manifest)) + meta + manifest + b"".join(body[h] for h in order)
+
+
+def pack_files(data: bytes) -> dict[str, bytes]:
+    """The files of a pack, put together from its chunks."""
+    meta, chunk_rows, _, start = pack_index(data)
+    part = lambda i: data[start + chunk_rows[i][1] : start + chunk_rows[i][1] + chunk_rows[i][2]]
+    return {f["name"]: b"".join(map(part, f["chunk_refs"])) for f in meta["files"]}
 
 
 def _put(n: int) -> bytes:
+    """Unsigned LEB128."""
     out = bytearray()
     while n >= 0x80:
         out.append(n & 0x7F | 0x80)
@@ -132,41 +205,59 @@ def _get(data: bytes, at: int) -> tuple[int, int]:
             return n, at
 
 
-def proof_packed(nodes: list[tuple[str, str]], edges: list[tuple[int, int]]) -> bytes:
-    """``nodes``: (hex hash, label); ``edges``: indexes of nodes."""
-    labels = sorted({label for _, label in nodes})
-    out = bytearray(_MAGIC + _put(len(labels)))
-    for label in labels:
-        raw = label.encode()
-        out += _put(len(raw)) + raw
-    out += _put(len(nodes))
-    for h, label in nodes:
-        out += bytes.fromhex(h) + _put(labels.index(label))
-    out += _put(len(edges))
-    for a, b in edges:
-        out += _put(a) + _put(b)
-    return bytes(out)
-
-
-def proof_unpacked(data: bytes) -> tuple[list[tuple[str, str]], list[tuple[int, int]]]:
-    if data[:8] != _MAGIC:
+def proof_packed(nodes: list[tuple[str, str, str]], edges: list[tuple[int, int]], meta: dict | None = None) -> bytes:
+    """Nodes (hex hash, type, label) and edges (indexes of nodes): string table, hashes, node table, varint edges, metadata."""
+    strings = list(dict.fromkeys(s for _, *pair in nodes for s in pair))
+    place = {s: i for i, s in enumerate(strings)}
+    table = b"".join(struct.pack("<H", len(s.encode())) + s.encode() for s in strings)
+    rows = np.array([(i, place[t], place[x]) for i, (_, t, x) in enumerate(nodes)], _NODE)
+    more = json.dumps(meta or {}, separators=(",", ":")).encode()
+    head = _PROOF_HEAD.pack(PROOF_MAGIC, 1, 0, len(strings), len(nodes), len(edges), len(nodes), len(more))
+    return head + table + b"".join(bytes.fromhex(h) for h, *_ in nodes) + rows.tobytes() + b"".join(_put(a) + _put(b) for a, b in edges) + more
+
+
+def proof_unpacked(data: bytes) -> tuple[list[tuple[str, str, str]], list[tuple[int, int]], dict]:
+    magic, version, _, n_strings, n_hashes, n_edges, n_nodes, n_meta = _PROOF_HEAD.unpack_from(data)
+    if magic != PROOF_MAGIC or version != 1:
         raise ValueError("not a packed proof")
-    n, at = _get(data, 8)
-    labels = []
-    for _ in range(n):
-        size, at = _get(data, at)
-        labels.append(data[at : at + size].decode())
-        at += size
-    n, at = _get(data, at)
-    nodes = []
-    for _ in range(n):
-        h, at = data[at : at + 32].hex(), at + 32
-        k, at = _get(data, at)
-        nodes.append((h, labels[k]))
-    n, at = _get(data, at)
+    at, strings = _PROOF_HEAD.size, []
+    for _ in range(n_strings):
+        (size,) = struct.unpack_from("<H", data, at)
+        strings.append(data[at + 2 : at + 2 + size].decode())
+        at += 2 + size
+    hashes = [data[at + 32 * i : at + 32 * i + 32].hex() for i in range(n_hashes)]
+    at += 32 * n_hashes
+    rows = np.frombuffer(data, _NODE, n_nodes, at)
+    at += rows.nbytes
     edges = []
-    for _ in range(n):
+    for _ in range(n_edges):
         a, at = _get(data, at)
         b, at = _get(data, at)
         edges.append((a, b))
-    return nodes, edges
+    return [(hashes[r["hash"]], strings[r["type"]], strings[r["label"]]) for r in rows], edges, json.loads(data[at : at + n_meta])
+
+
+def _exploded(spark: SparkSession, path: str, schema: str, rows) -> DataFrame:
+    names = [c.strip().split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame([(p, *r) for p, c in zip(pdf["path"], pdf["content"]) for r in rows(bytes(c))], columns=names)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, schema)
+
+
+def pack_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return _exploded(spark, path, "path string, hash string, offset long, size long, refs long", lambda d: pack_index(d)[1])
+
+
+def pack_regions(spark: SparkSession, path: str) -> DataFrame:
+    return _exploded(spark, path, "path string, name string, first_chunk long, chunks long, size long", lambda d: pack_index(d)[2])
+
+
+def proof_nodes(spark: SparkSession, path: str) -> DataFrame:
+    return _exploded(spark, path, "path string, node long, hash string, type string, label string", lambda d: [(i, *n) for i, n in enumerate(proof_unpacked(d)[0])])
+
+
+def proof_edges(spark: SparkSession, path: str) -> DataFrame:
+    return _exploded(spark, path, "path string, from_node long, to_node long", lambda d: proof_unpacked(d)[1])

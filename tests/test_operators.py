@@ -67,9 +67,20 @@ def test_tensor_file(spark, tmp_path):
         binary.tensor_rows("p", struct.pack("<Q", 999) + b"{}")
 
 
-def test_packed_proof():
-    nodes, edges = [("ab" * 32, "put"), ("cd" * 32, "get")], [(0, 1), (1, 1), (300, 2)]
-    assert binary.proof_unpacked(binary.proof_packed(nodes, edges)) == (nodes, edges)
+def test_packed_forms(spark, tmp_path):
+    nodes, edges = [("ab" * 32, "audit-entry", "put"), ("cd" * 32, "event", "get")], [(0, 1), (1, 1), (300, 2)]
+    data = binary.proof_packed(nodes, edges, {"a": 1})
+    assert binary.proof_unpacked(data) == (nodes, edges, {"a": 1})
+    (tmp_path / "p").write_bytes(data)
+    assert binary.proof_nodes(spark, str(tmp_path / "p")).count() == 2 and binary.proof_edges(spark, str(tmp_path / "p")).count() == 3
+    files = {"a": [b"xx", b"yyy"], "b": [b"yyy", b"z"]}
+    pack = binary.pack_packed(files)
+    assert binary.pack_files(pack) == {n: b"".join(p) for n, p in files.items()}
+    (tmp_path / "k").write_bytes(pack)
+    assert [(r.size, r.refs) for r in binary.pack_chunks(spark, str(tmp_path / "k")).orderBy("offset").collect()] == [(1, 1), (2, 1), (3, 2)]
+    assert [r.first_chunk for r in binary.pack_regions(spark, str(tmp_path / "k")).collect()] == [0, 2]
+    with pytest.raises(ValueError):
+        binary.manifest_unpacked(b"x" * 40)
 
 
 def test_logs(spark, tmp_path):
