@@ -235,26 +235,36 @@ def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return network
 
 
+def _judged(network: Network | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Language and score of each text of a column."""
+    texts = column.to_pylist()
+    lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts])
+    names, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+    if network is not None and lettered.any():
+        p = network.documents(*text_bytes(column))
+        best = p.argmax(1)
+        names[lettered] = np.array(network.classes, object)[best[lettered]]
+        scores[lettered] = np.clip(p[np.arange(len(p)), best], 0, 1)[lettered]
+    return names, scores
+
+
 def identified(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, lang_pred, score (the language's mean probability)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, most=1 << 20):
-            texts = batch.column(1).to_pylist()
-            lettered = np.array([t is not None and any(map(str.isalpha, t)) for t in texts])
-            names, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
-            if network is not None and lettered.any():
-                p = network.documents(*text_bytes(batch.column(1)))
-                best = p.argmax(1)
-                names[lettered] = np.array(network.classes, object)[best[lettered]]
-                scores[lettered] = np.clip(p[np.arange(len(p)), best], 0, 1)[lettered]
+            names, scores = _judged(network, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, network: Network | None, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is determined with at least the score ``least``, with all their columns."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    judged = identified(numbered, network, "__row", text_col).filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return numbered.join(judged.select(F.col("doc_id").alias("__row")), "__row", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose language is determined with at least the score ``least``, with all their columns; in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text_col, 1 << 20):
+            names, scores = _judged(network, batch.column(batch.schema.get_field_index(text_col)))
+            yield batch.filter(pa.array((names != UNDETERMINED) & (scores >= least)))
+
+    return docs.mapInArrow(run, docs.schema)

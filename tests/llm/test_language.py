@@ -49,5 +49,7 @@ def test_odd_rows(docs, rows, empty):
     assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
     texts = dict(rows)
     assert all((r.lang_pred == "und") == (not any(map(str.isalpha, texts[r.doc_id] or ""))) for r in got if r.doc_id in (5001, 5002, 5003, 5006, 5009, 5011))
+    kept = language.accepted(docs, n, 0.0)
+    assert kept.columns == docs.columns and kept.count() == sum(r.lang_pred != "und" for r in got)
     assert {r.lang_pred for r in language.identified(docs, None).collect()} == {"und"}
     assert language.identified(empty, n).collect() == []
