@@ -14,7 +14,11 @@ weighted Jaccard similarity.
    bag is verified against it, exactly, over the whole texts.
 3. Links make components.  In buckets that still hold bags of different components, all pairs
    other than with the pivot whose signatures agree in at least ``SCREEN`` of the registers are
-   verified as well; large buckets are compared piece by piece in separate tasks.
+   verified as well, each in the first bucket that the pair shares; large buckets are compared
+   piece by piece in separate tasks, and only links leave them.
+
+Texts are dealt by row once, to pick those of bags that share a bucket with another; all
+verification reads that smaller table.
 
 So a link is lost only where banding misses it (5e-8 at the threshold) or the screen does
 (under 1e-5 at the threshold, less above it).
@@ -42,7 +46,7 @@ BANDS, ROWS = 32, 4
 #: Least share of equal registers for a pair without a pivot to be verified.
 SCREEN = 0.65
 #: Bags of one bucket compared in one task.
-PIECE = 512
+PIECE = 1024
 #: Pairs with one pivot verified side by side.
 BESIDE = 64
 
@@ -120,15 +124,27 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags[:, 0].copy()), pa.array(bags[:, 1].copy()), lists, pa.array([s.tobytes() for s in short], pa.binary())], ["row_id", "doc_id", "bag_a", "bag_b", "bands", "signature"])
 
 
+def numbered(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Multisets as sets: the n-th occurrence of a hash in its document gets a hash of its own."""
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    new[at[:-1][at[:-1] < len(hashes)]] = True
+    run = np.maximum.accumulate(np.where(new, np.arange(len(hashes)), 0))
+    return mix(hashes + (np.arange(len(hashes)) - run).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Weighted Jaccard similarity of two sorted multisets."""
+    """Weighted Jaccard similarity of two multisets in the form of ``numbered``."""
     if not len(a) and not len(b):
         return 1.0
-    value, count = np.unique(a, return_counts=True)
-    other, times = np.unique(b, return_counts=True)
-    _, i, j = np.intersect1d(value, other, assume_unique=True, return_indices=True)
-    both = int(np.minimum(count[i], times[j]).sum())
-    return both / (len(a) + len(b) - both)
+    both = np.sort(np.concatenate([a, b]))
+    common = int((both[1:] == both[:-1]).sum())
+    return common / (len(a) + len(b) - common)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two multisets reach the threshold; sizes too far apart can't."""
+    return min(len(a), len(b)) >= THRESHOLD * max(len(a), len(b)) and similarity(a, b) >= THRESHOLD
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,12 +152,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text_b", 1 << 20):
         a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         hashes, at = shingles(*text_bytes(batch.column(3)))
+        hashes = numbered(hashes, at)
         out = []
         for i, x in enumerate(a):
             if x != last:
-                bag, _ = shingles(*text_bytes(batch.column(2).slice(i, 1)))
-                last = x
-            if similarity(bag, hashes[at[i] : at[i + 1]]) >= THRESHOLD:
+                bag, last = numbered(*shingles(*text_bytes(batch.column(2).slice(i, 1)))), x
+            if linked(bag, hashes[at[i] : at[i + 1]]):
                 out.append((x, b[i]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], ["a", "b"])
@@ -152,10 +168,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     many = F.greatest(F.lit(1), F.ceil(F.col("n") / BESIDE)).cast("int")
     sides = pairs.groupBy("a").agg(F.count("*").alias("n"))
     dealt = with_group(pairs, sides, ["a"], "n", pairs.count()).select("a", "b", F.pmod(F.hash("b"), many).alias("salt"))
-    right = dealt.join(texts.select(F.col("row_id").alias("b"), F.col("text").alias("text_b")), "b")
-    left = sides.join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("text_a")), "a")
+    right = dealt.join(texts.select(F.col("row_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
+    left = sides.join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
     left = left.select("a", "text_a", F.explode(F.sequence(F.lit(0), many - 1)).alias("salt"))
-    return right.join(left, ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+    return right.join(left.hint("merge"), ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -176,24 +192,29 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _rest(key, table):
-    """Pairs within a bucket, or between two of its pieces, of different roots and similar signatures."""
+    """Links within a bucket, or between two of its pieces, of rows of different roots."""
     n = table.num_rows
-    bucket, row, root = (table.column(c).to_numpy() for c in ("key", "row_id", "root"))
-    part, side = table.column("own").to_numpy(), table.column("other").to_numpy()
+    bucket, row, root, band, part, side = (table.column(c).to_numpy() for c in ("key", "row_id", "root", "band", "own", "other"))
     signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(n, -1)
+    bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)
+    _, one, of = np.unique(row, return_index=True, return_inverse=True)
+    hashes, at = shingles(*text_bytes(table.column("text").take(pa.array(one))))
+    hashes = numbered(hashes, at)
+    bag = lambda i: hashes[at[of[i]] : at[of[i] + 1]]
     order = np.lexsort([row, bucket])
     cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]]))
     out = []
     for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
-        at = order[s:e]
-        within = part[at[0]] == side[at[0]]
-        left, right = (at, at) if within else (at[part[at] < side[at]], at[part[at] > side[at]])
+        here = order[s:e]
+        within = part[here[0]] == side[here[0]]
+        left, right = (here, here) if within else (here[part[here] < side[here]], here[part[here] > side[here]])
         for i in left.tolist():
             j = right[row[right] > row[i]] if within else right
             j = j[root[j] != root[i]]
             if len(j):
+                j = j[(bands[j] == bands[i]).argmax(1) == band[i]]  # another bucket sees to the pairs of an earlier band
                 j = j[(signature[j] == signature[i]).mean(1) >= SCREEN]
-                out += [(min(int(row[i]), x), max(int(row[i]), x)) for x in row[j].tolist()]
+                out += [(int(row[i]), int(row[x])) for x in j.tolist() if linked(bag(i), bag(x))]
     return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
 
@@ -211,27 +232,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     low = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id")
     bags = written(signed.groupBy("bag_a", "bag_b").agg(F.min(low).alias("first"), F.count("*").alias("rows")), "bags")
     reps = written(signed.join(bags.select(F.col("first.row_id").alias("row_id")), "row_id", "left_semi").select("row_id", "bands", "signature"), "bag_signatures")
-    banded = reps.select("row_id", F.explode("bands").alias("key"))
+    banded = reps.select("row_id", F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = written(with_group(banded, sizes, ["key"], "size", BANDS * total).filter("size is not null"), "buckets")
     n_members = buckets.count()
     score = buckets.groupBy("row_id").agg(F.sum("size").alias("score"))
+    picked = written(texts.select("row_id", "text").join(score.select("row_id").hint("merge"), "row_id", "left_semi"), "texts")
     pivots = buckets.join(score, "row_id").groupBy("key").agg(F.max(F.struct("score", "row_id")).alias("best"), F.count("*").alias("n")).select("key", "n", F.col("best.row_id").alias("pivot"))
-    members = written(with_group(buckets.select("row_id", "key"), pivots, ["key"], "n", n_members), "members")
+    members = written(with_group(buckets.select("row_id", "band", "key"), pivots, ["key"], "n", n_members), "members")
     pairs = written(members.filter("row_id != pivot").select(F.col("pivot").alias("a"), F.col("row_id").alias("b")).distinct(), "pairs")
-    links = written(verified(pairs, texts), "links")
+    links = written(verified(pairs, picked), "links")
     labels = components(links)
 
-    others = members.filter("row_id != pivot and n > 2").join(labels, "row_id", "left").select("key", "row_id", F.coalesce("root", "row_id").alias("root"))
+    others = members.filter("row_id != pivot and n > 2").join(labels, "row_id", "left").select("key", "band", "row_id", F.coalesce("root", "row_id").alias("root"))
     mixed = others.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("left")).filter("lo != hi").select("key", "left")
     rest = written(with_group(others, mixed, ["key"], "left", n_members).filter("left is not null"), "rest")
     if not rest.isEmpty():
         shares = F.ceil(F.col("left") / PIECE).cast("int")
-        own = rest.join(reps.select("row_id", "signature"), "row_id").withColumn("own", F.pmod(F.hash("row_id"), shares))
+        own = rest.join(reps.hint("merge"), "row_id").join(picked.hint("merge"), "row_id").withColumn("own", F.pmod(F.hash("row_id"), shares))
         own = own.withColumn("other", F.explode(F.sequence(F.lit(0), shares - 1)))
         group = F.when(shares == 1, F.pmod(F.xxhash64("key"), F.lit(4 * parts))).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-        tried = own.withColumn("group", group).select("group", "key", "row_id", "root", "signature", "own", "other").groupBy("group").applyInArrow(_rest, "a long, b long").distinct()
-        more = written(verified(written(tried, "more_pairs"), texts), "more_links")
+        tried = own.withColumn("group", group).select("group", "key", "band", "row_id", "root", "bands", "signature", "text", "own", "other")
+        more = written(tried.groupBy("group").applyInArrow(_rest, "a long, b long"), "more_links")
         if not more.isEmpty():
             labels = components(written(links.unionByName(more), "all_links"))
 

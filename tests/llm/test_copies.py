@@ -100,8 +100,9 @@ def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     a = np.sort(np.repeat(rng.integers(0, 1 << 63, 40, dtype=np.uint64), rng.integers(1, 9, 40)))
     b = np.sort(np.concatenate([a[: len(a) * 3 // 4], rng.integers(0, 1 << 63, 20, dtype=np.uint64)]))
-    s = near_dedup.signatures(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 4096)
-    assert (s[0] == s[1]).mean() == pytest.approx(near_dedup.similarity(a, b), abs=0.03)
+    both, at = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+    s, sets = near_dedup.signatures(both, at, 4096), near_dedup.numbered(both, at)
+    assert (s[0] == s[1]).mean() == pytest.approx(near_dedup.similarity(sets[: len(a)], sets[len(a) :]), abs=0.03)
 
 
 def test_large_buckets_are_compared_piece_by_piece(spread, monkeypatch, ordered):
