@@ -452,12 +452,13 @@ def benchmark_containment(spark, sf_dir):
     return b.join(lines, "h", "left").groupBy("item_id").agg(F.count("doc_id").alias("documents"))
 
 
-@registered()
+@registered("""SELECT event_id AS key, replace(props, ' ', '') AS canonical, sha256(replace(props, ' ', '')) AS canonical_hash FROM events""")
 def canonical_json_hash(spark, sf_dir):
     return jsonish.hashed(table(spark, sf_dir, "events"), "event_id", "props")
 
 
-@registered()
+@registered("""WITH e AS (SELECT event_id AS key, json_extract_string(props, '$.k') AS k, CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS v, event_type FROM events)
+    SELECT key, '$.k' AS path, 'replace' AS op, k AS old, v AS new FROM e WHERE k <> v UNION ALL SELECT key, '$.t', 'add', NULL, '"' || event_type || '"' FROM e""")
 def json_diff(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "props", F.concat(F.lit('{"k": '), F.floor("value").cast("string"), F.lit(', "t": "'), "event_type", F.lit('"}')).alias("other"))
     return jsonish.compared(e, "event_id", "props", "other")
@@ -472,7 +473,9 @@ def embed_base(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", base.alias("base"), F.conv(F.substring(F.sha2(F.concat(F.unhex(base), F.unhex(F.lit("00"))), 256), 1, 4), 16, 10).cast("int").alias("first_word"))
 
 
-@registered()
+@registered("""WITH b AS (SELECT p_partkey, unhex(sha256(p_name)) AS base FROM part),
+    r AS (SELECT p_partkey, list_transform(range(0, 64), lambda i: round(CAST('0x' || substr(sha256(base || unhex(lpad(hex(i), 2, '0'))), 1, 4) AS INT) / 65535::DOUBLE * 2 - 1, 6)) AS r FROM b)
+    SELECT p_partkey, list_transform(r, lambda x: round(x / sqrt(list_sum(list_transform(r, lambda y: y * y))), 6)) AS vector FROM r""")
 def embed_text_64d(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", vectors.embedded(F.col("p_name")).alias("vector"))
 
@@ -864,7 +867,7 @@ def compress_family(spark, sf_dir):
     return sinks.compression(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@registered()
+@registered("""SELECT event_id AS key, '$.run[0]' AS path, '{"id":' || CAST(event_id AS VARCHAR) || ',"verdict":"CONTINUITY_FAIL"}' AS node FROM events WHERE event_type = 'error'""")
 def fail_vectors(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit('{"run": [{"id": '), F.col("event_id").cast("string"), F.lit(', "verdict": "'), F.when(F.col("event_type") == "error", "CONTINUITY_FAIL").otherwise("PASS"), F.lit('"}]}')).alias("doc"))
     return jsonish.found(e, "event_id", "doc", "verdict", "CONTINUITY_FAIL")
