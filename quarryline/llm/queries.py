@@ -65,6 +65,15 @@ QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_licenses, op3_langua
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL = {
+    "op1_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+        x AS (SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+        f AS (SELECT g, min({'d': doc_id, 'i': i}) AS first FROM x GROUP BY g HAVING count(*) > 1),
+        r AS (SELECT doc_id, i FROM x JOIN f USING (g) WHERE first.d <> doc_id OR first.i <> i),
+        k AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 20)) AS p FROM r) GROUP BY 1)
+        SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+            sha256(coalesce(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op8_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256, {_LOWER} AS low FROM documents),
         g AS (SELECT low, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY low)
