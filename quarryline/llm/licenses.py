@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-A rule is a regex over a text's words (A-Z lower-cased, one space between words), a
-keyword that must occur before the regex is tried, a label and a priority.  Texts without
+A rule is a regex over a text's words (A-Z lower-cased, one space between words), keywords
+of which one must occur before the regex is tried, a label and a priority.  Texts without
 any family keyword are passed over by one scan; in the others each rule whose own keyword
 occurs is tried.  Detections are intervals of words.  A detection inside another one of
 higher priority, or of equal priority and greater length, is suppressed; rule order settles
@@ -28,9 +28,9 @@ _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The base phrases and their labels.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
-#: Licenses: label, keyword, name as a regex over words, regex of the version or nothing.
+#: Licenses: label, keywords of which one must occur, name as a regex over words, regex of the version or nothing.
 LICENSES = [
-    ("mit", "mit", "mit|expat|x11", ""),
+    ("mit", "mit|expat|x11", "mit|expat|x11", ""),
     ("mit-0", "mit", "mit 0|mit no attribution", ""),
     ("apache-2", "apache", "apache(?: software)?", "(?:version |v ?)?2(?: 0)?"),
     ("apache-1.1", "apache", "apache(?: software)?", "(?:version |v ?)?1 1"),
@@ -40,44 +40,44 @@ LICENSES = [
     ("bsd-4-clause", "bsd", "bsd 4 clause|4 clause bsd|original bsd", ""),
     ("bsd", "bsd", "bsd(?: style)?", ""),
     ("0bsd", "bsd", "0bsd|zero clause bsd", ""),
-    ("gpl-2", "g", "(?:gnu )?(?:gpl|general public)", "(?:version |v ?)?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3", "g", "(?:gnu )?(?:gpl|general public)", "(?:version |v ?)?3(?: 0)?(?: only| or later)?"),
-    ("gpl", "g", "gnu gpl|gpl|gnu general public", ""),
-    ("lgpl-2.1", "l", "(?:gnu )?(?:lgpl|lesser general public|library general public)", "(?:version |v ?)?2 1(?: only| or later)?"),
-    ("lgpl-3", "l", "(?:gnu )?(?:lgpl|lesser general public)", "(?:version |v ?)?3(?: 0)?(?: only| or later)?"),
-    ("lgpl", "l", "(?:gnu )?(?:lgpl|lesser general public)", ""),
-    ("agpl-3", "a", "(?:gnu )?(?:agpl|affero general public)", "(?:version |v ?)?3(?: 0)?(?: only| or later)?"),
-    ("agpl", "a", "(?:gnu )?(?:agpl|affero general public)", ""),
-    ("mpl-1.1", "m", "mpl|mozilla public", "(?:version |v ?)?1 1"),
-    ("mpl-2", "m", "mpl|mozilla public", "(?:version |v ?)?2(?: 0)?"),
-    ("epl-1", "e", "epl|eclipse public", "(?:version |v ?)?1(?: 0)?"),
-    ("epl-2", "e", "epl|eclipse public", "(?:version |v ?)?2(?: 0)?"),
-    ("eupl-1.2", "eu", "eupl|european union public", "(?:version |v ?)?1 2"),
-    ("cddl-1", "c", "cddl|common development and distribution", "(?:version |v ?)?1(?: 0| 1)?"),
-    ("cpl-1", "c", "cpl|common public", "(?:version |v ?)?1(?: 0)?"),
+    ("gpl-2", "gpl|general public", "(?:gnu )?(?:gpl|general public)", "(?:version |v ?)?2(?: 0)?(?: only| or later)?"),
+    ("gpl-3", "gpl|general public", "(?:gnu )?(?:gpl|general public)", "(?:version |v ?)?3(?: 0)?(?: only| or later)?"),
+    ("gpl", "gpl|general public", "gnu gpl|gpl|gnu general public", ""),
+    ("lgpl-2.1", "lgpl|lesser general|library general", "(?:gnu )?(?:lgpl|lesser general public|library general public)", "(?:version |v ?)?2 1(?: only| or later)?"),
+    ("lgpl-3", "lgpl|lesser general", "(?:gnu )?(?:lgpl|lesser general public)", "(?:version |v ?)?3(?: 0)?(?: only| or later)?"),
+    ("lgpl", "lgpl|lesser general", "(?:gnu )?(?:lgpl|lesser general public)", ""),
+    ("agpl-3", "agpl|affero", "(?:gnu )?(?:agpl|affero general public)", "(?:version |v ?)?3(?: 0)?(?: only| or later)?"),
+    ("agpl", "agpl|affero", "(?:gnu )?(?:agpl|affero general public)", ""),
+    ("mpl-1.1", "mpl|mozilla", "mpl|mozilla public", "(?:version |v ?)?1 1"),
+    ("mpl-2", "mpl|mozilla", "mpl|mozilla public", "(?:version |v ?)?2(?: 0)?"),
+    ("epl-1", "epl|eclipse", "epl|eclipse public", "(?:version |v ?)?1(?: 0)?"),
+    ("epl-2", "epl|eclipse", "epl|eclipse public", "(?:version |v ?)?2(?: 0)?"),
+    ("eupl-1.2", "eupl|european union", "eupl|european union public", "(?:version |v ?)?1 2"),
+    ("cddl-1", "cddl|common development", "cddl|common development and distribution", "(?:version |v ?)?1(?: 0| 1)?"),
+    ("cpl-1", "cpl|common public", "cpl|common public", "(?:version |v ?)?1(?: 0)?"),
     ("artistic-1", "artistic", "artistic", "(?:version |v ?)?1(?: 0)?"),
     ("artistic-2", "artistic", "artistic", "(?:version |v ?)?2(?: 0)?"),
     ("isc", "isc", "isc", ""),
     ("zlib", "zlib", "zlib(?: libpng)?", ""),
-    ("bsl-1", "boost", "boost(?: software)?|bsl", "(?:version |v ?)?1(?: 0)?"),
+    ("bsl-1", "boost|bsl", "boost(?: software)?|bsl", "(?:version |v ?)?1(?: 0)?"),
     ("unlicense", "unlicen", "unlicen[cs]e", ""),
-    ("wtfpl", "w", "wtfpl|do what the fuck you want to public", ""),
+    ("wtfpl", "wtfpl|do what the", "wtfpl|do what the fuck you want to public", ""),
     ("postgresql", "postgresql", "postgresql", ""),
-    ("python-2", "p", "psf|python(?: software foundation)?", "(?:version |v ?)?2(?: 0)?"),
+    ("python-2", "psf|python", "psf|python(?: software foundation)?", "(?:version |v ?)?2(?: 0)?"),
     ("ruby", "ruby", "ruby", ""),
     ("php-3.01", "php", "php", "(?:version |v ?)?3(?: 0| 01)?"),
     ("openssl", "openssl", "openssl", ""),
     ("openssh", "openssh", "openssh", ""),
-    ("ncsa", "n", "ncsa|university of illinois", ""),
-    ("ms-pl", "m", "ms pl|microsoft public", ""),
-    ("ms-rl", "m", "ms rl|microsoft reciprocal", ""),
-    ("ofl-1.1", "o", "ofl|sil open font", "(?:version |v ?)?1 1"),
-    ("odbl-1", "o", "odbl|open database", "(?:version |v ?)?1(?: 0)?"),
-    ("odc-by-1", "o", "odc by|open data commons attribution", "(?:version |v ?)?1(?: 0)?"),
-    ("afl-3", "a", "afl|academic free", "(?:version |v ?)?3(?: 0)?"),
-    ("osl-3", "o", "osl|open software", "(?:version |v ?)?3(?: 0)?"),
-    ("bsl-1.1", "b", "busl|business source", "(?:version |v ?)?1 1"),
-    ("sspl-1", "s", "sspl|server side public", "(?:version |v ?)?1"),
+    ("ncsa", "ncsa|university of illinois", "ncsa|university of illinois", ""),
+    ("ms-pl", "ms pl|microsoft", "ms pl|microsoft public", ""),
+    ("ms-rl", "ms rl|microsoft", "ms rl|microsoft reciprocal", ""),
+    ("ofl-1.1", "ofl|open font", "ofl|sil open font", "(?:version |v ?)?1 1"),
+    ("odbl-1", "odbl|open database", "odbl|open database", "(?:version |v ?)?1(?: 0)?"),
+    ("odc-by-1", "odc by|open data commons", "odc by|open data commons attribution", "(?:version |v ?)?1(?: 0)?"),
+    ("afl-3", "afl|academic free", "afl|academic free", "(?:version |v ?)?3(?: 0)?"),
+    ("osl-3", "osl|open software", "osl|open software", "(?:version |v ?)?3(?: 0)?"),
+    ("bsl-1.1", "busl|business source", "busl|business source", "(?:version |v ?)?1 1"),
+    ("sspl-1", "sspl|server side", "sspl|server side public", "(?:version |v ?)?1"),
     ("elastic-2", "elastic", "elastic", "(?:version |v ?)?2(?: 0)?"),
     ("openrail", "openrail", "(?:creativeml |bigscience )?openrail(?: m)?", ""),
     ("llama", "llama", "llama [0-9]+(?: [0-9]+)?(?: community)?", ""),
@@ -121,7 +121,7 @@ STATEMENTS = [
     ("unknown-license", "terms", "terms of (?:the|this) licen[cs]e", 10, 0.3),
 ]
 #: A text without one of these, as a regex on the raw text, holds no rule's match.
-FAMILIES = r"(?i)licen|spdx|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|zero)|creative[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+commons|all[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+rights|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|proprietary|permission|redistribut"
+FAMILIES = r"(?i)licen|spdx|gpl|apache|mozilla|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|zero)|creative[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+commons|all[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+rights|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|proprietary|permission|redistribut"
 
 
 @dataclass(frozen=True)
@@ -187,7 +187,7 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), F.when(text.rlike(FAMILIES), text).alias("gated"))
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("gated", _UPPER, _LOWER), _BETWEEN, " ")), F.lit(" "))
     table = _rule_table(rules())
-    found = F.flatten(F.transform(F.filter(table, lambda r: F.contains(F.col("words"), r["keyword"])), lambda r: _hits(F.col("words"), r)))
+    found = F.flatten(F.transform(F.filter(table, lambda r: F.exists(F.split(r["keyword"], "[|]"), lambda k: F.contains(F.col("words"), k))), lambda r: _hits(F.col("words"), r)))
     kind = "array<struct<start: int, end: int, rank: int, label: string, priority: int, confidence: double, base: boolean>>"
     rows = rows.withColumn("words", words).withColumn("all", F.when(F.col("gated").isNotNull(), found).otherwise(F.expr(f"cast(array() as {kind})"))).drop("gated", "words")
     strong = F.filter("all", lambda d: d["base"] | ~F.exists("all", lambda o: _suppressed(d, o)))
