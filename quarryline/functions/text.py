@@ -8,11 +8,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_EDGES = r"(?U)^\s+|\s+$"
+#: The Unicode White_Space property.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def trimmed(t: Column) -> Column:
-    return F.regexp_replace(t, _EDGES, "")
+    return F.trim(t, F.lit(WHITE_SPACE))
 
 
 def squeezed(t: Column) -> Column:
@@ -37,7 +38,8 @@ def transcript_lines(t: Column) -> Column:
 
 def clips(df: DataFrame, key: str, text: str, least: int, most: int) -> DataFrame:
     """Sentences of a length between the bounds, numbered from 1 within their text, with a short content hash."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?\n]+[.!?\n]+"), F.lit(0)), trimmed)
+    # a sentence starts where its run of characters does, so an end without a mark is looked at once
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"(?<![^.!?\n])[^.!?\n]++[.!?\n]++"), F.lit(0)), trimmed)
     kept = F.filter(found, lambda s: (F.length(s) >= least) & (F.length(s) <= most))
     out = df.select(key, F.posexplode(kept).alias("pos", "clip"))
     return out.select(key, (F.col("pos") + 1).alias("clip_id"), "clip", F.concat(F.lit("sha256:"), F.substring(F.sha2("clip", 256), 1, 13)).alias("clip_hash"))

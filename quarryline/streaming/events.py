@@ -11,8 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def tail(spark: SparkSession, folder: str, schema: str, ts: str, late: str = "10 minutes") -> DataFrame:
-    """A folder of Parquet files as a stream of events with a watermark."""
-    return spark.readStream.schema(schema).parquet(folder).withWatermark(ts, late)
+    """A folder of Parquet files as a stream of events with a watermark; times without a zone are the session's."""
+    return spark.readStream.schema(schema).parquet(folder).withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
 
 
 def windowed(events: DataFrame, ts: str, key: str, value: str, size: str, slide: str | None = None) -> DataFrame:
