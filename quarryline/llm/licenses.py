@@ -121,7 +121,7 @@ STATEMENTS = [
     ("unknown-license", "terms", "terms of (?:the|this) licen[cs]e", 10, 0.3),
 ]
 #: A text without one of these, as a regex on the raw text, holds no rule's match.
-FAMILIES = r"(?i)licen|spdx|gpl|apache|mozilla|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|zero)|creative[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+commons|all[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+rights|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|proprietary|permission|redistribut"
+FAMILIES = r"(?i)licen|spdx|gpl|apache|mozilla|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|zero)|creative[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+commons|all[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+rights|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|proprietary|permission|redistribut|(?:released|distributed|available|published|provided)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+under"
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import sys
 from collections import Counter
@@ -48,6 +49,45 @@ def test_licenses(docs, rows, spark, ordered):
     assert all(set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in got if r.base_labels)
 
 
+def examples(regex, most=400):
+    """Texts that a rule matches: each choice of its alternatives and optional parts, one digit for a run of digits."""
+
+    def of(items):
+        out = [""]
+        for op, arg in items:
+            name = str(op)
+            if name == "LITERAL":
+                part = [chr(arg)]
+            elif name == "IN":
+                part = [chr(v if str(k) == "LITERAL" else v[0]) for k, v in arg]
+            elif name == "MAX_REPEAT":
+                part = [*([""] if arg[0] == 0 else []), *of(arg[2])]
+            elif name == "BRANCH":
+                part = [x for branch in arg[1] for x in of(branch)]
+            else:
+                part = of(arg[-1])
+            out = [a + b for a in out for b in part]
+        return out
+
+    every = of(re._parser.parse(regex))
+    return every if len(every) <= most else random.Random(regex).sample(every, most)
+
+
+def test_license_gate(spark, ordered, monkeypatch):
+    rules = licenses.rules()
+    made = [(r, x) for r in rules for x in examples(r.regex)]
+    assert all(re.search(r.regex, x) for r, x in made)
+    assert [x for _, x in made if not re.search(licenses.FAMILIES, x)] == []
+    assert [x for r, x in made if not any(k in f" {x} " for k in r.keyword.split("|"))] == []
+    texts = ["Released under the MPL 2.0.", "Distributed\n\nunder the BSL 1.0", "available under EPL v2", "PROVIDED -- UNDER the EUPL 1.2", "published under an OSL 3.0", "found under the stairs", *(examples(r.regex, 1)[0].upper().replace(" ", " - ") for r in rules)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gated = ordered(licenses.scanned(df).collect())
+    labels = {r[0]: r[6] for r in gated}
+    assert [labels[i] for i in range(6)] == ["mpl-2", "bsl-1", "epl-2", "eupl-1.2", "osl-3", ""]
+    monkeypatch.setattr(licenses, "FAMILIES", "")
+    assert gated == ordered(licenses.scanned(df).collect())
+
+
 def luhn(d):
     return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(reversed(d))) % 10 == 0
 
