@@ -9,8 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 WIDTH = 64
+#: Rows and queries compared in one group, and queries at once.
+ROWS, QUERIES, BESIDE = 8192, 4096, 64
 
 
 def embedded(text: Column) -> Column:
@@ -94,3 +97,49 @@ def blended(store: DataFrame, query: list[float], query_cell: list[float], k: in
     cos = cosine(F.col("vector"), q)
     mixed = 0.8 * cos + 0.15 * near + 0.05 * (1 - F.least(F.lit(1.0), F.col("residual") / 2))
     return store.withColumn("score", F.round(F.when(F.col("cell").isNotNull(), mixed).otherwise(cos), 6)).orderBy(F.desc("score"), "key").limit(k)
+
+
+def _best(k: int):
+    """Of one block of rows, the ``k`` best of each query of one block, as ``blended`` scores them."""
+
+    def run(rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        rows = rows.sort_values("key", ignore_index=True)
+        keys = rows["key"].to_numpy()
+        has = rows["cell"].notna().to_numpy()
+        cells = np.stack([np.asarray(c, float) if h else np.zeros(8) for c, h in zip(rows["cell"], has)]) if len(rows) else np.zeros((0, 8))
+        close = 0.05 * (1 - np.minimum(1.0, rows["residual"].to_numpy(float) / 2))
+        width, wide = rows["vector"].map(len).to_numpy(int), queries["vector"].map(len).to_numpy(int)
+        for w in np.unique(wide).tolist() if len(rows) else []:
+            same = np.flatnonzero(width == w)
+            unit = lambda v: (x := np.stack([np.asarray(y, float) for y in v])) / np.where((n := np.sqrt((x * x).sum(1))) > 0, n, np.inf)[:, None]
+            store = unit(rows["vector"].iloc[same]) if len(same) else np.zeros((0, w))
+            mine = queries[wide == w]
+            for a in range(0, len(mine), BESIDE):
+                some = mine.iloc[a : a + BESIDE]
+                cos = np.zeros((len(some), len(rows)))
+                cos[:, same] = unit(some["vector"]) @ store.T
+                cell = np.stack([np.asarray(c, float) for c in some["cell"]])
+                squared = (cell * cell).sum(1)[:, None] + (cells * cells).sum(1) - 2 * cell @ cells.T  # multiples of a quarter, so exact
+                near = np.select([squared == 0, squared == 2, squared == 4, squared <= 8], [1.0, 0.8, 0.5, 0.2], 0.0)
+                score = np.round(np.where(has, 0.8 * cos + 0.15 * near + close, cos), 6)
+                at = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                out.append(pd.DataFrame({"query": np.repeat(some["key"].to_numpy(), at.shape[1]), "key": keys[at].ravel(), "score": np.take_along_axis(score, at, 1).ravel()}))
+        return pd.concat(out) if out else pd.DataFrame({"query": [], "key": [], "score": []})
+
+    return run
+
+
+def blended_each(store: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``blended`` for every row of ``queries``: (query, key, score), the ``k`` best rows of each.
+
+    Every block of queries meets every block of rows in a group of its own; only the best leave it.
+    """
+    n_rows, n_queries = (max(1, -(-df.count() // most)) for df, most in ((store, ROWS), (queries, QUERIES)))
+    block = lambda n: F.pmod(F.xxhash64("key"), F.lit(n).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = store.select("key", "vector", "cell", "residual", block(n_rows).alias("rb"), every(n_queries).alias("qb"))
+    right = queries.select(*[F.col(c).alias(c) for c in ("key", "vector", "cell")], block(n_queries).alias("qb"), every(n_rows).alias("rb"))
+    best = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(_best(k), "query long, key long, score double")
+    place = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "key"))
+    return best.withColumn("place", place).filter(F.col("place") <= k).drop("place")

@@ -500,13 +500,10 @@ def e8_snap(spark, sf_dir):
 
 @registered()
 def vec_topk_blended(spark, sf_dir):
-    import numpy as np
-
     p = _points(spark, sf_dir)
-    q = _query_vector(spark, sf_dir)
-    cell, _ = vectors.snap(np.array([q[:8]]) * 8)
     store = vectors.snapped(p, "vec_id", "point").join(p.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), "key")
-    return vectors.blended(store, q, cell[0].tolist(), 10).select("key", "cell_key", "score")
+    best = vectors.blended_each(store, store.filter("key % 50 = 0"), 10)
+    return best.join(store.select("key", "cell_key"), "key").select("query", "key", "cell_key", "score")
 
 
 @registered("""SELECT vec_id, round(list_avg(e), 6) AS mean, round(sqrt(greatest(list_sum(list_transform(e, lambda x: x * x)) / len(e) - list_avg(e) * list_avg(e), 0)), 6) AS stddev, round(sqrt(list_sum(list_transform(e, lambda x: x * x))), 6) AS l2,

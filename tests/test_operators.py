@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import jsonish, tensors, text
 from quarryline.operators import chunks, continuity, lineage, planning, vectors
+from quarryline.plans import catalog
 from quarryline.sources import binary, logs
 from quarryline.streaming import events as streams
 
@@ -165,3 +166,20 @@ def test_streams(spark, small, tmp_path):
     obs = spark.readStream.schema("path string, hash string").parquet(str(tmp_path / "obs"))
     states = [r.state for r in streams.drained(streams.watched(obs, "path", "hash"), "watched", "append").collect()]
     assert sorted(states) == ["CHANGED", "FIRST_OBSERVATION", "UNCHANGED"]
+
+
+def test_blended_search_answers_every_query(spark, small, monkeypatch):
+    rows = catalog.vec_topk_blended(spark, small).collect()
+    p = catalog._points(spark, small)
+    store = vectors.snapped(p, "vec_id", "point").join(p.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), "key").cache()
+    queries = store.filter("key % 50 = 0").collect()
+    want = [(q.key, r.key, r.cell_key, r.score) for q in queries for r in vectors.blended(store, [float(x) for x in q.vector], q.cell, 10).collect()]
+    assert len({q.key for q in queries}) == 10
+    assert sorted((r.query, r.key, r.cell_key, r.score) for r in rows) == sorted(want)
+    odd = store.filter("key < 120").unionByName(spark.createDataFrame([(900, None, None, None, [1.0, 2.0]), (901, None, None, None, [0.0] * 64)], store.schema))
+    monkeypatch.setattr(vectors, "ROWS", 50)
+    monkeypatch.setattr(vectors, "QUERIES", 2)
+    some = [q for q in queries if q.key < 120]
+    got = vectors.blended_each(odd, odd.filter("key % 50 = 0 AND key < 120"), 200).collect()
+    want = [(q.key, r.key, r.score) for q in some for r in vectors.blended(odd, [float(x) for x in q.vector], q.cell, 200).collect()]
+    assert sorted(tuple(r) for r in got) == sorted(want)
