@@ -13,15 +13,14 @@ weighted Jaccard similarity.
 2. In each band's bucket the bag with the largest buckets altogether is the pivot; every other
    bag is verified against it, exactly, over the whole texts.
 3. Links make components.  In buckets that still hold bags of different components, all pairs
-   other than with the pivot whose signatures agree in at least ``SCREEN`` of the registers are
-   verified as well, each in the first bucket that the pair shares; large buckets are compared
-   piece by piece in separate tasks, and only links leave them.
+   other than with the pivot are verified as well, exactly, each in the first bucket that the
+   pair shares; large buckets are compared piece by piece in separate tasks, and only links
+   leave them.
 
 Texts are dealt by row once, to pick those of bags that share a bucket with another; all
 verification reads that smaller table.
 
-So a link is lost only where banding misses it (5e-8 at the threshold) or the screen does
-(under 1e-5 at the threshold, less above it).
+So a link is lost only where banding misses it (5e-8 at the threshold, less above it).
 
 Defined results: texts without a word are one class; texts of fewer than five words have one
 shingle of all their words; of a class the row with the smallest doc_id stays (null last), one
@@ -43,14 +42,14 @@ from .words import SECOND, word_hashes, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 4
-#: Least share of equal registers for a pair without a pivot to be verified.
-SCREEN = 0.65
 #: Bags of one bucket compared in one task.
 PIECE = 1024
 #: Pairs with one pivot verified side by side.
 BESIDE = 64
+#: Shingles looked up at once.
+STEP = 1 << 18
 
-_SIGNED = "row_id long, doc_id long, bag_a long, bag_b long, bands array<long>, signature binary"
+_SIGNED = "row_id long, doc_id long, bag_a long, bag_b long, bands array<long>"
 
 
 def shingles(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,9 +118,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = mix(bands + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
         raw = hashes.tobytes()
         bags = np.frombuffer(b"".join(hashlib.blake2b(raw[8 * a : 8 * b], digest_size=16).digest() for a, b in zip(at[:-1], at[1:])), "<i8").reshape(-1, 2)
-        short = (keys >> np.uint64(48)).astype("<u2")
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(bands.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags[:, 0].copy()), pa.array(bags[:, 1].copy()), lists, pa.array([s.tobytes() for s in short], pa.binary())], ["row_id", "doc_id", "bag_a", "bag_b", "bands", "signature"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bags[:, 0].copy()), pa.array(bags[:, 1].copy()), lists], ["row_id", "doc_id", "bag_a", "bag_b", "bands"])
 
 
 def numbered(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -191,16 +189,34 @@ def components(links: DataFrame) -> DataFrame:
         labels = after
 
 
+def linked_to(i: int, others: np.ndarray, hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Those of ``others`` that are ``linked`` with document ``i``; hashes are sorted within documents."""
+    bag, size = hashes[at[i] : at[i + 1]], np.diff(at)[others]
+    others = others[np.minimum(size, len(bag)) >= THRESHOLD * np.maximum(size, len(bag))]
+    if not len(bag):
+        return others
+    out = []
+    size = np.diff(at)[others]
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // STEP, prepend=-1))
+    for part, n in zip(np.split(others, cut[1:]), np.split(size, cut[1:])):
+        if len(part):
+            first = np.cumsum(n) - n
+            x = hashes[np.arange(n.sum()) + np.repeat(at[part] - first, n)]
+            place = np.searchsorted(bag, x)
+            common = np.add.reduceat((bag[np.minimum(place, len(bag) - 1)] == x).astype(np.int64), first)
+            out.append(part[common / (n + len(bag) - common) >= THRESHOLD])
+    return np.concatenate(out) if out else others
+
+
 def _rest(key, table):
     """Links within a bucket, or between two of its pieces, of rows of different roots."""
     n = table.num_rows
     bucket, row, root, band, part, side = (table.column(c).to_numpy() for c in ("key", "row_id", "root", "band", "own", "other"))
-    signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), "<u2").reshape(n, -1)
     bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(n, -1)
     _, one, of = np.unique(row, return_index=True, return_inverse=True)
     hashes, at = shingles(*text_bytes(table.column("text").take(pa.array(one))))
     hashes = numbered(hashes, at)
-    bag = lambda i: hashes[at[of[i]] : at[of[i] + 1]]
+    hashes = hashes[np.lexsort([hashes, np.repeat(np.arange(len(one)), np.diff(at))])]
     order = np.lexsort([row, bucket])
     cut = np.flatnonzero(np.concatenate([[True], bucket[order][1:] != bucket[order][:-1], [True]]))
     out = []
@@ -213,8 +229,7 @@ def _rest(key, table):
             j = j[root[j] != root[i]]
             if len(j):
                 j = j[(bands[j] == bands[i]).argmax(1) == band[i]]  # another bucket sees to the pairs of an earlier band
-                j = j[(signature[j] == signature[i]).mean(1) >= SCREEN]
-                out += [(int(row[i]), int(row[x])) for x in j.tolist() if linked(bag(i), bag(x))]
+                out += [(int(row[i]), x) for x in row[one[linked_to(of[i], of[j], hashes, at)]].tolist()]
     return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
 
@@ -231,7 +246,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     total = signed.count()
     low = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id")
     bags = written(signed.groupBy("bag_a", "bag_b").agg(F.min(low).alias("first"), F.count("*").alias("rows")), "bags")
-    reps = written(signed.join(bags.select(F.col("first.row_id").alias("row_id")), "row_id", "left_semi").select("row_id", "bands", "signature"), "bag_signatures")
+    reps = written(signed.join(bags.select(F.col("first.row_id").alias("row_id")), "row_id", "left_semi").select("row_id", "bands"), "bag_signatures")
     banded = reps.select("row_id", F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
     buckets = written(with_group(banded, sizes, ["key"], "size", BANDS * total).filter("size is not null"), "buckets")
@@ -252,7 +267,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = rest.join(reps.hint("merge"), "row_id").join(picked.hint("merge"), "row_id").withColumn("own", F.pmod(F.hash("row_id"), shares))
         own = own.withColumn("other", F.explode(F.sequence(F.lit(0), shares - 1)))
         group = F.when(shares == 1, F.pmod(F.xxhash64("key"), F.lit(4 * parts))).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
-        tried = own.withColumn("group", group).select("group", "key", "band", "row_id", "root", "bands", "signature", "text", "own", "other")
+        tried = own.withColumn("group", group).select("group", "key", "band", "row_id", "root", "bands", "text", "own", "other")
         more = written(tried.groupBy("group").applyInArrow(_rest, "a long, b long"), "more_links")
         if not more.isEmpty():
             labels = components(written(links.unionByName(more), "all_links"))

@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarryline.llm import exact_dedup, near_dedup
@@ -105,6 +106,23 @@ def test_signatures_are_unbiased():
     assert (s[0] == s[1]).mean() == pytest.approx(near_dedup.similarity(sets[: len(a)], sets[len(a) :]), abs=0.03)
 
 
+def test_pairs_without_a_pivot_are_all_verified(monkeypatch):
+    rng = np.random.default_rng(3)
+    monkeypatch.setattr(near_dedup, "STEP", 100, raising=False)
+    base = [f"w{x}" for x in rng.integers(0, 999, 90)]
+    texts = ["", "", " ".join(base)]
+    for k in rng.integers(1, 14, 40).tolist():
+        texts.append(" ".join([*base[:k], *base[2 * k % 7 :], *(["x", "y"] * (k % 4))]))
+    n = len(texts)
+    # the registers disagree, as those of a similar pair may by chance
+    columns = {"key": [7] * n, "band": [0] * n, "row_id": range(n), "root": range(n), "bands": [[7] * near_dedup.BANDS] * n, "text": texts, "own": [0] * n, "other": [0] * n}
+    columns["signature"] = [rng.bytes(2 * near_dedup.BANDS * near_dedup.ROWS) for _ in range(n)]
+    got = near_dedup._rest(None, pa.table({k: list(v) for k, v in columns.items()})).to_pylist()
+    bags = [bag(x) for x in texts]
+    want = [(i, j) for i in range(n) for j in range(i + 1, n) if (similar(bags[i], bags[j]) if bags[i] or bags[j] else 1) >= near_dedup.THRESHOLD]
+    assert 100 < len(want) < n * (n - 1) / 2 - 100 and sorted((r["a"], r["b"]) for r in got) == want
+
+
 def test_large_buckets_are_compared_piece_by_piece(spread, monkeypatch, ordered):
     _, df = spread
     whole = near_dedup.near_groups(df).collect()
