@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,28 +31,32 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 # --- tables in the shared folder ------------------------------------------------------------------
 
-_made: list[tuple[SparkSession, str]] = []
+_made: dict[str, SparkSession] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a folder of this machine."""
+    """The folder in ``spark.checkpoint.dir``; only a session on this machine alone may leave it unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarryline-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
 
 
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended; the cluster's own clean-up remains
-            return
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended; the cluster's own clean-up remains
+        return
 
 
-atexit.register(_clean)
+@atexit.register
+def _clean() -> None:
+    for path, spark in _made.items():
+        _remove(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -59,8 +64,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables from ``written`` that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_table", None)
+        if path in _made:
+            _remove(_made.pop(path), path)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 # --- lookups that survive hot keys ----------------------------------------------------------------
@@ -95,8 +118,10 @@ def with_group(members: DataFrame, groups: DataFrame, keys: list[str], size: str
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and each row's offsets; null is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):  # 64-bit offsets: together the chunks may hold more than 2 GiB
+        column = column.cast(pa.large_string()).combine_chunks()
+        if isinstance(column, pa.ChunkedArray):
+            column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
     if column.null_count:
         column = column.fill_null("")
     if pa.types.is_large_string(column.type):

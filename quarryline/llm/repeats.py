@@ -2,27 +2,31 @@
 
 A window is ``size`` consecutive items (words or bytes) of one document.  An item is
 removed if a window that covers it also starts earlier (smaller doc_id, or same document,
-earlier start).  All windows of all documents are compared, in three rounds between
-*blocks* (documents dealt by a hash of doc_id) and *buckets* (seeds dealt by hash):
+earlier start).  All windows of all documents are compared, in two rounds between *blocks*
+(documents dealt by a hash of doc_id) and *buckets* (seeds dealt by hash):
 
 1. Seeds.  Each window selects a seed, the least-hashed run of ``gram`` items in it
    (leftmost on ties), so equal windows select equal seeds at equal places.  Blocks send
    their distinct seeds; buckets say which ones occur in more than one block.
 2. Contexts.  The windows that select one seed occurrence are consecutive; the items they
-   span are its context.  Equal contexts of a repeated seed repeat all their windows:
-   only the earliest stays.  Blocks settle their own and send one per kind; buckets
-   settle them across blocks.
-3. Windows.  Where a seed occurs in different contexts, the earliest occurrence of each
-   context sends its items, and ``resolve`` finds in the bucket which windows are equal.
-
-What moves is 8 bytes a seed, 30 bytes a repeated context, and the items of contexts that
-differ; a block ships a seed or context once however often it holds it, so the copies of a
-very common passage meet in a bucket at most once a block.  Messages are small rows
-(bucket, block, bytes); texts are dealt to blocks once, and that exchange serves all rounds.
+   span are its context.  Blocks settle contexts that are equal item by item and send one of
+   each kind, with its items.  A bucket tells windows apart by extending from the seed to both
+   sides: ``classes`` numbers what lies left and what lies right of each occurrence, and two
+   windows at the same place about their seed are equal where both numbers are.
+
+Hashes choose seeds and deal them out; whether two windows are equal is decided on their items.
+
+A block ships a context once however often it holds it, so copies of a very common passage
+meet in a bucket at most once a block.  A seed with more than ``HOT`` different contexts is
+not gathered: its windows are dealt out by the hash of all their items, so that only equal
+ones meet.  Blocks and buckets are cut to ``BLOCK_BYTES`` of input each, whatever the
+session's settings.  Messages are small rows (bucket, block, bytes); texts are dealt to
+blocks once, and that exchange serves both rounds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -34,20 +38,21 @@ from pyspark.sql import functions as F
 from .common import id_and_text, mix, text_bytes
 from .words import FIRST, SECOND
 
-MESSAGE = "bucket long, block long, kind int, data binary"
-_NAMES = ["bucket", "block", "kind", "data"]
-_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+MESSAGE = "bucket long, block long, data binary"
+_NAMES = ["bucket", "block", "data"]
+_KINDS = [pa.int64(), pa.int64(), pa.binary()]
 
-_CONTEXT = np.dtype([("seed", "<u8"), ("items", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
-_OPEN = np.dtype([("seed", "<u8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
-_HEAD = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
+_HEAD = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
 _RANGE = np.dtype([("start", "<u4"), ("end", "<u4")])
-RANGES, OPEN = 0, 1
 
 #: A null doc_id comes before all others.
 NULL_DOC = -(1 << 63)
 #: Places whose seeds are sought at once; the arrays stay in the processor's cache.
 STEP = 1 << 15
+#: Text in one block; the unit of memory in both rounds.
+BLOCK_BYTES = 12 << 20
+#: Different contexts of one seed that a bucket takes; beyond, windows are dealt out singly.
+HOT = 50_000
 
 
 @dataclass
@@ -55,6 +60,7 @@ class Block:
     """The distinct (doc_id, text) of one block in order, and which of them each row is."""
 
     ids: np.ndarray
+    ties: np.ndarray
     rows: list
     row_of: list[int]
     texts: list[bytes]
@@ -64,11 +70,11 @@ class Block:
 
 def block_of(table: pa.Table) -> Block:
     """Rows that repeat both doc_id and text are one document; rows that repeat a doc_id come in order of text."""
-    ids = table.column("doc_id").to_pylist()
+    ids, ties = table.column("doc_id").to_pylist(), table.column("tie").to_pylist()
     buf, off = text_bytes(table.column("text"))
     raw = buf.tobytes()
     texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-    keys = [NULL_DOC if d is None else d for d in ids]
+    keys = [(NULL_DOC if d is None else d, t) for d, t in zip(ids, ties)]
     order = sorted(range(len(ids)), key=lambda i: (keys[i], texts[i]))
     own, row_of, rows = [], [], []
     for i in order:
@@ -78,19 +84,48 @@ def block_of(table: pa.Table) -> Block:
         rows.append(ids[i])
     kept = [texts[i] for i in own]
     ends = np.concatenate([[0], np.cumsum([len(t) for t in kept])]).astype(np.int64)
-    return Block(np.array([keys[i] for i in own], np.int64), rows, row_of, kept, np.frombuffer(b"".join(kept), np.uint8), ends)
+    both = np.array([keys[i] for i in own], np.int64).reshape(-1, 2)
+    return Block(both[:, 0], both[:, 1], rows, row_of, kept, np.frombuffer(b"".join(kept), np.uint8), ends)
+
+
+@dataclass
+class Items:
+    """A block's items: what is hashed, each document's first item, and what decides equality."""
+
+    values: np.ndarray
+    off: np.ndarray
+    exact: np.ndarray
+    #: (starts, numbers of items) -> those items, one after another, as bytes.
+    pack: Callable[[np.ndarray, np.ndarray], bytes]
+
+
+#: Numbers, by context, of what lies within a distance left of the seed, or from the seed's start on to the right.
+Classes = Callable[[int], np.ndarray]
 
 
 @dataclass(frozen=True)
 class Windows:
-    """``items`` maps a block to its items and each document's first item; ``hashed`` maps items to 64-bit words."""
-
     size: int
     gram: int
-    items: Callable[[Block], tuple[np.ndarray, np.ndarray]]
+    #: Items of a block; ``exact`` may be left out where only seeds are wanted.
+    items: Callable[[Block, bool], Items]
+    #: Items as 64-bit words.
     hashed: Callable[[np.ndarray], np.ndarray]
-    #: Windows as (items, starts), grouped and within a group in order -> which equal an earlier one of their group.
-    resolve: Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
+    #: Packed items, all of a bucket, as an array in which equal values are equal items.
+    unpack: Callable[[list[bytes]], np.ndarray]
+    #: (items, place of each seed, items left of it, items from it on, seed) -> left and right classes.
+    classes: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[Classes, Classes]]
+
+
+def spans(w: Windows, items: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the items between sorted starts and their ends."""
+    out = np.zeros(len(start), np.uint64)
+    for a in range(0, len(items), STEP):
+        i, j = np.searchsorted(start, [a, a + STEP])
+        if i < j:
+            p = SECOND.prefixes(w.hashed(items[a : int(end[i:j].max())]))
+            out[i:j] = SECOND.span(p, start[i:j] - a, end[i:j] - a)
+    return out
 
 
 def seeds(w: Windows, items: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -134,13 +169,7 @@ def seeds(w: Windows, items: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, .
     if join.any():
         n = np.add.reduceat(n, np.flatnonzero(~join))
         seed, place, first = seed[~join], place[~join], first[~join]
-    context = np.zeros(len(seed), np.uint64)
-    for a in range(0, len(items), STEP):
-        i, j = np.searchsorted(first, [a, a + STEP])
-        if i < j:
-            end = first[i:j] + n[i:j] - 1 + size
-            p = SECOND.prefixes(w.hashed(items[a : int(end.max())]))
-            context[i:j] = SECOND.span(p, first[i:j] - a, end - a)
+    context = spans(w, items, first, first + n - 1 + size)
     context = mix(context + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (place - first).astype(np.uint64))
     return seed, context, first, n, place - first
 
@@ -155,8 +184,8 @@ def by_bucket(bucket: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(k, int(cut[k]), int(cut[k + 1])) for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist()]
 
 
-def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
-    columns = list(zip(*rows)) if rows else [[], [], [], []]
+def messages(rows: list[tuple[int, int, bytes]]) -> pa.Table:
+    columns = list(zip(*rows)) if rows else [[], [], []]
     return pa.table([pa.array(c, t) for c, t in zip(columns, _KINDS)], names=_NAMES)
 
 
@@ -174,36 +203,72 @@ def merged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-def _distinct_seeds(seed: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct seeds ordered by bucket, their buckets, and how often each occurs."""
-    kinds, count = np.unique(seed, return_counts=True)
+def distinct_seeds(seed: np.ndarray, context: np.ndarray, buckets: int) -> tuple[np.ndarray, ...]:
+    """Distinct seeds ordered by bucket, their buckets, how often each occurs, its context hashes, and which seed each occurrence has."""
+    kinds, of = np.unique(seed, return_inverse=True)
     bucket = bucket_of(kinds, buckets)
     order = np.argsort(bucket, kind="stable")
-    return kinds[order], bucket[order], count[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    of = place[of]
+    by = np.lexsort([context, of])
+    new = np.ones(len(by), bool)
+    new[1:] = (of[by][1:] != of[by][:-1]) | (context[by][1:] != context[by][:-1])
+    size = len(kinds)
+    return kinds[order], bucket[order], np.bincount(of, minlength=size), np.bincount(of[by][new], minlength=size), of
 
 
 def send_seeds(w: Windows, buckets: int):
     def run(key, table):
         block = int(key[0].as_py())
-        seed = seeds(w, *w.items(block_of(table)))[0]
-        kinds, bucket, _ = _distinct_seeds(seed, buckets)
-        return messages([(k, block, 0, kinds[a:b].tobytes()) for k, a, b in by_bucket(bucket, buckets)])
+        own = w.items(block_of(table), False)
+        seed, context, *_ = seeds(w, own.values, own.off)
+        kinds, bucket, _, contexts, _ = distinct_seeds(seed, context, buckets)
+        contexts = np.minimum(contexts, 65535).astype("<u2")
+        return messages([(k, block, kinds[a:b].tobytes() + contexts[a:b].tobytes()) for k, a, b in by_bucket(bucket, buckets)])
+
+    return run
+
+
+def judge_seeds(hot: int = HOT):
+    """Back to each block, in its order: a bit a seed, whether another block has it, and a bit whether it is hot."""
+
+    def run(key, table):
+        blocks, data = table.column("block").to_pylist(), table.column("data").to_pylist()
+        sizes = [len(d) // 10 for d in data]
+        every = np.concatenate([np.frombuffer(d, "<u8", n) for d, n in zip(data, sizes)])
+        contexts = np.concatenate([np.frombuffer(d, "<u2", n, 8 * n) for d, n in zip(data, sizes)])
+        _, of, count = np.unique(every, return_inverse=True, return_counts=True)
+        more, very = count[of] > 1, np.bincount(of, contexts)[of] > hot
+        cut = np.cumsum(sizes)[:-1]
+        return messages([(int(key[0].as_py()), b, np.packbits(m).tobytes() + np.packbits(v).tobytes()) for b, m, v in zip(blocks, np.split(more, cut), np.split(very, cut))])
 
     return run
 
 
-def judge_seeds(key, table):
-    """Back to each block: one bit a seed, whether another block has it."""
-    blocks, data = table.column("block").to_pylist(), table.column("data").to_pylist()
-    parts = [np.frombuffer(d, "<u8") for d in data]
-    every = np.concatenate(parts)
-    order = np.argsort(every, kind="stable")
-    same = every[order][1:] == every[order][:-1]
-    more = np.zeros(len(every), bool)
-    more[order[1:]] |= same
-    more[order[:-1]] |= same
-    cut = np.cumsum([len(p) for p in parts])[:-1]
-    return messages([(int(key[0].as_py()), b, 0, np.packbits(m).tobytes()) for b, m in zip(blocks, np.split(more, cut))])
+def settled(exact: np.ndarray, size: int, group: np.ndarray, context: np.ndarray, first: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrences to keep, and those equal, item by item, to an earlier one of the same group and context hash."""
+    if not len(first):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort([first, context, group])
+    new = np.ones(len(order), bool)
+    new[1:] = (group[order][1:] != group[order][:-1]) | (context[order][1:] != context[order][:-1])
+    model = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    tried = np.flatnonzero(~new)
+    a, b = order[tried], model[tried]
+    same = (n[a] == n[b]) & (at[a] == at[b])
+    span = n[a] - 1 + size
+    step = max(1, (1 << 20) // (2 * size))
+    for i in range(0, len(a), step):
+        x, y, s = a[i : i + step], b[i : i + step], span[i : i + step]
+        head = np.cumsum(s) - s
+        inner = np.arange(int(s.sum())) - np.repeat(head, s)
+        left = np.repeat(first[x], s) + inner
+        right = np.minimum(np.repeat(first[y], s) + inner, len(exact) - 1)
+        same[i : i + step] &= np.logical_and.reduceat(exact[left] == exact[right], head)
+    gone = np.zeros(len(order), bool)
+    gone[tried[same]] = True
+    return order[~gone], order[gone]
 
 
 def send_contexts(w: Windows, buckets: int):
@@ -212,139 +277,98 @@ def send_contexts(w: Windows, buckets: int):
         if not docs.num_rows:
             return messages([])
         own = block_of(docs)
-        items, off = w.items(own)
-        seed, context, first, n, at = seeds(w, items, off)
-        kinds, bucket, count = _distinct_seeds(seed, buckets)
-        repeated = count > 1
+        items = w.items(own, True)
+        seed, context, first, n, at = seeds(w, items.values, items.off)
+        kinds, bucket, count, _, of = distinct_seeds(seed, context, buckets)
+        more, hot = np.zeros(len(kinds), bool), np.zeros(len(kinds), bool)
         bits = dict(zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist()))
         for k, a, b in by_bucket(bucket, buckets):
-            repeated[a:b] |= np.unpackbits(np.frombuffer(bits[k], np.uint8))[: b - a].astype(bool)
-        sel = np.flatnonzero(np.isin(seed, kinds[repeated]))
-        order = sel[np.lexsort([first[sel], context[sel], seed[sel]])]
-        again = np.concatenate([[False], (seed[order][1:] == seed[order][:-1]) & (context[order][1:] == context[order][:-1])]) if len(order) else np.zeros(0, bool)
+            both = np.frombuffer(bits[k], np.uint8).reshape(2, -1)
+            more[a:b], hot[a:b] = (np.unpackbits(x)[: b - a].astype(bool) for x in both)
+        sel = np.flatnonzero(((count > 1) | more)[of])
+        of, seed, context, first, n, at = (x[sel] for x in (of, seed, context, first, n, at))
+        keep, gone = settled(items.exact, w.size, of, context, first, n, at)
+        ranges = [(first[gone], first[gone] + n[gone] - 1 + w.size)]
+        keep = keep[(more[of] | (np.bincount(of[keep], minlength=len(kinds)) > 1)[of])[keep]]
+        # the windows of hot seeds stand alone: the hash of all their items is their seed
+        single = keep[hot[of[keep]]]
+        if len(single):
+            keep = keep[~hot[of[keep]]]
+            each = np.repeat(single, n[single])
+            inner = np.arange(len(each)) - np.repeat(np.cumsum(n[single]) - n[single], n[single])
+            begin, place = first[each] + inner, at[each] - inner
+            order = np.argsort(begin, kind="stable")
+            begin, place = begin[order], place[order]
+            own_seed = mix(spans(w, items.values, begin, begin + w.size))
+            one = np.ones(len(begin), np.int64)
+            stay, again = settled(items.exact, w.size, np.zeros(len(begin), np.int64), own_seed, begin, one, place)
+            ranges.append((begin[again], begin[again] + w.size))
+            seed, first, n, at = (np.concatenate([x[keep], y[stay]]) for x, y in ((seed, own_seed), (first, begin), (n, one), (at, place)))
+        else:
+            seed, first, n, at = (x[keep] for x in (seed, first, n, at))
         out = []
-        gone = order[again]
-        if len(gone):
-            out.append((-1 - block, block, RANGES, merged(first[gone], first[gone] + n[gone] - 1 + w.size).tobytes()))
-        keep = order[~again]
-        rows = np.zeros(len(keep), _CONTEXT)
-        doc = np.searchsorted(off, first[keep], "right") - 1
-        for name, value in (("seed", seed[keep]), ("items", context[keep]), ("doc", own.ids[doc]), ("start", first[keep]), ("n", n[keep]), ("at", at[keep])):
-            rows[name] = value
-        bucket = bucket_of(rows["seed"], buckets)
-        order = np.argsort(bucket, kind="stable")
-        rows, bucket = rows[order], bucket[order]
-        out += [(k, block, OPEN, rows[a:b].tobytes()) for k, a, b in by_bucket(bucket, buckets)]
+        start, end = (np.concatenate(x) for x in zip(*ranges))
+        if len(start):
+            out.append((-1 - block, block, merged(start, end).tobytes()))
+        bucket = bucket_of(seed, buckets)
+        order = np.lexsort([first, bucket])
+        doc = np.searchsorted(items.off, first, "right") - 1
+        head = np.zeros(len(order), _HEAD)
+        for name, value in (("seed", seed), ("doc", own.ids[doc]), ("tie", own.ties[doc]), ("start", first), ("n", n), ("at", at)):
+            head[name] = value[order]
+        first, span, bucket = first[order], (n - 1 + w.size)[order], bucket[order]
+        for k, a, b in by_bucket(bucket, buckets):
+            out.append((k, block, np.uint32(b - a).tobytes() + head[a:b].tobytes() + items.pack(first[a:b], span[a:b])))
         return messages(out)
 
     return run
 
 
-def _pass_on(key, table: pa.Table) -> pa.Table | None:
-    """What a block sends to itself comes back as it is."""
-    return table.select(_NAMES).cast(messages([]).schema) if key[0].as_py() < 0 else None
-
-
 def judge_contexts(w: Windows):
     def run(key, table):
-        if (own := _pass_on(key, table)) is not None:
-            return own
-        bucket, blocks = int(key[0].as_py()), table.column("block").to_numpy()
-        parts = [np.frombuffer(d, _CONTEXT) for d in table.column("data").to_pylist()]
-        rows = np.concatenate(parts)
-        block = np.repeat(blocks, [len(p) for p in parts])
-        order = np.lexsort([rows["start"], rows["doc"], rows["items"], rows["seed"]])
-        rows, block = rows[order], block[order]
-        new_seed = np.concatenate([[True], rows["seed"][1:] != rows["seed"][:-1]])
-        new_kind = new_seed | np.concatenate([[True], rows["items"][1:] != rows["items"][:-1]])
-        number = np.cumsum(new_seed) - 1
-        kinds = np.bincount(number, new_kind)
-        several = new_kind & (kinds[number] > 1)
-        out = []
-        for kind, chosen in ((RANGES, ~new_kind), (OPEN, several)):
-            at = np.flatnonzero(chosen)
-            at = at[np.argsort(block[at], kind="stable")]
-            for b in np.unique(block[at]).tolist():
-                own = rows[at[block[at] == b]] if len(at) < 64 else rows[at[np.searchsorted(block[at], b) : np.searchsorted(block[at], b, "right")]]
-                if kind == RANGES:
-                    data = merged(own["start"].astype(np.int64), own["start"].astype(np.int64) + own["n"] - 1 + w.size)
-                else:
-                    data = np.zeros(len(own), _OPEN)
-                    for name in _OPEN.names:
-                        data[name] = own[name]
-                out.append((bucket, b, kind, data.tobytes()))
-        return messages(out)
-
-    return run
-
-
-def send_windows(w: Windows, buckets: int):
-    def run(key, docs, replies):
-        block = int(key[0].as_py())
-        if not docs.num_rows or not replies.num_rows:
-            return messages([])
-        out, kinds, data = [], replies.column("kind").to_numpy(), replies.column("data").to_pylist()
-        ranges = [np.frombuffer(d, _RANGE) for d, k in zip(data, kinds) if k == RANGES]
-        if ranges:
-            every = np.concatenate(ranges)
-            out.append((-1 - block, block, RANGES, merged(every["start"].astype(np.int64), every["end"].astype(np.int64)).tobytes()))
-        opened = [np.frombuffer(d, _OPEN) for d, k in zip(data, kinds) if k == OPEN]
-        if opened:
-            own = block_of(docs)
-            items, off = w.items(own)
-            rows = np.concatenate(opened)
-            bucket = bucket_of(rows["seed"], buckets)
-            order = np.lexsort([rows["start"], bucket])
-            rows, bucket = rows[order], bucket[order]
-            start = rows["start"].astype(np.int64)
-            size = rows["n"].astype(np.int64) - 1 + w.size
-            head = np.zeros(len(rows), _HEAD)
-            for name in _OPEN.names:
-                head[name] = rows[name]
-            head["doc"] = own.ids[np.searchsorted(off, start, "right") - 1]
-            ends = np.concatenate([[0], np.cumsum(size)])
-            for k, a, b in by_bucket(bucket, buckets):
-                at = np.arange(ends[b] - ends[a]) + np.repeat(start[a:b] - (ends[a:b] - ends[a]), size[a:b])
-                out.append((k, block, OPEN, np.uint32(b - a).tobytes() + head[a:b].tobytes() + items[at].tobytes()))
-        return messages(out)
-
-    return run
-
-
-def judge_windows(w: Windows, dtype: str):
-    def run(key, table):
-        if (own := _pass_on(key, table)) is not None:
-            return own
+        if key[0].as_py() < 0:  # what a block sends to itself comes back as it is
+            return table.select(_NAMES).cast(messages([]).schema)
         heads, contents = [], []
         for d in table.column("data").to_pylist():
             n = int(np.frombuffer(d, np.uint32, 1)[0])
             heads.append(np.frombuffer(d, _HEAD, n, 4))
-            contents.append(np.frombuffer(d, dtype, offset=4 + n * _HEAD.itemsize))
+            contents.append(d[4 + n * _HEAD.itemsize :])
         block = np.repeat(table.column("block").to_numpy(), [len(h) for h in heads])
-        head, items = np.concatenate(heads), np.concatenate(contents)
-        n = head["n"].astype(np.int64)
-        begin = np.concatenate([[0], np.cumsum(n - 1 + w.size)])[:-1]
-        # every window: its context, its place in it, and its place relative to the seed
-        context = np.repeat(np.arange(len(head)), n)
-        inner = np.arange(len(context)) - np.repeat(np.cumsum(n) - n, n)
-        rel = inner - head["at"].astype(np.int64)[context]
-        place = head["start"].astype(np.int64)[context] + inner
-        seed, doc = head["seed"][context], head["doc"][context]
-        order = np.lexsort([place, doc, rel, seed])
-        group = np.concatenate([[True], (seed[order][1:] != seed[order][:-1]) | (rel[order][1:] != rel[order][:-1])])
-        gone = order[w.resolve(items, (begin[context] + inner)[order], np.cumsum(group) - 1, w.size)]
+        head, items = np.concatenate(heads), w.unpack(contents)
+        n, at, start = (head[x].astype(np.int64) for x in ("n", "at", "start"))
+        span = n - 1 + w.size
+        begin = np.cumsum(span) - span
+        # in order of document and place, of contexts whose seed meets another one
+        _, of, count = np.unique(head["seed"], return_inverse=True, return_counts=True)
+        sel = np.flatnonzero(count[of] > 1)
+        order = sel[np.lexsort([(start + at)[sel], block[sel], head["tie"][sel], head["doc"][sel]])]
+        of, n, at, start, span, begin, block = (x[order] for x in (of, n, at, start, span, begin, block))
+        window = np.cumsum(n) - n
+        repeats = np.zeros(int(n.sum()), bool)
+        if len(order):
+            left, right = w.classes(items, begin + at, at, span - at, of)
+            for l in range(w.size - w.gram + 1):
+                has = np.flatnonzero((at >= l) & (at - l < n))
+                key_ = left(l)[has] * np.int64(len(order) + 1) + right(w.size - l)[has]
+                by = np.argsort(key_, kind="stable")
+                later = by[1:][key_[by][1:] == key_[by][:-1]]
+                repeats[(window + at - l)[has[later]]] = True
+        gone = np.flatnonzero(repeats)
+        of_window = np.searchsorted(window, gone, "right") - 1
+        place = start[of_window] + gone - window[of_window]
+        of_block = block[of_window]
+        order = np.argsort(of_block, kind="stable")
+        place, of_block = place[order], of_block[order]
         out = []
-        at = gone[np.argsort(block[context[gone]], kind="stable")]
-        of = block[context[at]]
-        for b in np.unique(of).tolist():
-            own = place[at[np.searchsorted(of, b) : np.searchsorted(of, b, "right")]]
-            out.append((int(key[0].as_py()), b, RANGES, merged(own, own + w.size).tobytes()))
+        for b in np.unique(of_block).tolist():
+            own = place[np.searchsorted(of_block, b) : np.searchsorted(of_block, b, "right")]
+            out.append((int(key[0].as_py()), b, merged(own, own + w.size).tobytes()))
         return messages(out)
 
     return run
 
 
-def removed(own: Block, n_items: int, replies: pa.Table) -> np.ndarray:
+def removed(n_items: int, replies: pa.Table) -> np.ndarray:
     """Which items of a block are removed, from the ranges that came back."""
     edge = np.zeros(n_items + 1, np.int32)
     for d in replies.column("data").to_pylist():
@@ -354,14 +378,23 @@ def removed(own: Block, n_items: int, replies: pa.Table) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def deduplicated(docs: DataFrame, w: Windows, dtype: str, finish, schema: str, id_col: str, text_col: str) -> DataFrame:
+def parts_of(docs: DataFrame, n_bytes: int, block_bytes: int) -> int:
+    """Tasks of a round: by the input's bytes, but on small inputs enough for all cores."""
+    cores = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    return max(math.ceil(n_bytes / (2 * block_bytes)), min(cores, math.ceil(n_bytes / (256 << 10))), 1)
+
+
+def deduplicated(docs: DataFrame, w: Windows, finish, schema: str, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """``finish`` (key, documents of a block, its ranges) -> rows of ``schema``."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets, blocks = parts, 2 * parts
     rows = id_and_text(docs, id_col, text_col)
-    dealt = rows.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(blocks).cast("long")).alias("block"))
-    at = lambda df: dealt.groupBy("block").cogroup(df.groupBy("block"))
+    n_bytes = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = parts_of(docs, n_bytes, block_bytes)
+    buckets = blocks = 2 * parts
+    # rows without an id are dealt out, and ordered, by a hash of their text
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long"))
+    dealt = rows.select("doc_id", "text", tie.alias("tie"), F.pmod(F.xxhash64("doc_id", tie), F.lit(blocks).cast("long")).alias("block")).repartition(parts, "block")
+    at_bucket = lambda df: df.repartition(parts, "bucket").groupBy("bucket")
+    at_block = lambda df: dealt.groupBy("block").cogroup(df.repartition(parts, "block").groupBy("block"))
     one = dealt.groupBy("block").applyInArrow(send_seeds(w, buckets), MESSAGE)
-    two = at(one.groupBy("bucket").applyInArrow(judge_seeds, MESSAGE)).applyInArrow(send_contexts(w, buckets), MESSAGE)
-    three = at(two.groupBy("bucket").applyInArrow(judge_contexts(w), MESSAGE)).applyInArrow(send_windows(w, buckets), MESSAGE)
-    return at(three.groupBy("bucket").applyInArrow(judge_windows(w, dtype), MESSAGE)).applyInArrow(finish, schema)
+    two = at_block(at_bucket(one).applyInArrow(judge_seeds(hot), MESSAGE)).applyInArrow(send_contexts(w, buckets), MESSAGE)
+    return at_block(at_bucket(two).applyInArrow(judge_contexts(w), MESSAGE)).applyInArrow(finish, schema)

@@ -1,7 +1,9 @@
-"""Words of UTF-8 buffers and their 64-bit hashes, in numpy."""
+"""Words of UTF-8 buffers, their 64-bit hashes, and exact numbers, in numpy."""
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 from .common import mix
@@ -9,8 +11,12 @@ from .common import mix
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-#: Places whose powers are held; longer words are hashed in parts of so many bytes.
+#: Places whose powers are held.
 SPAN = 1 << 16
+#: Words beyond so many bytes are hashed by BLAKE2b: polynomials modulo 2 ** 64 fail on some long ones.
+LONG = 48
+#: Bytes of words compared at once.
+STEP = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -66,22 +72,53 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each word's bytes and length."""
+    """A hash of each word's bytes and length; it may be equal for different words, so it only routes and sorts."""
     out = np.zeros(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         a = int(starts[at])
         stop = int(np.searchsorted(ends, a + SPAN, "right"))
-        if stop <= at:  # one word beyond SPAN
-            h = 0
-            for x in range(a, int(ends[at]), SPAN):
-                part = buf[x : min(x + SPAN, int(ends[at]))]
-                p = FIRST.prefixes(BYTE[part])
-                h = int(mix(np.array([h ^ int(p[-1])], np.uint64))[0])
-            out[at] = h
-            at += 1
-            continue
-        prefix = FIRST.prefixes(BYTE[buf[a : int(ends[stop - 1])]])
-        out[at:stop] = FIRST.span(prefix, starts[at:stop] - a, ends[at:stop] - a)
-        at = stop
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        if stop > at:
+            prefix = FIRST.prefixes(BYTE[buf[a : int(ends[stop - 1])]])
+            out[at:stop] = FIRST.span(prefix, starts[at:stop] - a, ends[at:stop] - a)
+        at = max(stop, at + 1)
+    size = ends - starts
+    out = mix(out + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for i in np.flatnonzero(size > LONG).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def gathered(starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ..., ``size`` of them from each start."""
+    return np.arange(int(size.sum())) + np.repeat(starts - (np.cumsum(size) - size), size)
+
+
+def word_numbers(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    """Numbers from 0 that are equal exactly where words are: hashes sort the words, their bytes decide."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    hashes = word_hashes(buf, starts, ends) if hashes is None else hashes
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    model, size = first[number], ends - starts
+    equal = bool((size == size[model]).all())
+    if equal:
+        tried = np.flatnonzero(model != np.arange(len(model)))
+        cut = np.flatnonzero(np.diff(np.cumsum(size[tried]) // STEP, prepend=-1)) if len(tried) else []
+        for part in np.split(tried, cut[1:]):
+            if not np.array_equal(buf[gathered(starts[part], size[part])], buf[gathered(starts[model[part]], size[part])]):
+                equal = False
+                break
+    if equal:
+        return number
+    raw, known = buf.tobytes(), {}  # two different words share a hash
+    return np.array([known.setdefault(raw[a:b], len(known)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+
+
+def gram_numbers(items: np.ndarray, starts: np.ndarray, n: int, group: np.ndarray | None = None) -> np.ndarray:
+    """Numbers equal exactly where the ``n`` items from each start (and the groups) are; items are numbers from 0."""
+    number = np.zeros(len(starts), np.int64) if group is None else group
+    most = np.int64(items.max() + 1) if len(items) else np.int64(1)
+    for j in range(n):
+        number = np.unique(number * most + items[starts + j], return_inverse=True)[1]
+    return number
