@@ -1,17 +1,18 @@
 """Exact dedup by content-defined chunk recipes.
 
-A text, with A-Z lower-cased, is cut into chunks where a gear hash of the last 32
-bytes has ``CUT_BITS`` zero bits.  A chunk's identifier is a 64-bit key; keys are
-verified over the deduplicated chunks by two further 64-bit digests, and a
-document that holds a key of two different chunks gets identifiers extended by
-those digests.  Texts are then compared as ordered identifier lists (recipes), with
-the SHA-256 of the whole text as an exact check, so long texts move through no
-shuffle at all.
+A text, with A-Z lower-cased, is cut into chunks where a gear hash of the last 32 bytes has
+``CUT_BITS`` zero bits.  A chunk's identifier is a short digest.  Chunks are deduplicated by
+identifier, and each identifier is verified: the least and the greatest bytes that have it must
+be equal.  If one identifier stands for two different chunks, all identifiers are lengthened and
+the recipes are made anew, so that equal identifiers always mean equal bytes.  Texts are then
+compared as ordered lists of identifiers (recipes).  Chunks move once, deduplicated within each
+task; after that long texts stand for a few bytes a chunk.  Groups are looked up by a digest of
+the recipe, which is verified in the same way.  The SHA-256 of the whole text is only reported.
 
 Defined results: a null text counts as the empty text; of equal texts the row with
 the largest doc_id stays (a null doc_id is smaller than any other), and of rows that
-repeat that doc_id exactly one; an empty table gives an empty result; other columns
-are not read.
+repeat that doc_id exactly one; an empty table gives an empty result; only the named columns
+are read, so others may have any name; very long texts are cut and compared whole.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, pieces, text_bytes, with_group, written
+from .common import fresh, pieces, text_bytes, with_group, written
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 256, 16384, 11
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
 
-_RECIPES = "row_id long, doc_id long, text_sha256 string, recipe binary, chunks array<struct<k: long, a: long, b: long>>"
+_RECIPES = "row_id long, doc_id long, text_sha256 string, recipe binary"
+#: Bytes of an identifier, and how often it may be doubled.
+KEY_BYTES, LENGTHS = 8, 4
 
 
 def gear(buf: np.ndarray) -> np.ndarray:
@@ -57,70 +60,84 @@ def cuts(candidates: np.ndarray, start: int, end: int) -> list[int]:
     return out
 
 
-def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(column: pa.Array) -> Iterator[list[bytes]]:
+    """The chunks of each text of a column."""
     mask = np.uint32((1 << CUT_BITS) - 1 << 32 - CUT_BITS)
-    kind = pa.list_(pa.struct([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64())]))
-    for batch in pieces(batches):
-        buf, off = text_bytes(batch.column(2))
-        low = buf.tobytes().lower()  # bytes.lower changes A-Z only
-        cand = np.flatnonzero((gear(np.frombuffer(low, np.uint8)) & mask) == 0) + 1
-        at = np.searchsorted(cand, off, "right")
-        shas, recipes, counts, digests = [], [], [], []
-        for i in range(batch.num_rows):
-            s, e = int(off[i]), int(off[i + 1])
-            shas.append(hashlib.sha256(low[s:e]).hexdigest())
-            ends = cuts(cand[at[i] : at[i + 1]], s, e)
-            own = [hashlib.blake2b(low[a:b], digest_size=24).digest() for a, b in zip([s, *ends], ends)]
-            digests += own
-            counts.append(len(own))
-            recipes.append(b"".join(d[:8] for d in own))
-        n = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 3)
-        chunk = pa.StructArray.from_arrays([pa.array(n[:, j].copy()) for j in range(3)], ["k", "a", "b"])
-        ends_ = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends_), chunk).cast(kind)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shas), pa.array(recipes, pa.binary()), lists], ["row_id", "doc_id", "text_sha256", "recipe", "chunks"])
-
-
-def recipes(docs: DataFrame) -> DataFrame:
+    buf, off = text_bytes(column)
+    low = buf.tobytes().lower()  # bytes.lower changes A-Z only
+    cand = np.flatnonzero((gear(np.frombuffer(low, np.uint8)) & mask) == 0) + 1
+    at = np.searchsorted(cand, off, "right")
+    for i, (s, e) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+        ends = cuts(cand[at[i] : at[i + 1]], s, e)
+        yield [low[a:b] for a, b in zip([s, *ends], ends)]
+
+
+def _key(chunk: bytes, size: int) -> bytes:
+    return hashlib.blake2b(chunk, digest_size=64).digest()[:size]
+
+
+def recipes(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
     """One row per row of ``docs`` (row_id, doc_id, text): its whole-text digest and its chunk recipe."""
-    return docs.select("row_id", "doc_id", "text").mapInArrow(_recipes, _RECIPES)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            shas, made = [], []
+            for chunks in _chunks(batch.column(2)):
+                shas.append(hashlib.sha256(b"".join(chunks)).hexdigest())
+                made.append(b"".join(_key(c, key_bytes) for c in chunks))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shas), pa.array(made, pa.binary())], [x.split()[0] for x in _RECIPES.split(", ")])
+
+    return docs.select("row_id", "doc_id", "text").mapInArrow(run, _RECIPES)
+
+
+def chunk_table(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """The deduplicated chunks: identifier, number of uses, bytes, and whether all uses have the same bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, most=1 << 23):
+            seen: dict[bytes, int] = {}  # a task sends a chunk about once
+            for chunks in _chunks(batch.column(0)):
+                for c in chunks:
+                    seen[c] = seen.get(c, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([_key(c, key_bytes) for c in seen], pa.binary()), pa.array(seen, pa.binary()), pa.array(seen.values(), pa.int64())], ["k", "chunk", "uses"])
 
-def chunk_table(made: DataFrame) -> DataFrame:
-    """The deduplicated chunks: key, number of uses, and whether every use has the same digests."""
-    c = made.select(F.explode("chunks").alias("c")).select("c.*")
-    table = c.groupBy("k").agg(F.count("*").alias("uses"), *[f(x).alias(f"{n}_{x}") for x in "ab" for n, f in (("lo", F.min), ("hi", F.max))])
-    same = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b"))
-    return table.select("k", "uses", same.alias("verified"))
+    one = docs.select("text").mapInArrow(run, "k binary, chunk binary, uses long")
+    table = one.groupBy("k").agg(F.sum("uses").alias("uses"), F.min("chunk").alias("chunk"), F.max("chunk").alias("other"))
+    return table.select("k", "uses", "chunk", (F.col("chunk") == F.col("other")).alias("verified"))
 
 
-def verified_recipes(made: DataFrame) -> DataFrame:
-    """Recipes of which equal ones stand for equal chunk lists."""
-    clash = chunk_table(made).filter(~F.col("verified")).select("k")
-    if clash.isEmpty():
-        return made.drop("chunks")
-    hit = made.select("row_id", F.explode("chunks.k").alias("k")).join(clash, "k", "left_semi").select("row_id").distinct().withColumn("hit", F.lit(True))
-    long_form = F.encode(F.to_json("chunks"), "utf-8")
-    return made.join(hit, "row_id", "left").withColumn("recipe", F.when(F.col("hit"), long_form).otherwise(F.col("recipe"))).drop("hit", "chunks")
+def verified_recipes(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
+    """Recipes, in a written table, of which equal ones stand for equal chunk lists."""
+    for _ in range(LENGTHS):
+        if chunk_table(docs, key_bytes).filter(~F.col("verified")).isEmpty():
+            return written(recipes(docs, key_bytes), "recipes")
+        key_bytes = max(1, 2 * key_bytes)
+    raise RuntimeError("different chunks share digests of every length")
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_id: str | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_id: str | None = None, key_bytes: int = KEY_BYTES) -> DataFrame:
     """Per row: row_id, doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``row_id`` names a column that tells rows apart; without it the row's place in its
-    partition is used, which is stable for a table.
+    ``row_id`` names a column that tells rows apart; without it rows are numbered when the
+    table of recipes is written, once.
     """
-    rid = F.col(row_id) if row_id else F.monotonically_increasing_id()
-    rows = id_and_text(docs, id_col, text_col).withColumn("row_id", rid) if not row_id else docs.select(rid.cast("long").alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = written(recipes(rows), "recipes")
-    lists = verified_recipes(made)
-    groups = lists.groupBy("recipe", "text_sha256").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("keep"))
-    out = with_group(lists, groups, ["recipe", "text_sha256"], "group_size", made.count())
+    rid = F.col(row_id).cast("long") if row_id else F.monotonically_increasing_id()
+    rows = docs.select(rid.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    made = verified_recipes(rows, key_bytes)
+    lists = made.withColumn("list_id", F.sha2("recipe", 256))
+    low, high = F.min("recipe").alias("low"), F.max("recipe").alias("high")
+    groups = lists.groupBy("list_id").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("keep"), low, high)
+    if not groups.filter("low != high").isEmpty():  # different recipes share a digest: the recipe itself is the key
+        lists = made.withColumn("list_id", F.hex("recipe"))
+        groups = lists.groupBy("list_id").agg(F.count("*").alias("group_size"), F.max(F.struct("doc_id", "row_id")).alias("keep"))
+    lists, groups = lists.drop("recipe"), groups.select("list_id", "group_size", "keep")
+    out = with_group(lists, groups, ["list_id"], "group_size", made.count())
     return out.select("row_id", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    stay = exact_groups(numbered, id_col, text_col, "__row").filter("kept").select(F.col("row_id").alias("__row"))
-    return numbered.join(stay, "__row", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that stay, with all their columns; rows are numbered once, in a written table."""
+    row = fresh(docs, "row_id")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    stay = exact_groups(numbered, id_col, text_col, row).filter("kept").select(F.col("row_id").alias(row))
+    return numbered.join(stay, row, "left_semi").select(*docs.columns)

@@ -4,10 +4,13 @@ Rolling hashes of several n-gram lengths, in numpy over whole batches, find the
 that repeat an earlier one of their text; the measure is the share of the text's word
 characters that lie inside such n-grams, each character once.  The same share is taken
 for lines equal to an earlier line.  A text is kept if it passes the base rules and no
-share is above its limit.  Equal hashes are verified word by word.
+share is above its limit.  Hashes only sort the windows: neighbours with equal hashes are
+compared word by word, on numbers that are equal exactly where the words' bytes are.
 
 Defined results: a null or empty text has no words and fails; each row is judged by
-itself, so repeated rows get equal results.
+itself, so repeated rows get equal results; an empty table gives an empty result; only the two
+named columns are read, so others may have any name; a very long text is measured whole, alone
+in its batch.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import id_and_text, mix, pieces, text_bytes
-from .words import word_hashes, words
+from .words import word_hashes, word_numbers, words
 
 #: Largest share of characters inside n-grams that repeat an earlier one, by n.
 NGRAM_LIMITS = {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15}
@@ -38,15 +41,15 @@ _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
 
 
-def repeated_windows(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts of the n-word windows that occur again in their text, which of them repeat an earlier one, and all starts' number.
+def repeated_windows(hashes: np.ndarray, numbers: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the n-word windows that repeat an earlier one of their text, and of those that are repeated first.
 
     Windows are sorted by a rolling hash; neighbours with equal hashes are compared word by word.
     """
     m = len(hashes) - n + 1
     if m <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none
+        return none, none
     g = mix(doc[:m].astype(np.uint64) + np.uint64(1))
     for j in range(n):
         g = (g ^ (g >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) + hashes[j : j + m]
@@ -58,16 +61,16 @@ def repeated_windows(hashes: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.nd
     a, b = at[:-1][same], at[1:][same]
     true = doc[a] == doc[b]
     for j in range(n):
-        true &= hashes[a + j] == hashes[b + j]
+        true &= numbers[a + j] == numbers[b + j]
     if not true.all():  # two different windows share a hash: sort by the words themselves
-        order = np.lexsort([at, *(hashes[at + j] for j in range(n)), doc[at]])
+        order = np.lexsort([at, *(numbers[at + j] for j in range(n)), doc[at]])
         at = at[order]
         same = doc[at[1:]] == doc[at[:-1]]
         for j in range(n):
-            same &= hashes[at[1:] + j] == hashes[at[:-1] + j]
+            same &= numbers[at[1:] + j] == numbers[at[:-1] + j]
     later = at[1:][same]
     first = at[:-1][same & ~np.concatenate([[False], same[:-1]])] if len(same) else at[:0]
-    return later, first, at
+    return later, first
 
 
 def covered(starts: np.ndarray, n: int, size: int) -> np.ndarray:
@@ -96,6 +99,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = batch.num_rows
         starts, ends, doc = words(buf, off)
         hashes = word_hashes(buf, starts, ends)
+        numbers = word_numbers(buf, starts, ends, hashes)
         points = np.zeros(len(buf) + 1, np.int64)
         np.cumsum((buf & 0xC0) != 0x80, out=points[1:])
         chars = points[ends] - points[starts]
@@ -108,7 +112,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shares = []
         n_repeat = np.zeros(docs, np.int64)
         for n in NGRAM_LIMITS:
-            later, first, _ = repeated_windows(hashes, doc, n)
+            later, first = repeated_windows(hashes, numbers, doc, n)
             shares.append(of(chars * covered(later, n, len(doc))) / np.maximum(word_chars, 1))
             if n == BASE_N:
                 n_repeat = of(covered(np.concatenate([later, first]), n, len(doc))).astype(np.int64)

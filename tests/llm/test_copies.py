@@ -4,8 +4,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from quarryline.llm import exact_dedup, near_dedup
+from quarryline.llm import exact_dedup, near_dedup, words
+from quarryline.llm.common import text_bytes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -25,12 +27,45 @@ def test_exact(docs, rows, ordered):
     assert stay.columns == docs.columns and stay.count() == len(groups)
 
 
-def test_colliding_chunk_keys_are_told_apart(spark, docs):
-    made = exact_dedup.recipes(docs.selectExpr("monotonically_increasing_id() AS row_id", "doc_id", "text"))
-    one = made.limit(2).collect()
-    two = [(r.row_id, r.doc_id, r.text_sha256, b"12345678", [(1, n, n)]) for n, r in enumerate(one)]
-    same = exact_dedup.verified_recipes(spark.createDataFrame(two, made.schema)).collect()
-    assert len({bytes(r.recipe) for r in same}) == 2
+def test_colliding_chunk_keys_are_told_apart(docs, ordered):
+    want = ordered(exact_dedup.exact_groups(docs).drop("row_id", "kept").collect())
+    for key_bytes in (0, 1):  # all chunks, or many, share an identifier at first
+        assert ordered(exact_dedup.exact_groups(docs, key_bytes=key_bytes).drop("row_id", "kept").collect()) == want
+    rows = docs.selectExpr("monotonically_increasing_id() AS row_id", "doc_id", "text")
+    assert not exact_dedup.chunk_table(rows, 1).filter("not verified").isEmpty()
+    assert exact_dedup.chunk_table(rows).filter("not verified").isEmpty()
+
+
+def test_recipes_decide_and_not_the_reported_digest(docs, ordered, monkeypatch):
+    want = ordered(exact_dedup.exact_groups(docs).drop("row_id", "kept", "text_sha256").collect())
+    true = exact_dedup.verified_recipes
+    monkeypatch.setattr(exact_dedup, "verified_recipes", lambda *a: true(*a).withColumn("text_sha256", F.lit("same")))
+    assert ordered(exact_dedup.exact_groups(docs).drop("row_id", "kept", "text_sha256").collect()) == want
+
+
+def test_colliding_recipe_digests_are_told_apart(docs, ordered, monkeypatch):
+    want = ordered(exact_dedup.exact_groups(docs).drop("row_id", "kept").collect())
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("same"))
+    assert ordered(exact_dedup.exact_groups(docs).drop("row_id", "kept").collect()) == want
+
+
+@pytest.mark.parametrize("dropped", [exact_dedup.drop_exact_copies, near_dedup.drop_near_copies])
+def test_rows_are_numbered_once(spark, docs, dropped):
+    """Other file splits at the time the result is read, and columns named as the operators' own."""
+    more = docs.withColumnsRenamed({"kept": "__row", "lang": "list_id"}).withColumn("__row", F.monotonically_increasing_id()).withColumn("ROW_ID_", F.lit("x"))
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/{dropped.__name__}"
+    more.write.parquet(path)
+    table = spark.read.parquet(path)
+    out = dropped(table)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    want = sorted(out.collect(), key=str)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        assert sorted(out.collect(), key=str) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert out.columns == table.columns and {r["__row"] for r in want} <= {r["__row"] for r in table.collect()}
+    assert {r["ROW_ID_"] for r in want} == {"x"}
 
 
 def test_cuts_stay_in_bounds():
@@ -102,8 +137,24 @@ def test_signatures_are_unbiased():
     a = np.sort(np.repeat(rng.integers(0, 1 << 63, 40, dtype=np.uint64), rng.integers(1, 9, 40)))
     b = np.sort(np.concatenate([a[: len(a) * 3 // 4], rng.integers(0, 1 << 63, 20, dtype=np.uint64)]))
     both, at = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
-    s, sets = near_dedup.signatures(both, at, 4096), near_dedup.numbered(both, at)
-    assert (s[0] == s[1]).mean() == pytest.approx(near_dedup.similarity(sets[: len(a)], sets[len(a) :]), abs=0.03)
+    s = near_dedup.signatures(both, at, 4096)
+    assert (s[0] == s[1]).mean() == pytest.approx(similar(Counter(a.tolist()), Counter(b.tolist())), abs=0.03)
+
+
+@pytest.mark.parametrize("same_hash", [False, True])
+def test_verification_rests_on_words(monkeypatch, same_hash):
+    """Words of equal polynomial hashes, and all words of one hash."""
+    if same_hash:
+        monkeypatch.setattr(words, "word_hashes", lambda buf, starts, ends: np.ones(len(starts), np.uint64))
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, two = ("".join(x[b] for b in bits) for x in ("ab", "ba"))
+    texts = [" ".join([one] * 6), " ".join([two] * 6), " ".join([one] * 6).upper(), "a b c d e f g", "a b c d e f h", "a b", "a b ", "", " ", "a b c a b c a b c a b c a b"]
+    column = pa.chunked_array([pa.array(texts)])
+    marks, at = near_dedup.sets(*text_bytes(column))
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            want = similar(bag(texts[i]), bag(texts[j])) if bag(texts[i]) or bag(texts[j]) else 1.0
+            assert near_dedup.similarity(marks[at[i] : at[i + 1]], marks[at[j] : at[j + 1]]) == want
 
 
 def test_pairs_without_a_pivot_are_all_verified(monkeypatch):

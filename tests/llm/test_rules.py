@@ -4,7 +4,10 @@ import re
 import sys
 from collections import Counter
 
-from quarryline.llm import licenses, pii, quality
+import numpy as np
+import pyarrow as pa
+
+from quarryline.llm import licenses, pii, quality, words
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -27,6 +30,19 @@ def test_quality(docs, rows, ordered):
     assert not any(r.kept and r.base_failed for r in got)
 
 
+def test_quality_compares_words_by_their_bytes(spark, monkeypatch):
+    bits = [bin(i).count("1") % 2 for i in range(4096)]
+    one, two = ("".join(x[b] for b in bits) for x in ("ab", "ba"))
+    own = ["p", "q", "r", "s"]
+    texts = [" ".join([*own, one, "x", *own, two]), " ".join([*own, one, "x", *own, one])]
+    batch = pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(texts)], ["doc_id", "text"])
+    for _ in range(2):
+        got = next(quality._measure(iter([batch]))).to_pylist()
+        assert [r["n_repeat_words"] for r in got] == [0, 10] and [r["base_failed"] for r in got] == [False, True]
+        for module in (quality, words):  # the second time all words have one hash
+            monkeypatch.setattr(module, "word_hashes", lambda buf, starts, ends: np.ones(len(starts), np.uint64))
+
+
 def test_licenses(docs, rows, spark, ordered):
     more = [(7000, "CC-BY-NC cc by nc"), (7001, "xcc by nc"), (7002, "under the MIT License. Apache License, Version 2.0"), (7003, "under THE\nMIT--LICENSE! " * 50), (7004, "Licensed under the Apache License, Version 2.0, and GPL v3 license"), (7005, "cc-by-nc-sa 4.0")]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
