@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from .common import id_and_text, mix, text_bytes
 from .words import FIRST, SECOND
 
-MESSAGE = "bucket long, block long, data binary"
+MESSAGE = "bucket int, block int, data binary"
 _NAMES = ["bucket", "block", "data"]
-_KINDS = [pa.int64(), pa.int64(), pa.binary()]
+_KINDS = [pa.int32(), pa.int32(), pa.binary()]
 
 _HEAD = np.dtype([("seed", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<u4"), ("n", "u1"), ("at", "u1")])
 _RANGE = np.dtype([("start", "<u4"), ("end", "<u4")])
@@ -381,7 +381,7 @@ def removed(n_items: int, replies: pa.Table) -> np.ndarray:
 def parts_of(docs: DataFrame, n_bytes: int, block_bytes: int) -> int:
     """Tasks of a round: by the input's bytes, but on small inputs enough for all cores."""
     cores = 2 * docs.sparkSession.sparkContext.defaultParallelism
-    return max(math.ceil(n_bytes / (2 * block_bytes)), min(cores, math.ceil(n_bytes / (256 << 10))), 1)
+    return max(math.ceil(n_bytes / block_bytes), min(cores, math.ceil(n_bytes / (256 << 10))), 1)
 
 
 def deduplicated(docs: DataFrame, w: Windows, finish, schema: str, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
@@ -389,12 +389,13 @@ def deduplicated(docs: DataFrame, w: Windows, finish, schema: str, id_col: str,
     rows = id_and_text(docs, id_col, text_col)
     n_bytes = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     parts = parts_of(docs, n_bytes, block_bytes)
-    buckets = blocks = 2 * parts
     # rows without an id are dealt out, and ordered, by a hash of their text
     tie = F.when(F.col("doc_id").isNull(), F.xxhash64(F.coalesce("text", F.lit("")))).otherwise(F.lit(0).cast("long"))
-    dealt = rows.select("doc_id", "text", tie.alias("tie"), F.pmod(F.xxhash64("doc_id", tie), F.lit(blocks).cast("long")).alias("block")).repartition(parts, "block")
-    at_bucket = lambda df: df.repartition(parts, "bucket").groupBy("bucket")
-    at_block = lambda df: dealt.groupBy("block").cogroup(df.repartition(parts, "block").groupBy("block"))
-    one = dealt.groupBy("block").applyInArrow(send_seeds(w, buckets), MESSAGE)
-    two = at_block(at_bucket(one).applyInArrow(judge_seeds(hot), MESSAGE)).applyInArrow(send_contexts(w, buckets), MESSAGE)
+    block = F.pmod(F.xxhash64("doc_id", tie), F.lit(parts).cast("long")).cast("int")
+    # a partition is one block, or one bucket and what some blocks send to themselves
+    dealt = rows.select("doc_id", "text", tie.alias("tie"), block.alias("block")).repartitionById(parts, F.col("block"))
+    at_bucket = lambda df: df.repartitionById(parts, F.col("bucket")).groupBy("bucket")
+    at_block = lambda df: dealt.groupBy("block").cogroup(df.repartitionById(parts, F.col("block")).groupBy("block"))
+    one = dealt.groupBy("block").applyInArrow(send_seeds(w, parts), MESSAGE)
+    two = at_block(at_bucket(one).applyInArrow(judge_seeds(hot), MESSAGE)).applyInArrow(send_contexts(w, parts), MESSAGE)
     return at_block(at_bucket(two).applyInArrow(judge_contexts(w), MESSAGE)).applyInArrow(finish, schema)
