@@ -1,197 +1,120 @@
 """License scans by ordered signature rules, in DataFrame functions only.
 
-A rule is a regex over a text's words (A-Z lower-cased, one space between words), keywords
-of which one must occur before the regex is tried, a label and a priority.  Texts without
-any family keyword are passed over by one scan; in the others each rule whose own keyword
-occurs is tried.  Detections are intervals of words.  A detection inside another one of
-higher priority, or of equal priority and greater length, is suppressed; rule order settles
-what is left.  Base phrases are never suppressed.
-
-Defined results: a null text is empty; an empty text has no words, no labels and score 0;
-rows are independent, so repeated rows get equal results.
+The rules (``license_rules``) are regexes over a text's words (A-Z lower-cased, one space
+between words), each with a keyword that all its matches contain, a label and a priority.  Two
+gates come first: a text without the longest word of any rule's keyword is passed over, and a
+rule is tried only where its keyword occurs; both are derived from the rules.  Detections are
+intervals of words.  A detection inside another one of higher priority, or of equal priority
+and greater length, is suppressed; rule order settles what is left.  Base phrases are never
+suppressed.
+
+Defined results: a null text is empty; an empty text has no words, no labels and score 0; rows
+are independent, so repeated rows get equal results; an empty table gives an empty result; only
+the two named columns are read, so others may have any name; very long texts are scanned whole,
+in time that grows with n * sqrt(n) for n matches.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import chunks, let, running
 from .common import id_and_text
+from .license_rules import BASE, RULES, Rule
+
+__all__ = ["BASE", "RULES", "scanned"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Separators between words once A-Z are lower-cased, and before that.
+#: Separators between words once A-Z are lower-cased, and words before that.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_MARK = "\x01"  # not part of any word
 
-#: The base phrases and their labels.
-BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
-
-#: Licenses: label, keywords of which one must occur, name as a regex over words, regex of the version or nothing.
-LICENSES = [
-    ("mit", "mit|expat|x11", "mit|expat|x11", ""),
-    ("mit-0", "mit", "mit 0|mit no attribution", ""),
-    ("apache-2", "apache", "apache(?: software)?", "(?:version |v ?)?2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)?", "(?:version |v ?)?1 1"),
-    ("apache-1", "apache", "apache(?: software)?", "(?:version |v ?)?1(?: 0)?"),
-    ("bsd-2-clause", "bsd", "bsd 2 clause|2 clause bsd|simplified bsd|freebsd", ""),
-    ("bsd-3-clause", "bsd", "bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd", ""),
-    ("bsd-4-clause", "bsd", "bsd 4 clause|4 clause bsd|original bsd", ""),
-    ("bsd", "bsd", "bsd(?: style)?", ""),
-    ("0bsd", "bsd", "0bsd|zero clause bsd", ""),
-    ("gpl-2", "gpl|general public", "(?:gnu )?(?:gpl|general public)", "(?:version |v ?)?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3", "gpl|general public", "(?:gnu )?(?:gpl|general public)", "(?:version |v ?)?3(?: 0)?(?: only| or later)?"),
-    ("gpl", "gpl|general public", "gnu gpl|gpl|gnu general public", ""),
-    ("lgpl-2.1", "lgpl|lesser general|library general", "(?:gnu )?(?:lgpl|lesser general public|library general public)", "(?:version |v ?)?2 1(?: only| or later)?"),
-    ("lgpl-3", "lgpl|lesser general", "(?:gnu )?(?:lgpl|lesser general public)", "(?:version |v ?)?3(?: 0)?(?: only| or later)?"),
-    ("lgpl", "lgpl|lesser general", "(?:gnu )?(?:lgpl|lesser general public)", ""),
-    ("agpl-3", "agpl|affero", "(?:gnu )?(?:agpl|affero general public)", "(?:version |v ?)?3(?: 0)?(?: only| or later)?"),
-    ("agpl", "agpl|affero", "(?:gnu )?(?:agpl|affero general public)", ""),
-    ("mpl-1.1", "mpl|mozilla", "mpl|mozilla public", "(?:version |v ?)?1 1"),
-    ("mpl-2", "mpl|mozilla", "mpl|mozilla public", "(?:version |v ?)?2(?: 0)?"),
-    ("epl-1", "epl|eclipse", "epl|eclipse public", "(?:version |v ?)?1(?: 0)?"),
-    ("epl-2", "epl|eclipse", "epl|eclipse public", "(?:version |v ?)?2(?: 0)?"),
-    ("eupl-1.2", "eupl|european union", "eupl|european union public", "(?:version |v ?)?1 2"),
-    ("cddl-1", "cddl|common development", "cddl|common development and distribution", "(?:version |v ?)?1(?: 0| 1)?"),
-    ("cpl-1", "cpl|common public", "cpl|common public", "(?:version |v ?)?1(?: 0)?"),
-    ("artistic-1", "artistic", "artistic", "(?:version |v ?)?1(?: 0)?"),
-    ("artistic-2", "artistic", "artistic", "(?:version |v ?)?2(?: 0)?"),
-    ("isc", "isc", "isc", ""),
-    ("zlib", "zlib", "zlib(?: libpng)?", ""),
-    ("bsl-1", "boost|bsl", "boost(?: software)?|bsl", "(?:version |v ?)?1(?: 0)?"),
-    ("unlicense", "unlicen", "unlicen[cs]e", ""),
-    ("wtfpl", "wtfpl|do what the", "wtfpl|do what the fuck you want to public", ""),
-    ("postgresql", "postgresql", "postgresql", ""),
-    ("python-2", "psf|python", "psf|python(?: software foundation)?", "(?:version |v ?)?2(?: 0)?"),
-    ("ruby", "ruby", "ruby", ""),
-    ("php-3.01", "php", "php", "(?:version |v ?)?3(?: 0| 01)?"),
-    ("openssl", "openssl", "openssl", ""),
-    ("openssh", "openssh", "openssh", ""),
-    ("ncsa", "ncsa|university of illinois", "ncsa|university of illinois", ""),
-    ("ms-pl", "ms pl|microsoft", "ms pl|microsoft public", ""),
-    ("ms-rl", "ms rl|microsoft", "ms rl|microsoft reciprocal", ""),
-    ("ofl-1.1", "ofl|open font", "ofl|sil open font", "(?:version |v ?)?1 1"),
-    ("odbl-1", "odbl|open database", "odbl|open database", "(?:version |v ?)?1(?: 0)?"),
-    ("odc-by-1", "odc by|open data commons", "odc by|open data commons attribution", "(?:version |v ?)?1(?: 0)?"),
-    ("afl-3", "afl|academic free", "afl|academic free", "(?:version |v ?)?3(?: 0)?"),
-    ("osl-3", "osl|open software", "osl|open software", "(?:version |v ?)?3(?: 0)?"),
-    ("bsl-1.1", "busl|business source", "busl|business source", "(?:version |v ?)?1 1"),
-    ("sspl-1", "sspl|server side", "sspl|server side public", "(?:version |v ?)?1"),
-    ("elastic-2", "elastic", "elastic", "(?:version |v ?)?2(?: 0)?"),
-    ("openrail", "openrail", "(?:creativeml |bigscience )?openrail(?: m)?", ""),
-    ("llama", "llama", "llama [0-9]+(?: [0-9]+)?(?: community)?", ""),
-]
-#: Creative Commons: suffix, short form, long form.
-COMMONS = [
-    ("", "", "attribution"),
-    ("-sa", " sa", "attribution share ?alike"),
-    ("-nc", " nc", "attribution non ?commercial"),
-    ("-nd", " nd", "attribution no ?deriv(?:s|atives)"),
-    ("-nc-sa", " nc sa", "attribution non ?commercial share ?alike"),
-    ("-nc-nd", " nc nd", "attribution non ?commercial no ?deriv(?:s|atives)"),
-]
-VERSIONS = ["1 0", "2 0", "2 5", "3 0", "4 0"]
-#: How a license is named: regex around the name, priority, confidence.
-FORMS = [
-    ("spdx license identifier (?:{name})(?: {version})?", 90, 1.0),
-    ("(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?(?:{name})(?: licen[cs]e)?(?: {version})", 80, 0.95),
-    ("(?:{name}) (?:public )?licen[cs]e,? {version}", 70, 0.9),
-    ("(?:{name}) {version}(?: licen[cs]e)", 60, 0.85),
-]
-PLAIN_FORMS = [
-    ("spdx license identifier (?:{name})", 85, 1.0),
-    ("(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?(?:{name}) licen[cs]e", 75, 0.95),
-    ("under (?:the |an? )?(?:terms of the )?(?:{name}) licen[cs]e", 65, 0.9),
-    ("(?:{name}) licen[cs]e", 55, 0.8),
-]
-#: Statements without a license's name: label, keyword, regex, priority, confidence.
-STATEMENTS = [
-    ("proprietary", "rights", "all rights reserved", 30, 0.5),
-    ("proprietary", "proprietary", "proprietary and confidential", 35, 0.7),
-    ("public-domain", "public domain", "(?:in|into|to) the public domain", 40, 0.7),
-    ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?", 60, 0.9),
-    ("cc0", "cc", "cc zero", 60, 0.9),
-    ("mit", "permission is hereby", "permission is hereby granted free of charge to any person obtaining a copy", 88, 1.0),
-    ("isc", "permission to use", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee", 88, 1.0),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification", 88, 1.0),
-    ("gpl", "free software", "free software you can redistribute it and or modify it under the terms of the gnu general public license", 88, 1.0),
-    ("unknown-license", "licen", "licen[cs]ed under", 10, 0.3),
-    ("unknown-license", "licen", "under (?:the|an?) licen[cs]e", 10, 0.3),
-    ("unknown-license", "terms", "terms of (?:the|this) licen[cs]e", 10, 0.3),
-]
-#: A text without one of these, as a regex on the raw text, holds no rule's match.
-FAMILIES = r"(?i)licen|spdx|gpl|apache|mozilla|cc0|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+(?:by|zero)|creative[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+commons|all[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+rights|public[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+domain|proprietary|permission|redistribut|(?:released|distributed|available|published|provided)[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+under"
-
-
-@dataclass(frozen=True)
-class Rule:
-    label: str
-    keyword: str
-    regex: str
-    priority: int
-    confidence: float
-    base: bool = False
-
-
-def rules() -> list[Rule]:
-    """All rules in order: base phrases, named licenses by form, Creative Commons by form and version, statements."""
-    out = [Rule(label, phrase.split()[-2], phrase, 100, 1.0, True) for phrase, label in BASE]
-    for label, keyword, name, version in LICENSES:
-        for form, priority, confidence in FORMS if version else PLAIN_FORMS:
-            out.append(Rule(label, keyword, form.format(name=name, version=version), priority, confidence))
-    for suffix, short, long in COMMONS:
-        for v in VERSIONS:
-            out.append(Rule(f"cc-by{suffix}-{v.replace(' ', '.')}", "cc", f"cc by{short} {v}", 60, 0.95))
-        out.append(Rule(f"cc-by{suffix}", "cc", f"cc by{short}", 50, 0.9))
-        out.append(Rule(f"cc-by{suffix}", "creative", f"creative commons {long}", 50, 0.9))
-    out += [Rule(*s) for s in STATEMENTS]
-    return out
+_DETECTION = "array<struct<start: int, end: int, rank: int, label: string, priority: int, confidence: double, base: boolean>>"
 
 
-def _rule_table(all_rules: list[Rule]) -> Column:
-    return F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(f"(?<= )(?:{r.regex})(?= )").alias("regex"), F.lit(r.priority).alias("priority"), F.lit(r.confidence).alias("confidence"), F.lit(r.base).alias("base")) for i, r in enumerate(all_rules)])
+def gate_words(rules: list[Rule] = RULES) -> list[str]:
+    """Few words of which a text with any rule's match contains one: of the keywords' longest words, greedily those that most keywords left contain."""
+    left = {r.keyword for r in rules}
+    words = sorted({max(k.split(), key=len) for k in left})
+    out = []
+    while left:
+        out.append(max(words, key=lambda w: (sum(w in k for k in left), len(w), w)))
+        left = {k for k in left if out[-1] not in k}
+    return out
 
 
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _hits(words: Column, rule: Column) -> Column:
-    """Intervals of words that one rule matches; ``words`` has a space before and after each word."""
-    found = F.regexp_extract_all(words, rule["regex"], F.lit(0))
-    between = F.split(words, rule["regex"], -1)
-    pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: F.struct(_spaces(b).alias("gap"), _spaces(m).alias("inner")))
-    empty = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, end: int>>)").alias("out"))
-    folded = F.aggregate(
-        pairs, empty,
-        lambda acc, p: F.struct(
-            (acc["at"] + p["gap"] + p["inner"]).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + p["gap"] - 1).alias("start"), (acc["at"] + p["gap"] + p["inner"]).alias("end"))).alias("out"),
-        ),
-    )
-    return F.transform(folded["out"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), rule["rank"].alias("rank"), rule["label"].alias("label"), rule["priority"].alias("priority"), rule["confidence"].alias("confidence"), rule["base"].alias("base")))
+def _tried(words: Column, rank: int, rule: Rule) -> Column:
+    """What one rule matches, and the text around that; null where it matches nothing."""
+    pattern = f"(?<= )(?:{rule.regex})(?= )"
+    around = F.split(F.regexp_replace(words, pattern, _MARK), _MARK, -1)
+    made = F.struct(F.lit(rank).alias("rank"), F.regexp_extract_all(words, F.lit(pattern), F.lit(0)).alias("found"), around.alias("around"))
+    return F.when(F.contains(words, F.lit(rule.keyword)) & words.rlike(pattern), made)
+
+
+def _intervals(hit: Column, rules: list[Rule]) -> Column:
+    """The detections of one rule; word 0 follows the text's first space."""
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), hit["rank"] + 1)
+    inner = F.transform(hit["found"], _spaces)
+    gap = F.transform(F.slice(hit["around"], F.lit(1), F.size(hit["found"])), _spaces)
+    kind = F.struct(of([r.label for r in rules]).alias("label"), of([r.priority for r in rules]).alias("priority"), of([r.confidence for r in rules]).alias("confidence"), of([r.base for r in rules]).alias("base"))
+
+    def placed(x: Column) -> Column:
+        return F.transform(
+            F.arrays_zip(x["ends"].alias("end"), x["inner"].alias("inner")),
+            lambda s: F.struct((s["end"] - s["inner"] - 1).alias("start"), s["end"].alias("end"), hit["rank"].alias("rank"), *[x["kind"][c].alias(c) for c in ("label", "priority", "confidence", "base")]),
+        )
+
+    ends = lambda i: running(F.zip_with(gap, i, lambda g, n: g + n))
+    return let(inner, lambda i: let(F.struct(ends(i).alias("ends"), i.alias("inner"), kind.alias("kind")), placed))
+
+
+def _unsuppressed(detections: Column, rules: list[Rule]) -> Column:
+    """Detections that give way to no other one.
+
+    In order of start, then of end downwards, priority downwards and rank, a detection gives way
+    just where an earlier one ends no sooner and has no lower priority.  The furthest end by
+    priority is kept for each chunk of that order, so that only chunks are looked through.
+    """
+    levels = sorted({r.priority for r in rules})
+    ordered = F.array_sort(detections, lambda a, b: F.coalesce(*[F.when(x != y, F.when(x < y, -1).otherwise(1)) for x, y in ((a["start"], b["start"]), (b["end"], a["end"]), (b["priority"], a["priority"]), (a["rank"], b["rank"]))], F.lit(0)))
+    ends = lambda part, p: F.coalesce(F.array_max(F.transform(F.filter(part, lambda o: o["priority"] >= p), lambda o: o["end"])), F.lit(0))
+    level = F.array(*map(F.lit, levels))
+
+    def kept(x: Column) -> Column:
+        def of_chunk(part: Column, c: Column) -> Column:
+            before = F.transform(level, lambda p, i: F.coalesce(F.array_max(F.transform(F.slice(x["furthest"], F.lit(1), c), lambda f: F.element_at(f, i + 1))), F.lit(0)))
+            return let(before, lambda b: F.filter(part, lambda d, i: d["base"] | ~((F.element_at(b, F.array_position(level, d["priority"]).cast("int")) >= d["end"]) | F.exists(F.slice(part, F.lit(1), i), lambda o: (o["end"] >= d["end"]) & (o["priority"] >= d["priority"])))))
+
+        return F.transform(x["parts"], of_chunk)
 
+    with_ends = lambda parts: F.struct(parts.alias("parts"), F.transform(parts, lambda part: F.transform(level, lambda p: ends(part, p))).alias("furthest"))
+    return F.flatten(let(chunks(ordered), lambda parts: let(with_ends(parts), kept)))
 
-def _suppressed(d: Column, o: Column) -> Column:
-    """Whether detection ``d`` gives way to ``o``."""
-    inside = (o["start"] <= d["start"]) & (o["end"] >= d["end"])
-    longer = (o["end"] - o["start"]) > (d["end"] - d["start"])
-    same = (o["start"] == d["start"]) & (o["end"] == d["end"])
-    return inside & ((o["priority"] > d["priority"]) | ((o["priority"] == d["priority"]) & (longer | (same & (o["rank"] < d["rank"])))))
 
+def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] = RULES, gated: bool = True) -> DataFrame:
+    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
-def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
+    ``gated`` = False tries every rule on every text, for tests of the gates.
+    """
     text = F.coalesce("text", F.lit(""))
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), F.when(text.rlike(FAMILIES), text).alias("gated"))
+    gate = functools.reduce(operator.or_, [F.contains(F.lower(text), F.lit(w)) for w in gate_words(rules)])
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), F.when(gate if gated else F.lit(True), text).alias("gated"))
     words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("gated", _UPPER, _LOWER), _BETWEEN, " ")), F.lit(" "))
-    table = _rule_table(rules())
-    found = F.flatten(F.transform(F.filter(table, lambda r: F.exists(F.split(r["keyword"], "[|]"), lambda k: F.contains(F.col("words"), k))), lambda r: _hits(F.col("words"), r)))
-    kind = "array<struct<start: int, end: int, rank: int, label: string, priority: int, confidence: double, base: boolean>>"
-    rows = rows.withColumn("words", words).withColumn("all", F.when(F.col("gated").isNotNull(), found).otherwise(F.expr(f"cast(array() as {kind})"))).drop("gated", "words")
-    strong = F.filter("all", lambda d: d["base"] | ~F.exists("all", lambda o: _suppressed(d, o)))
-    rows = rows.withColumn("detections", F.array_sort(strong)).withColumn("base", F.filter("all", lambda d: d["base"])).drop("all")
+    free = rules if gated else [Rule(r.label, " ", r.priority, r.confidence, r.regex, r.base) for r in rules]
+    hits = F.filter(F.array(*[_tried(F.col("words"), i, r) for i, r in enumerate(free)]), lambda h: h.isNotNull())
+    rows = rows.withColumn("words", words).withColumn("hits", F.when(F.col("gated").isNotNull(), hits)).drop("gated", "words")
+    none = F.expr(f"cast(array() as {_DETECTION})")
+    rows = rows.withColumn("all", F.when(F.size("hits") > 0, F.flatten(F.transform("hits", lambda h: _intervals(h, rules)))).otherwise(none))
+    rows = rows.withColumn("detections", F.when(F.size("all") > 1, _unsuppressed(F.col("all"), rules)).otherwise(F.col("all"))).withColumn("base", F.filter("all", lambda d: d["base"])).drop("all", "hits")
     labels = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda d: d["label"]))), ",")
     starts = F.transform("base", lambda d: d["start"].cast("long"))
     return rows.select(
