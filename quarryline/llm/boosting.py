@@ -46,10 +46,9 @@ def _value(tree: Tree, x: np.ndarray) -> np.ndarray:
 
 
 class Boosted:
-    """Logistic boosting; a held-out quarter calibrates the scores and picks the threshold."""
+    """Logistic boosting; held-out rows calibrate the scores and pick a threshold for each kind of row."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, rate: float = 0.3, precision: float = 0.98):
-        held = np.arange(len(x)) % 4 == 3
+    def __init__(self, x: np.ndarray, y: np.ndarray, kind: np.ndarray, held: np.ndarray, trees: int = 40, depth: int = 4, rate: float = 0.3, precision: float = 0.98):
         fit_x, fit_y = x[~held], y[~held].astype(float)
         share = np.clip(fit_y.mean(), 0.01, 0.99)
         self.start, self.rate, self.trees = float(np.log(share / (1 - share))), rate, []
@@ -60,7 +59,8 @@ class Boosted:
             self.trees.append(tree)
             raw += rate * _value(tree, fit_x)
         self.slope, self.shift = _platt(self.raw(x[held]), y[held].astype(float))
-        self.threshold = _threshold(self.probability(x[held]), y[held], precision)
+        p = self.probability(x)
+        self.thresholds = {int(k): _threshold(p[held & (kind == k)], y[held & (kind == k)], precision) for k in np.unique(kind)}
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return self.start + self.rate * sum(_value(t, x) for t in self.trees)
@@ -97,8 +97,14 @@ def _platt(raw: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _threshold(p: np.ndarray, y: np.ndarray, precision: float) -> float:
-    """The lowest threshold from 0.5 at which held-out precision is reached."""
-    for t in np.arange(0.5, 0.99, 0.01):
-        if (p >= t).any() and y[p >= t].mean() >= precision:
-            return float(t)
-    return 0.99
+    """The lowest threshold at which held-out precision is reached; half-way into the gap below the least score that it takes."""
+    order = np.argsort(-p, kind="stable")
+    hits = np.cumsum(y[order]) / np.arange(1, len(p) + 1)
+    last = np.ones(len(p), bool)
+    last[:-1] = p[order][1:] < p[order][:-1]
+    good = np.flatnonzero(last & (hits >= precision))
+    if not len(good):
+        return 0.99
+    at = good[-1]
+    below = p[order][at + 1] if at + 1 < len(p) else 0.0
+    return float(min(0.99, max(0.05, (p[order][at] + below) / 2)))

@@ -6,7 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +78,15 @@ def discard(*tables: DataFrame) -> None:
             _remove(_made.pop(path), path)
 
 
+def written_alone(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, ``written``; the tables that were written on the way are removed."""
+    before = set(_made)
+    out = written(make(), name)
+    for path in set(_made) - before - {out._table}:
+        _remove(_made.pop(path), path)
+    return out
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it in any case."""
     taken = {c.lower() for c in df.columns}

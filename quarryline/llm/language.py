@@ -3,12 +3,13 @@
 Two GRUs read each run of ``LENGTH`` bytes, one forwards and one backwards; at every byte
 both states give class probabilities, and a document's probabilities are the mean over all
 its bytes.  The network is trained in numpy by backpropagation through time on runs drawn
-from a bounded sample of labelled rows (``PER_LANGUAGE`` and ``SAMPLE`` bound it), and
-every byte of every text is labelled.
+from the whole texts of a bounded sample of labelled rows, ``PER_LANGUAGE`` of each language
+however rare, and every byte of every text is labelled.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; with no labelled
 row to learn from, every text is ``und``; rows are independent, so repeated rows get equal
-results; ties go to the language first in order.
+results; ties go to the language first in order; an empty table gives an empty result; other
+columns may have any name; a very long text is read whole, alone in its batch.
 """
 
 from __future__ import annotations
@@ -20,15 +21,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import id_and_text, pieces, text_bytes
 
 #: Bytes read from one zero state; units of each direction.
 LENGTH, UNITS = 96, 8
-#: Labelled rows aimed at for each language, and the most in all.
-PER_LANGUAGE, SAMPLE = 200, 4000
-#: Characters taken at a hashed place of a sampled text, and training steps.
-EXCERPT, STEPS, BATCH = 1200, 160, 192
+#: Labelled rows of each language in the sample, and the most languages that a network tells apart.
+PER_LANGUAGE, MOST_LANGUAGES = 200, 1000
+#: Training steps, and runs in each.
+STEPS, BATCH = 160, 192
 #: Runs labelled side by side.
 SIDE = 2048
 UNDETERMINED = "und"
@@ -216,22 +218,26 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def trained(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
-    """A network fitted on a bounded sample of the rows that may be learned from; None if there are none."""
-    may = docs.filter(~F.coalesce(held_out(id_col), F.lit(True)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in may.groupBy(lang_col).count().collect()}  # a row a language
-    if not counts:
-        return None
-    chance = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, PER_LANGUAGE / n))])
-    drawn = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) / float(1 << 30)
-    place = F.pmod(F.xxhash64(id_col, F.lit("place")), F.greatest(F.length(text_col) - EXCERPT, F.lit(1))) + 1
-    sample = may.filter(drawn < chance[F.col(lang_col)]).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.substr(F.col(text_col), place.cast("int"), F.lit(EXCERPT)).alias("text"))
-    rows = sample.orderBy(F.xxhash64("i", "text")).limit(SAMPLE).collect()
-    rows = sorted(((r["lang"], r["text"].encode()) for r in rows if r["text"]))
-    classes = sorted({lang for lang, _ in rows})
+    """A network fitted on a bounded sample of the rows that may be learned from; None if there are none.
+
+    The sample is, of each language, the ``PER_LANGUAGE`` rows with the least hash of id and
+    text: tasks keep that many of their own rows before any row moves.
+    """
+    may = docs.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).filter(~F.coalesce(held_out("i"), F.lit(True)) & F.col("lang").isNotNull() & (F.length("text") > 0))
+    hashed = may.withColumn("h", F.xxhash64("i", "text"))
+    # the hash up to which about PER_LANGUAGE rows of a language lie, from their number; twice that leaves enough
+    counts = may.groupBy("lang").agg(F.count("*").alias("n"))
+    near = hashed.join(F.broadcast(counts.limit(MOST_LANGUAGES + 1)), "lang").filter((F.pmod("h", F.lit(1 << 30)) / float(1 << 30)) * F.col("n") <= 2.0 * PER_LANGUAGE + 50)
+    first = W.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "i")
+    rows = near.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= PER_LANGUAGE).select("lang", "text").collect()  # PER_LANGUAGE a language
+    classes = sorted({r["lang"] for r in rows})
     if not classes:
         return None
+    if len(classes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    texts = sorted((r["lang"], r["text"].encode()) for r in rows)
     network = Network(classes)
-    network.train([text for _, text in rows], np.array([classes.index(lang) for lang, _ in rows]))
+    network.train([text for _, text in texts], np.array([classes.index(lang) for lang, _ in texts]))
     return network
 
 

@@ -103,8 +103,8 @@ def spread(spark, rows, tmp_path_factory):
     return made, spark.read.parquet(path)
 
 
-def test_near(spread, ordered):
-    made, df = spread
+def near_classes(made):
+    """Classes of near copies, as lists of places in ``made``: every pair that shares a shingle is compared."""
     bags = [bag(x) for _, x in made]
     root = list(range(len(made)))
 
@@ -121,10 +121,17 @@ def test_near(spread, ordered):
         for g in b:
             holders[g].append(i)
     classes = defaultdict(list)
-    for i, (d, _) in enumerate(made):
-        classes[find(i)].append(d)
+    for i in range(len(made)):
+        classes[find(i)].append(i)
+    return list(classes.values())
+
+
+def test_near(spread, ordered):
+    made, df = spread
+    classes = near_classes(made)
     want = []
-    for ids in classes.values():
+    for places in classes:
+        ids = [made[i][0] for i in places]
         keep = min(ids, key=lambda i: (i is None, i or 0))
         want += [(d, keep, len(ids)) for d in ids]
     got = near_dedup.near_groups(df).collect()

@@ -53,3 +53,16 @@ def test_odd_rows(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == sum(r.lang_pred != "und" for r in got)
     assert {r.lang_pred for r in language.identified(docs, None).collect()} == {"und"}
     assert language.identified(empty, n).collect() == []
+
+
+def test_sample_holds_rare_languages_and_whole_texts(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language.Network, "train", lambda self, texts, y: seen.append((self.classes, texts, y)))
+    long = "ganz lang " * 5000
+    rows = [(i, f"text {i}", "en") for i in range(3000)] + [(5000 + i, f"mot {i}", "fr") for i in range(5)] + [(6000, long, "de"), (6001, long, "de"), (6004, long, "de"), (7000, None, "it"), (7001, "x", None)]
+    language.trained(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4))
+    classes, texts, y = seen[0]
+    size = {c: int((y == i).sum()) for i, c in enumerate(classes)}
+    may = [i for i in (*range(5000, 5005), 6000, 6001, 6004) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert size == {"en": language.PER_LANGUAGE, "fr": sum(i < 6000 for i in may), "de": sum(i >= 6000 for i in may)}
+    assert long.encode() in texts
