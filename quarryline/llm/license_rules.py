@@ -1,8 +1,9 @@
 """The signature rules of the license scan, in order: label, keyword, priority, confidence, regex.
 
 A regex is matched against whole words (A-Z lower-cased, other ASCII signs taken as spaces), so
-"Version 2.0" reads "version 2 0" and an address reads as its parts.  The keyword is a text
-that every match of the regex contains; a rule is tried only where it occurs.
+"Version 2.0" reads "version 2 0" and an address reads as its parts.  The keyword is a run of
+whole words that every match of the regex contains, or several such runs joined by &; a rule
+is tried only where they occur.
 """
 
 from __future__ import annotations
@@ -30,17 +31,18 @@ RULES = [Rule(label, phrase, 100, 1.0, phrase, True) for phrase, label in BASE]
         ("mit", "permission is hereby granted", 88, 1.0, "permission is hereby granted free of charge to any person obtaining a copy(?: of this software(?: and associated documentation files)?)?"),
         ("mit", "substantial portions of the software", 86, 0.9, "shall be included in all copies or substantial portions of the software"),
         ("mit", "identifier mit", 85, 1.0, "spdx license identifier mit"),
-        ("mit", "mit", 75, 0.95, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an )?(?:terms of the )?mit(?: x11)? licen[cs]e"),
+        ("mit", "mit&under", 75, 0.95, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an )?(?:terms of the )?mit(?: x11)? licen[cs]e"),
         ("mit", "licenses mit", 75, 0.95, "opensource org licenses mit(?: license)?(?: php| html)?"),
         ("mit", "expat", 60, 0.9, "expat licen[cs]e"),
         ("mit", "x11", 60, 0.85, "(?:mit )?x11 (?:style )?licen[cs]e"),
-        ("mit", "mit", 55, 0.8, "mit(?: style)? licen[cs]e"),
-        ("mit", "mit", 50, 0.7, "licen[cs]e(?: is)? mit"),
+        ("mit", "mit&license", 55, 0.8, "mit(?: style)? license"),
+        ("mit", "mit&licence", 55, 0.8, "mit(?: style)? licence"),
+        ("mit", "license&mit", 50, 0.7, "license(?: is)? mit"),
         ("mit-0", "mit no attribution", 70, 0.95, "mit no attribution(?: licen[cs]e)?"),
         ("mit-0", "mit 0", 70, 0.9, "(?:spdx license identifier |licen[cs]e )mit 0"),
         # Apache
         ("apache-2", "identifier apache", 90, 1.0, "spdx license identifier apache 2 0"),
-        ("apache-2", "apache", 80, 0.95, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an )?(?:terms of the )?apache(?: software)?(?: licen[cs]e)? (?:version |v ?)?2(?: 0)?"),
+        ("apache-2", "apache&under", 80, 0.95, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an )?(?:terms of the )?apache(?: software)?(?: licen[cs]e)? (?:version |v ?)?2(?: 0)?"),
         ("apache-2", "licenses license 2 0", 78, 0.95, "(?:www )?apache org licenses license 2 0(?: txt| html)?"),
         ("apache-2", "apache", 70, 0.9, "apache(?: software)? (?:public )?licen[cs]e (?:version |v ?)?2(?: 0)?"),
         ("apache-2", "apache", 60, 0.85, "apache(?: software)? (?:version |v ?)?2(?: 0)?(?: licen[cs]e)"),
@@ -68,7 +70,7 @@ RULES = [Rule(label, phrase, 100, 1.0, phrase, True) for phrase, label in BASE]
         ("bsd-4-clause", "original bsd", 65, 0.9, "original bsd licen[cs]e"),
         ("0bsd", "0bsd", 70, 0.9, "(?:spdx license identifier 0bsd|0bsd licen[cs]e|bsd 0bsd)"),
         ("0bsd", "zero clause", 70, 0.9, "(?:bsd zero clause|zero clause bsd)(?: licen[cs]e)?"),
-        ("bsd", "bsd", 75, 0.9, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?bsd(?: style)? licen[cs]e"),
+        ("bsd", "bsd&under", 75, 0.9, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?bsd(?: style)? licen[cs]e"),
         ("bsd", "bsd", 55, 0.8, "bsd(?: style)? licen[cs]e"),
         # GNU general public licenses
         ("gpl", "redistribute it and or modify", 88, 1.0, "free software you can redistribute it and or modify it under the terms of the gnu general public license"),
@@ -76,15 +78,18 @@ RULES = [Rule(label, phrase, 100, 1.0, phrase, True) for phrase, label in BASE]
         ("gpl-3", "general public license", 90, 1.0, "gnu general public license as published by the free software foundation (?:either )?version 3"),
         ("gpl-2", "identifier gpl 2", 90, 1.0, "spdx license identifier gpl 2 0(?: only| or later)?"),
         ("gpl-3", "identifier gpl 3", 90, 1.0, "spdx license identifier gpl 3 0(?: only| or later)?"),
-        ("gpl-2", "under", 80, 0.95, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?(?:gnu )?(?:gpl|general public)(?: licen[cs]e)? (?:version |v ?)?2(?: 0)?(?: only| or later)?"),
-        ("gpl-3", "under", 80, 0.95, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?(?:gnu )?(?:gpl|general public)(?: licen[cs]e)? (?:version |v ?)?3(?: 0)?(?: only| or later)?"),
+        ("gpl-2", "gpl&under", 80, 0.95, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?(?:gnu )?gpl(?: licen[cs]e)? (?:version |v ?)?2(?: 0)?(?: only| or later)?"),
+        ("gpl-2", "general public&under", 80, 0.95, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?(?:gnu )?general public(?: licen[cs]e)? (?:version |v ?)?2(?: 0)?(?: only| or later)?"),
+        ("gpl-3", "gpl&under", 80, 0.95, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?(?:gnu )?gpl(?: licen[cs]e)? (?:version |v ?)?3(?: 0)?(?: only| or later)?"),
+        ("gpl-3", "general public&under", 80, 0.95, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?(?:gnu )?general public(?: licen[cs]e)? (?:version |v ?)?3(?: 0)?(?: only| or later)?"),
         ("gpl-2", "general public license", 70, 0.9, "(?:gnu )?general public license (?:version |v ?)?2(?: 0)?(?: only| or later)?"),
         ("gpl-3", "general public license", 70, 0.9, "(?:gnu )?general public license (?:version |v ?)?3(?: 0)?(?: only| or later)?"),
-        ("gpl-2", "gpl", 60, 0.85, "(?:gnu )?gpl ?(?:version |v ?)?2(?: 0)?(?: only| or later| licen[cs]e)"),
-        ("gpl-3", "gpl", 60, 0.85, "(?:gnu )?gpl ?(?:version |v ?)?3(?: 0)?(?: only| or later| licen[cs]e)"),
+        ("gpl-2", "gpl", 60, 0.85, "(?:gnu )?gpl (?:version |v ?)?2(?: 0)?(?: only| or later| licen[cs]e)"),
+        ("gpl-3", "gpl", 60, 0.85, "(?:gnu )?gpl (?:version |v ?)?3(?: 0)?(?: only| or later| licen[cs]e)"),
         ("gpl-2", "gplv2", 60, 0.85, "gplv2(?: only| or later)?"),
         ("gpl-3", "gplv3", 60, 0.85, "gplv3(?: only| or later)?"),
-        ("gpl", "under", 75, 0.9, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?(?:gnu gpl|gpl|gnu general public) licen[cs]e"),
+        ("gpl", "gpl&under", 75, 0.9, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?(?:gnu )?gpl licen[cs]e"),
+        ("gpl", "gnu general public&under", 75, 0.9, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an? )?(?:terms of the )?gnu general public licen[cs]e"),
         ("gpl", "gnu org licenses", 72, 0.9, "gnu org licenses (?:old licenses )?gpl(?: 2 0| 3 0)?(?: html| txt)"),
         ("gpl", "gpl", 50, 0.75, "(?:gnu )?gpl licen[cs]e"),
         ("gpl", "gnu general public", 55, 0.8, "gnu general public licen[cs]e"),
@@ -96,15 +101,15 @@ RULES = [Rule(label, phrase, 100, 1.0, phrase, True) for phrase, label in BASE]
         ("lgpl-2.1", "lesser general public", 82, 0.95, "(?:gnu )?lesser general public license (?:as published by the free software foundation either )?(?:version |v ?)?2 1(?: only| or later)?"),
         ("lgpl-3", "lesser general public", 82, 0.95, "(?:gnu )?lesser general public license (?:as published by the free software foundation either )?(?:version |v ?)?3(?: 0)?(?: only| or later)?"),
         ("lgpl-2", "library general public", 82, 0.95, "(?:gnu )?library general public license(?: (?:version |v ?)?2(?: 0)?)?"),
-        ("lgpl-2.1", "lgpl", 62, 0.9, "(?:gnu )?lgpl ?(?:version |v ?)?2 1(?: only| or later)?"),
-        ("lgpl-3", "lgpl", 62, 0.9, "(?:gnu )?lgpl ?(?:version |v ?)?3(?: 0)?(?: only| or later| licen[cs]e)"),
+        ("lgpl-2.1", "lgpl", 62, 0.9, "(?:gnu )?lgpl (?:version |v ?)?2 1(?: only| or later)?"),
+        ("lgpl-3", "lgpl", 62, 0.9, "(?:gnu )?lgpl (?:version |v ?)?3(?: 0)?(?: only| or later| licen[cs]e)"),
         ("lgpl-2.1", "lgplv2", 62, 0.9, "lgplv2(?: 1)?(?: only| or later)?"),
         ("lgpl-3", "lgplv3", 62, 0.9, "lgplv3(?: only| or later)?"),
         ("lgpl", "lesser general public", 57, 0.85, "(?:gnu )?lesser general public licen[cs]e"),
         ("lgpl", "lgpl", 55, 0.8, "(?:gnu )?lgpl licen[cs]e"),
         ("agpl-3", "identifier agpl 3", 90, 1.0, "spdx license identifier agpl 3 0(?: only| or later)?"),
         ("agpl-3", "affero", 82, 0.95, "(?:gnu )?affero general public license (?:as published by the free software foundation either )?(?:version |v ?)?3(?: 0)?(?: only| or later)?"),
-        ("agpl-3", "agpl", 62, 0.9, "(?:gnu )?agpl ?(?:version |v ?)?3(?: 0)?(?: only| or later| licen[cs]e)"),
+        ("agpl-3", "agpl", 62, 0.9, "(?:gnu )?agpl (?:version |v ?)?3(?: 0)?(?: only| or later| licen[cs]e)"),
         ("agpl-3", "agplv3", 62, 0.9, "agplv3(?: only| or later)?"),
         ("agpl", "affero", 57, 0.85, "(?:gnu )?affero general public licen[cs]e"),
         ("agpl", "agpl", 55, 0.8, "(?:gnu )?agpl licen[cs]e"),
@@ -117,26 +122,26 @@ RULES = [Rule(label, phrase, 100, 1.0, phrase, True) for phrase, label in BASE]
         ("mpl-1.1", "identifier mpl 1", 90, 1.0, "spdx license identifier mpl 1 1"),
         ("mpl-2", "mozilla public license", 72, 0.9, "mozilla public license (?:version |v ?)?2(?: 0)?"),
         ("mpl-1.1", "mozilla public license", 72, 0.9, "mozilla public license (?:version |v ?)?1 1"),
-        ("mpl-2", "mpl", 66, 0.85, "(?:under (?:the |an )?|licen[cs]e )mpl ?(?:version |v ?)?2(?: 0)?"),
-        ("mpl-1.1", "mpl", 66, 0.85, "(?:under (?:the |an )?|licen[cs]e )mpl ?(?:version |v ?)?1 1"),
-        ("mpl-2", "mpl", 60, 0.8, "mpl ?(?:version |v ?)?2 0(?: licen[cs]e)?"),
+        ("mpl-2", "mpl", 66, 0.85, "(?:under (?:the |an )?|licen[cs]e )mpl (?:version |v ?)?2(?: 0)?"),
+        ("mpl-1.1", "mpl", 66, 0.85, "(?:under (?:the |an )?|licen[cs]e )mpl (?:version |v ?)?1 1"),
+        ("mpl-2", "mpl", 60, 0.8, "mpl (?:version |v ?)?2 0(?: licen[cs]e)?"),
         ("mpl", "mozilla public", 52, 0.75, "mozilla public licen[cs]e"),
         ("epl-2", "identifier epl 2", 90, 1.0, "spdx license identifier epl 2 0"),
         ("epl-1", "identifier epl 1", 90, 1.0, "spdx license identifier epl 1 0"),
         ("epl-2", "eclipse public license", 72, 0.9, "eclipse public license (?:version |v ?)?2(?: 0)?"),
         ("epl-1", "eclipse public license", 72, 0.9, "eclipse public license (?:version |v ?)?1(?: 0)?"),
-        ("epl-2", "epl", 66, 0.85, "(?:under (?:the |an )?|licen[cs]e )epl ?(?:version |v ?)?2(?: 0)?"),
-        ("epl-1", "epl", 66, 0.85, "(?:under (?:the |an )?|licen[cs]e )epl ?(?:version |v ?)?1(?: 0)?"),
+        ("epl-2", "epl", 66, 0.85, "(?:under (?:the |an )?|licen[cs]e )epl (?:version |v ?)?2(?: 0)?"),
+        ("epl-1", "epl", 66, 0.85, "(?:under (?:the |an )?|licen[cs]e )epl (?:version |v ?)?1(?: 0)?"),
         ("epl", "eclipse org legal epl", 74, 0.9, "(?:www )?eclipse org legal epl (?:v10|v20|2 0)(?: html| txt)?"),
         ("edl-1", "eclipse distribution license", 70, 0.9, "eclipse distribution license (?:version |v ?)?1(?: 0)?"),
-        ("eupl-1.2", "eupl", 68, 0.9, "(?:under (?:the |an )?|identifier |licen[cs]e )eupl ?(?:version |v ?)?1 2(?: or later)?"),
-        ("eupl-1.1", "eupl", 68, 0.9, "(?:under (?:the |an )?|identifier |licen[cs]e )eupl ?(?:version |v ?)?1 1(?: or later)?"),
+        ("eupl-1.2", "eupl", 68, 0.9, "(?:under (?:the |an )?|identifier |licen[cs]e )eupl (?:version |v ?)?1 2(?: or later)?"),
+        ("eupl-1.1", "eupl", 68, 0.9, "(?:under (?:the |an )?|identifier |licen[cs]e )eupl (?:version |v ?)?1 1(?: or later)?"),
         ("eupl-1.2", "european union public", 70, 0.9, "european union public licen[cs]e (?:version |v ?)?1 2"),
         ("eupl", "european union public", 55, 0.8, "european union public licen[cs]e"),
         ("cddl-1", "common development and distribution", 72, 0.9, "common development and distribution license(?: (?:version |v ?)?1 [01])?"),
-        ("cddl-1", "cddl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )cddl ?(?:version |v ?)?1(?: 0| 1)?"),
+        ("cddl-1", "cddl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )cddl (?:version |v ?)?1(?: 0| 1)?"),
         ("cpl-1", "common public license", 70, 0.9, "common public license (?:version |v ?)?1(?: 0)?"),
-        ("cpl-1", "cpl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )cpl ?(?:version |v ?)?1(?: 0)?"),
+        ("cpl-1", "cpl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )cpl (?:version |v ?)?1(?: 0)?"),
         ("cecill-2.1", "cecill", 68, 0.9, "(?:under (?:the |an )?|identifier )?cecill (?:free software license agreement )?(?:version |v ?)?2 1"),
         ("cecill-b", "cecill b", 68, 0.9, "cecill b(?: licen[cs]e| free software license agreement)?"),
         ("cecill-c", "cecill c", 68, 0.9, "cecill c(?: licen[cs]e| free software license agreement)?"),
@@ -148,10 +153,10 @@ RULES = [Rule(label, phrase, 100, 1.0, phrase, True) for phrase, label in BASE]
         ("ipl-1", "ibm public license", 70, 0.9, "ibm public license(?: (?:version |v ?)?1(?: 0)?)?"),
         ("qpl-1", "q public license", 70, 0.9, "(?:the )?q public license(?: (?:version |v ?)?1(?: 0)?)?"),
         ("sleepycat", "sleepycat", 60, 0.85, "sleepycat licen[cs]e"),
-        ("osl-3", "osl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )osl ?(?:version |v ?)?3(?: 0)?"),
+        ("osl-3", "osl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )osl (?:version |v ?)?3(?: 0)?"),
         ("osl-3", "open software license", 70, 0.9, "open software license (?:version |v ?)?3(?: 0)?"),
         ("afl-3", "academic free license", 70, 0.9, "academic free license (?:version |v ?)?3(?: 0)?"),
-        ("afl-3", "afl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )afl ?(?:version |v ?)?3(?: 0)?"),
+        ("afl-3", "afl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )afl (?:version |v ?)?3(?: 0)?"),
         ("rpl-1.5", "reciprocal public license", 70, 0.9, "reciprocal public license(?: (?:version |v ?)?1 5)?"),
         # permissive licenses of projects and institutes
         ("isc", "permission to use copy modify", 88, 1.0, "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee"),
@@ -160,13 +165,15 @@ RULES = [Rule(label, phrase, 100, 1.0, phrase, True) for phrase, label in BASE]
         ("zlib", "express or implied warranty", 86, 0.9, "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
         ("zlib", "identifier zlib", 85, 1.0, "spdx license identifier zlib"),
         ("zlib", "zlib", 56, 0.85, "zlib(?: libpng)? licen[cs]e"),
-        ("libpng", "png", 57, 0.85, "(?:png reference library|libpng) licen[cs]e"),
+        ("libpng", "libpng", 57, 0.85, "libpng licen[cs]e"),
+        ("libpng", "png reference library", 57, 0.85, "png reference library(?: licen[cs]e)?"),
         ("bsl-1", "boost software license", 72, 0.95, "boost software license (?:version |v ?)?1(?: 0)?"),
         ("bsl-1", "boost org", 74, 0.95, "(?:www )?boost org license 1 0 txt"),
-        ("bsl-1", "bsl", 66, 0.8, "(?:under (?:the |an )?|identifier |licen[cs]e )bsl ?(?:version |v ?)?1(?: 0)?"),
+        ("bsl-1", "bsl", 66, 0.8, "(?:under (?:the |an )?|identifier |licen[cs]e )bsl (?:version |v ?)?1(?: 0)?"),
         ("bsl-1", "boost", 55, 0.8, "boost licen[cs]e"),
         ("unlicense", "unencumbered software", 88, 1.0, "this is free and unencumbered software released into the public domain"),
-        ("unlicense", "unlicen", 60, 0.9, "(?:the |identifier )unlicen[cs]e"),
+        ("unlicense", "unlicense", 60, 0.9, "(?:the |identifier )unlicense"),
+        ("unlicense", "unlicence", 60, 0.9, "(?:the |identifier )unlicence"),
         ("unlicense", "unlicense org", 74, 0.95, "(?:www )?unlicense org"),
         ("wtfpl", "do what the fuck", 80, 0.95, "do what the fuck you want to public licen[cs]e"),
         ("wtfpl", "wtfpl", 60, 0.9, "wtfpl(?: licen[cs]e| version 2)?"),
@@ -202,12 +209,12 @@ RULES = [Rule(label, phrase, 100, 1.0, phrase, True) for phrase, label in BASE]
         ("json", "for good not evil", 86, 0.95, "the software shall be used for good not evil"),
         # fonts, data and models
         ("ofl-1.1", "open font license", 72, 0.95, "(?:sil )?open font license (?:version |v ?)?1 1"),
-        ("ofl-1.1", "ofl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )ofl ?(?:version |v ?)?1 1"),
+        ("ofl-1.1", "ofl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )ofl (?:version |v ?)?1 1"),
         ("ofl", "open font license", 56, 0.85, "(?:sil )?open font license"),
         ("odbl-1", "open database license", 72, 0.95, "(?:odc )?open database license(?: (?:version |v ?)?1(?: 0)?)?"),
-        ("odbl-1", "odbl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )odbl(?: ?(?:version |v ?)?1(?: 0)?)?"),
+        ("odbl-1", "odbl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )odbl(?: (?:version |v ?)?1(?: 0)?)?"),
         ("odc-by-1", "open data commons attribution", 72, 0.95, "open data commons attribution license(?: (?:version |v ?)?1(?: 0)?)?"),
-        ("odc-by-1", "odc by", 66, 0.85, "odc by(?: ?(?:version |v ?)?1(?: 0)?)?"),
+        ("odc-by-1", "odc by", 66, 0.85, "odc by(?: (?:version |v ?)?1(?: 0)?)?"),
         ("pddl-1", "public domain dedication and license", 72, 0.95, "(?:odc )?public domain dedication and license(?: pddl)?"),
         ("cdla-permissive", "community data license agreement", 70, 0.9, "community data license agreement permissive(?: 1 0| 2 0)?"),
         ("cdla-sharing", "community data license agreement", 70, 0.9, "community data license agreement sharing(?: 1 0)?"),
@@ -218,12 +225,12 @@ RULES = [Rule(label, phrase, 100, 1.0, phrase, True) for phrase, label in BASE]
         ("gemma", "gemma terms of use", 66, 0.9, "gemma terms of use"),
         # source-available licenses
         ("bsl-1.1", "business source license", 72, 0.95, "business source license (?:version |v ?)?1 1"),
-        ("bsl-1.1", "busl", 68, 0.9, "(?:under (?:the |an )?|identifier |licen[cs]e )?busl ?(?:version |v ?)?1 1"),
+        ("bsl-1.1", "busl", 68, 0.9, "(?:under (?:the |an )?|identifier |licen[cs]e )?busl (?:version |v ?)?1 1"),
         ("bsl-1.1", "business source", 56, 0.8, "business source licen[cs]e"),
         ("sspl-1", "server side public license", 72, 0.95, "server side public license(?: (?:version |v ?)?1(?: 0)?)?"),
-        ("sspl-1", "sspl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )?sspl ?(?:version |v ?)?1(?: 0)?"),
+        ("sspl-1", "sspl", 66, 0.85, "(?:under (?:the |an )?|identifier |licen[cs]e )?sspl (?:version |v ?)?1(?: 0)?"),
         ("elastic-2", "elastic license", 70, 0.9, "elastic license (?:version |v ?)?2(?: 0)?"),
-        ("elastic-2", "under", 66, 0.85, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an )?elastic(?: licen[cs]e)? (?:version |v ?)?2(?: 0)?"),
+        ("elastic-2", "elastic&under", 66, 0.85, "(?:licen[cs]ed|released|distributed|available|published|provided) under (?:the |an )?elastic(?: licen[cs]e)? (?:version |v ?)?2(?: 0)?"),
         ("elastic", "elastic", 54, 0.8, "elastic licen[cs]e"),
         ("commons-clause", "commons clause", 70, 0.9, "commons clause(?: licen[cs]e)?(?: condition)?(?: (?:version |v ?)?1 0)?"),
         ("polyform", "polyform", 68, 0.9, "polyform (?:noncommercial|small business|shield|perimeter|strict|free trial)(?: license)?(?: 1 0 0)?"),
@@ -287,10 +294,12 @@ RULES = [Rule(label, phrase, 100, 1.0, phrase, True) for phrase, label in BASE]
         ("proprietary", "proprietary and confidential", 35, 0.7, "proprietary and confidential"),
         ("proprietary", "all rights reserved", 30, 0.5, "all rights reserved"),
         ("proprietary", "unauthorized copying", 36, 0.8, "unauthorized copying of this (?:file|software|document)(?: via any medium)? is strictly prohibited"),
-        ("proprietary", "trade secret", 36, 0.7, "(?:contains|constitutes) (?:the )?trade secrets? (?:of|and)"),
+        ("proprietary", "trade secrets", 36, 0.7, "(?:contains|constitutes) (?:the )?trade secrets (?:of|and)"),
         ("non-commercial", "non commercial use only", 34, 0.7, "for (?:personal and )?non commercial use only"),
-        ("unknown-license", "under", 10, 0.3, "licen[cs]ed under"),
-        ("unknown-license", "under", 10, 0.3, "under (?:the|an?) licen[cs]e"),
-        ("unknown-license", "terms of th", 10, 0.3, "terms of (?:the|this) licen[cs]e"),
+        ("unknown-license", "licensed under", 10, 0.3, "licensed under"),
+        ("unknown-license", "licenced under", 10, 0.3, "licenced under"),
+        ("unknown-license", "under&license", 10, 0.3, "under (?:the|an?) license"),
+        ("unknown-license", "under&licence", 10, 0.3, "under (?:the|an?) licence"),
+        ("unknown-license", "terms of", 10, 0.3, "terms of (?:the|this) licen[cs]e"),
     ]
 ]

@@ -2,8 +2,8 @@
 
 The rules (``license_rules``) are regexes over a text's words (A-Z lower-cased, one space
 between words), each with a keyword that all its matches contain, a label and a priority.  Two
-gates come first: a text without the longest word of any rule's keyword is passed over, and a
-rule is tried only where its keyword occurs; both are derived from the rules.  Detections are
+gates come first: a text that holds no word of a small set is passed over, and a rule is tried only
+where its keyword occurs; the set has a word of each rule's keyword.  Detections are
 intervals of words.  A detection inside another one of higher priority, or of equal priority
 and greater length, is suppressed; rule order settles what is left.  Base phrases are never
 suppressed.
@@ -16,9 +16,6 @@ in time that grows with n * sqrt(n) for n matches.
 
 from __future__ import annotations
 
-import functools
-import operator
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,18 +26,17 @@ from .license_rules import BASE, RULES, Rule
 __all__ = ["BASE", "RULES", "scanned"]
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Separators between words once A-Z are lower-cased, and words before that.
+#: Separators between words once A-Z are lower-cased.
 _BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _MARK = "\x01"  # not part of any word
 
 _DETECTION = "array<struct<start: int, end: int, rank: int, label: string, priority: int, confidence: double, base: boolean>>"
 
 
 def gate_words(rules: list[Rule] = RULES) -> list[str]:
-    """Few words of which a text with any rule's match contains one: of the keywords' longest words, greedily those that most keywords left contain."""
-    left = {r.keyword for r in rules}
-    words = sorted({max(k.split(), key=len) for k in left})
+    """Words of which a text with any rule's match has one: of the keywords' longest words, greedily those that most keywords left have."""
+    left = {tuple(r.keyword.replace("&", " ").split()) for r in rules}
+    words = sorted({max(k, key=len) for k in left})
     out = []
     while left:
         out.append(max(words, key=lambda w: (sum(w in k for k in left), len(w), w)))
@@ -52,12 +48,15 @@ def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
 
-def _tried(words: Column, rank: int, rule: Rule) -> Column:
-    """What one rule matches, and the text around that; null where it matches nothing."""
+def _tried(words: Column, rank: int, rule: Rule, gate: Column) -> Column:
+    """What one rule matches, and the text around that; null where it matches nothing or the gate is shut."""
     pattern = f"(?<= )(?:{rule.regex})(?= )"
     around = F.split(F.regexp_replace(words, pattern, _MARK), _MARK, -1)
     made = F.struct(F.lit(rank).alias("rank"), F.regexp_extract_all(words, F.lit(pattern), F.lit(0)).alias("found"), around.alias("around"))
-    return F.when(F.contains(words, F.lit(rule.keyword)) & words.rlike(pattern), made)
+    tried = words.rlike(pattern)
+    for run in reversed(rule.keyword.split("&")):
+        tried = F.contains(words, F.lit(f" {run} " if run else "")) & tried
+    return F.when(gate & tried, made)
 
 
 def _intervals(hit: Column, rules: list[Rule]) -> Column:
@@ -105,13 +104,16 @@ def scanned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rul
 
     ``gated`` = False tries every rule on every text, for tests of the gates.
     """
-    text = F.coalesce("text", F.lit(""))
-    gate = functools.reduce(operator.or_, [F.contains(F.lower(text), F.lit(w)) for w in gate_words(rules)])
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.regexp_count(text, F.lit(_WORD)).cast("long").alias("n_words"), F.when(gate if gated else F.lit(True), text).alias("gated"))
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.translate("gated", _UPPER, _LOWER), _BETWEEN, " ")), F.lit(" "))
-    free = rules if gated else [Rule(r.label, " ", r.priority, r.confidence, r.regex, r.base) for r in rules]
-    hits = F.filter(F.array(*[_tried(F.col("words"), i, r) for i, r in enumerate(free)]), lambda h: h.isNotNull())
-    rows = rows.withColumn("words", words).withColumn("hits", F.when(F.col("gated").isNotNull(), hits)).drop("gated", "words")
+    lower = F.translate(F.coalesce("text", F.lit("")), _UPPER, _LOWER)
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.concat(F.lit(" "), F.trim(F.regexp_replace(lower, _BETWEEN, " ")), F.lit(" ")).alias("words"))
+    few = gate_words(rules)
+    held = F.array_intersect(F.array(*map(F.lit, few)), F.split("words", " "))
+    opens = lambda r: F.array_contains("held", next(w for w in few if w in r.keyword.replace("&", " ").split())) if gated else F.lit(True)
+    n_words = F.when(F.col("words") == "  ", 0).otherwise(_spaces(F.col("words")) - 1).cast("long")
+    free = rules if gated else [Rule(r.label, "", r.priority, r.confidence, r.regex, r.base) for r in rules]
+    hits = F.filter(F.array(*[_tried(F.col("words"), i, free[i], opens(r)) for i, r in enumerate(rules)]), lambda h: h.isNotNull())
+    rows = rows.select("doc_id", n_words.alias("n_words"), "words", held.alias("held"))
+    rows = rows.withColumn("hits", F.when((F.size("held") > 0) if gated else F.lit(True), hits)).drop("words", "held")
     none = F.expr(f"cast(array() as {_DETECTION})")
     rows = rows.withColumn("all", F.when(F.size("hits") > 0, F.flatten(F.transform("hits", lambda h: _intervals(h, rules)))).otherwise(none))
     rows = rows.withColumn("detections", F.when(F.size("all") > 1, _unsuppressed(F.col("all"), rules)).otherwise(F.col("all"))).withColumn("base", F.filter("all", lambda d: d["base"])).drop("all", "hits")
