@@ -55,3 +55,24 @@ def laplace_scale(sensitivity: float, epsilon: Column) -> Column:
 
 def perplexity_change(gap: Column) -> Column:
     return F.when(gap > 0, gap * 0.12).otherwise(0.0)
+
+
+def to_fixed(x: Column, places: int) -> Column:
+    """The double nearest to ``x`` rounded to decimal places, by the exact value of ``x`` and ties away from zero.
+
+    The product with the power of ten is split into a double and its exact error, so values that
+    only look like ties (1.005) go the right way.
+    """
+    power = 10.0**places
+    split = 134217729.0
+    high = lambda v: v * split - (v * split - v)
+    a, c_high = F.abs(x.cast("double")), float(power * split - (power * split - power))
+    c_low = power - c_high
+    product = a * power
+    a_high = high(a)
+    a_low = a - a_high
+    error = ((a_high * c_high - product) + a_high * c_low + a_low * c_high) + a_low * c_low
+    whole = F.floor(product)
+    up = ((product - whole) - 0.5) + error >= 0
+    n = whole + F.when(up, 1).otherwise(0)
+    return F.when(a >= 2.0**52 / power, x.cast("double")).otherwise(F.signum(x.cast("double")) * n / power)

@@ -43,44 +43,62 @@ def moving_average(a: Column, radius: int = 16) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda i: _sum(at(i), lambda x: x) / F.size(at(i)))
 
 
+def _inspect(x: np.ndarray, radius: int) -> dict[str, np.ndarray]:
+    """Measures of vectors of one width, a row each."""
+    n = x.shape[1]
+    total = np.concatenate([np.zeros((len(x), 1)), np.cumsum(x, 1)], 1)
+    i = np.arange(n)
+    lo, hi = np.maximum(i - radius, 0), np.minimum(i + radius + 1, n)
+    low = (total[:, hi] - total[:, lo]) / (hi - lo)
+    rest = x - low
+    square = lambda a: (a * a).sum(1)
+    e_low, e_rest, two, four = square(low), square(rest), square(x), (x**4).sum(1)
+    both = np.maximum(e_low + e_rest, 1e-12)
+    size = np.sort(np.abs(x), 1)
+    p50, p95 = size[:, int(0.5 * (n - 1))], size[:, int(0.95 * (n - 1))]
+    norm, again = np.sqrt(two), np.sqrt(square(low + rest))
+    share = e_low / both
+    return {
+        "eta_low": np.round(share, 6), "eta_rest": np.round(e_rest / both, 6), "spectral_gap": np.round((p95 + 1e-12) / (p50 + 1e-12), 4),
+        "effective_rank": np.maximum(1, np.floor(two * two / np.maximum(four, 1e-12) + 0.5)).astype(np.int64),
+        "ghost_rank": np.minimum(8, np.floor((np.abs(x) < 1e-8).mean(1) * 32 + 0.5)).astype(np.int64), "norm": np.round(norm, 6),
+        "kind": np.select([share < 0.06, share > 0.20], ["residual-heavy", "lowrank-heavy"], "balanced"),
+        "energy_closure": np.where(np.abs(norm - again) / np.maximum(1e-9, norm) < 1e-6, "pass", "fail"),
+        "subspace_compatibility": np.where(np.abs((low * rest).sum(1)) / np.maximum(1e-9, np.sqrt(e_low) * np.sqrt(e_rest)) < 0.05, "pass", "fail"),
+    }
+
+
 def inspected(df: DataFrame, key: str, vector: str, radius: int = 16) -> DataFrame:
-    """Low-pass and residual energies of each vector, its quantile gap, rank and class."""
+    """Shares of the low-pass and residual energies, quantile gap, ranks, class and checks of each vector."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for k, v in zip(pdf["key"], pdf["v"]):
-                x = np.asarray(v, float)
-                total = np.concatenate([[0.0], np.cumsum(x)])
-                i = np.arange(len(x))
-                lo, hi = np.maximum(i - radius, 0), np.minimum(i + radius + 1, len(x))
-                low = (total[hi] - total[lo]) / (hi - lo)
-                rest = x - low
-                energy, e_low, e_rest = (float((y * y).sum()) for y in (x, low, rest))
-                a = np.sort(np.abs(x))
-                p50, p95 = a[int(0.5 * (len(a) - 1))], a[int(0.95 * (len(a) - 1))]
-                share = e_low / energy if energy else 0.0
-                kind = "residual-heavy" if share < 0.06 else "lowrank-heavy" if share > 0.20 else "balanced"
-                rows.append((k, share, e_rest / energy if energy else 0.0, p95 / p50 if p50 else 0.0, int(energy**2 / (x**4).sum() + 0.5) if energy else 0, kind))
-            yield pd.DataFrame(rows, columns=["key", "low_share", "residual_share", "gap", "rank", "kind"])
-
-    return df.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(run, "key long, low_share double, residual_share double, gap double, rank long, kind string")
-
-
-def commutator(a: np.ndarray, b: np.ndarray) -> float:
-    """Norm of AB - BA over the sum of both products' norms; under .05 the order is safe to change."""
+            width = pdf["v"].map(len)
+            for n in sorted(set(width[width > 0])):
+                own = pdf[width == n]
+                yield pd.DataFrame({"key": own["key"].to_numpy(), **_inspect(np.stack(own["v"]).astype(float), radius)})
+
+    schema = "key long, eta_low double, eta_rest double, spectral_gap double, effective_rank long, ghost_rank long, norm double, kind string, energy_closure string, subspace_compatibility string"
+    return df.select(F.col(key).alias("key"), F.col(vector).alias("v")).mapInPandas(run, schema)
+
+
+def commutators(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Norms of AB - BA over the sums of both products' norms, of stacked matrices; under .05 the order is safe to change."""
     ab, ba = a @ b, b @ a
-    size = np.linalg.norm(ab) + np.linalg.norm(ba)
-    return float(np.linalg.norm(ab - ba) / size) if size else 0.0
+    norm = lambda m: np.sqrt((m * m).sum((1, 2)))
+    size = norm(ab) + norm(ba)
+    return np.where(size > 0, norm(ab - ba) / np.where(size > 0, size, 1), 0.0)
 
 
-def commuted(pairs: DataFrame, key: str, a: str, b: str, side: int = 8) -> DataFrame:
+def commuted(pairs: DataFrame, key: str, a: str, b: str, side: int = 16) -> DataFrame:
     """The commutator of two vectors read as square matrices."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            made = [commutator(np.asarray(x, float)[: side * side].reshape(side, side), np.asarray(y, float)[: side * side].reshape(side, side)) for x, y in zip(pdf["a"], pdf["b"])]
-            yield pd.DataFrame({"key": pdf["key"], "commutator": made, "safe": [m < 0.05 for m in made]})
+            if len(pdf):
+                matrix = lambda c: np.stack([np.asarray(x, float)[: side * side] for x in pdf[c]]).reshape(-1, side, side)
+                made = commutators(matrix("a"), matrix("b"))
+                yield pd.DataFrame({"key": pdf["key"], "commutator": made, "safe": made < 0.05})
 
     return pairs.select(F.col(key).alias("key"), F.col(a).alias("a"), F.col(b).alias("b")).mapInPandas(run, "key long, commutator double, safe boolean")
 

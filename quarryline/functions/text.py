@@ -30,9 +30,10 @@ def sentences(t: Column) -> Column:
 
 
 def transcript_lines(t: Column) -> Column:
-    """Lines trimmed, empties dropped, first occurrence kept, marks and fillers removed."""
-    lines = F.array_distinct(F.filter(F.transform(F.split(t, "\n"), trimmed), lambda s: s != ""))
-    clean = lambda s: trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(?i)\[inaudible\]", "..."), r"\s+", " "), r"(?i)\b(um|uh|er)\b[,.]?\s*", ""))
+    """Lines trimmed, empties dropped, first occurrence kept, inaudible marks as an ellipsis, white space squeezed, fillers removed."""
+    lines = F.array_distinct(F.filter(F.transform(F.split(t, "\r?\n"), trimmed), lambda s: s != ""))
+    fillers = r"(?i)(?<![A-Za-z0-9_])(?:um|uh|er)(?![A-Za-z0-9_])"
+    clean = lambda s: trimmed(F.regexp_replace(F.regexp_replace(F.regexp_replace(s, r"(?i)\[inaudible\]", "\u2026"), r"(?U)\s+", " "), fillers, ""))
     return F.filter(F.transform(lines, clean), lambda s: s != "")
 
 

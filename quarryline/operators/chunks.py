@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,18 +31,15 @@ def pair_drift(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def baseline_drift(sets: DataFrame, base: str = "base", version: str = "version") -> DataFrame:
-    """Drift of each version from the first version, by string order, of its base."""
-    versions = sets.select(base, version).distinct()
-    first = versions.groupBy(base).agg(F.min(version).alias("baseline"))
-    other = versions.join(first, base).filter(F.col(version) != F.col("baseline"))
-    sizes = sets.groupBy(base, version).agg(F.count("*").alias("n"))
-    old = sets.join(first, base).filter(F.col(version) == F.col("baseline")).select(base, "hash")
-    shared = sets.join(old, [base, "hash"]).groupBy(base, version).agg(F.count("*").alias("shared"))
-    out = other.join(sizes, [base, version]).join(shared, [base, version], "left")
-    out = out.join(sizes.select(F.col(base), F.col(version).alias("baseline"), F.col("n").alias("n_base")), [base, "baseline"])
-    s = F.coalesce("shared", F.lit(0))
-    j = s / (F.col("n") + F.col("n_base") - s)
-    return out.select(base, "baseline", version, s.alias("shared"), j.alias("jaccard"), (1 - j).alias("drift"))
+    """Drift of each version from the first version, by string order, of its base; (base, version, hash) are distinct."""
+    first = sets.groupBy(base).agg(F.min(version).alias("baseline"))
+    held = sets.groupBy(base, "hash").agg(F.collect_set(version).alias("versions")).join(first, base)  # versions of one chunk
+    in_base = F.array_contains("versions", F.col("baseline"))
+    each = held.select(base, "baseline", in_base.alias("old"), F.explode("versions").alias(version))
+    out = each.groupBy(base, "baseline", version).agg(F.count("*").alias("n"), F.count_if("old").alias("shared"))
+    out = out.withColumn("n_base", F.max(F.when(F.col(version) == F.col("baseline"), F.col("n"))).over(W.partitionBy(base))).filter(F.col(version) != F.col("baseline"))
+    j = F.col("shared") / (F.col("n") + F.col("n_base") - F.col("shared"))
+    return out.select(base, "baseline", version, "shared", j.alias("jaccard"), (1 - j).alias("drift"))
 
 
 def delta_plan(new: DataFrame, old: DataFrame) -> DataFrame:
@@ -93,41 +91,45 @@ def gear_table() -> list[int]:
     return out
 
 
-_GEAR = gear_table()
+_GEAR = np.array(gear_table(), np.uint32)
 
 
 def cut_points(data: bytes, least: int = MIN_SIZE, target: int = TARGET_SIZE, most: int = MAX_SIZE, bits: int = MASK_BITS) -> list[int]:
-    """Ends of content-defined chunks; only the last 32 bytes can reach the rolling hash, so the rest is skipped."""
-    mask, out, start, n = (1 << bits) - 1, [], 0, len(data)
+    """Ends of content-defined chunks: where the rolling hash of the last 32 bytes has ``bits`` zero bits, ``least`` bytes from the start or later.
+
+    The hash is taken at all places together, by doubling the window; a chunk shorter than the
+    window can't end by it, because ``least`` is at least 32.
+    """
+    if least < 32:
+        raise ValueError("a chunk must be at least as long as the hash's window")
+    h = _GEAR[np.frombuffer(data, np.uint8)]
+    for s in (1, 2, 4, 8, 16):
+        h[s:] = h[s:] + (h[:-s] << np.uint32(s)) if len(h) > s else h[s:]
+    marks = np.flatnonzero((h & np.uint32((1 << bits) - 1)) == 0) + 1
+    out, start, n = [], 0, len(data)
     while start < n:
         end = min(start + min(target, most), n)
-        cut, at = end, start + max(0, least - 32)
-        rolling = 0
-        while at < end:
-            rolling = ((rolling << 1) + _GEAR[data[at]]) & 0xFFFFFFFF
-            at += 1
-            if at - start >= least and not rolling & mask:
-                cut = at
-                break
-        out.append(cut)
-        start = cut
+        at = np.searchsorted(marks, start + least)
+        start = int(marks[at]) if at < len(marks) and marks[at] <= end else end
+        out.append(start)
     return out or [0]
 
 
-def chunked(blobs: DataFrame, ref: str = "path", content: str = "content", **sizes: int) -> DataFrame:
-    """One row per chunk (ref, index, offset, length, hash) of each blob; an empty blob has one empty chunk."""
+def chunked(blobs: DataFrame, ref: str = "path", content: str = "content", data: bool = False, **sizes: int) -> DataFrame:
+    """One row per chunk (ref, index, offset, length, hash, and its bytes if asked for) of each blob; an empty blob has one empty chunk."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for name, data in zip(pdf["ref"], pdf["content"]):
-                data, start = bytes(data or b""), 0
-                for i, end in enumerate(cut_points(data, **sizes)):
-                    rows.append((name, i, start, end - start, hashlib.sha256(data[start:end]).hexdigest()))
+            for name, blob in zip(pdf["ref"], pdf["content"]):
+                blob, start = bytes(blob or b""), 0
+                for i, end in enumerate(cut_points(blob, **sizes)):
+                    rows.append((name, i, start, end - start, hashlib.sha256(blob[start:end]).hexdigest(), blob[start:end] if data else None))
                     start = end
-            yield pd.DataFrame(rows, columns=["ref", "index", "offset", "length", "hash"])
+            yield pd.DataFrame(rows, columns=["ref", "index", "offset", "length", "hash", "data"])
 
-    return blobs.select(F.col(ref).alias("ref"), F.col(content).alias("content")).mapInPandas(run, "ref string, index int, offset long, length long, hash string")
+    out = blobs.select(F.col(ref).alias("ref"), F.col(content).alias("content")).mapInPandas(run, "ref string, index int, offset long, length long, hash string, data binary")
+    return out if data else out.drop("data")
 
 
 def chunk_root(chunks: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -32,9 +35,12 @@ def continuity_edges(log: DataFrame, model: str = "model", order: str = "ord") -
     """Each row's link: to the latest row, itself included, that committed its prior state; else external; else the row before."""
     w = W.partitionBy(model).orderBy(order)
     rows = log.withColumn("previous", F.lag(order).over(w))
-    made = log.filter("state is not null").select(F.col(model).alias("m"), F.col("state").alias("committed"), F.col(order).alias("source"))
-    joined = rows.join(made, (F.col(model) == F.col("m")) & (F.col("prior") == F.col("committed")) & (F.col("source") <= F.col(order)), "left")
-    best = joined.groupBy(model, order, "state", "prior", "type", "previous").agg(F.max("source").alias("source"))
+    # both sides in one window by state: of rows up to here, the last that committed it
+    made = rows.filter("state is not null").select(model, F.col("state").alias("at"), F.col(order).alias("source"), F.col(order).alias("place"), F.lit(0).alias("asks"))
+    asked = rows.filter("prior is not null").select(model, F.col("prior").alias("at"), F.lit(None).cast(log.schema[order].dataType).alias("source"), F.col(order).alias("place"), F.lit(1).alias("asks"))
+    until = W.partitionBy(model, "at").orderBy("place", "asks").rowsBetween(W.unboundedPreceding, 0)
+    found = made.unionByName(asked).withColumn("source", F.last("source", ignorenulls=True).over(until)).filter("asks = 1 AND source IS NOT NULL").select(model, F.col("place").alias(order), "source")
+    best = rows.join(found, [model, order], "left")
     kind = F.when(F.col("source").isNotNull(), "commitment-link").when(F.col("prior").isNotNull(), "external-prior").when(F.col("previous").isNotNull() & (F.col("state").isNotNull() | (F.col("type") != "event")), "chronological-fallback")
     at = F.when(kind == "commitment-link", F.col("source")).when(kind == "chronological-fallback", F.col("previous"))
     return best.select(model, order, at.alias("from_ord"), kind.alias("kind")).filter("kind is not null")
@@ -47,6 +53,20 @@ def folded(rows: DataFrame, keys: list[str], order: str, item: Column, seed: str
     return rows.groupBy(*keys).agg(acc.alias("accumulator"), F.count("*").alias("steps"), _sha(F.array_join(F.transform(ordered, lambda x: x["x"]), "|")).alias("root"))
 
 
+def chained(log: DataFrame, key: str, order: str, payload: str, seed: str = "seed") -> DataFrame:
+    """Adds ``built``: each row's link, the hash of the link before it and its payload.  Links depend on all before them, so a key is one task, a row at a time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, link, out = pdf.sort_values(order, ignore_index=True), seed, []
+        for value in pdf[payload]:
+            link = hashlib.sha256(f"{link}|{value}".encode()).hexdigest()
+            out.append(link)
+        return pdf.assign(built=out)
+
+    rows = log.select(key, order, payload)
+    return rows.groupBy(key).applyInPandas(run, ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", built string")
+
+
 def chain_checked(chain: DataFrame, key: str, order: str, payload: str, hash_: str, seed: str = "seed") -> DataFrame:
     """Whether each link's hash is that of the hash before it and its payload; one row at a time."""
     before = F.coalesce(F.lag(hash_).over(W.partitionBy(key).orderBy(order)), F.lit(seed))

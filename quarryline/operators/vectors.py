@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -71,12 +70,6 @@ def neighbor_score(squared: float) -> float:
     return 1.0 if squared == 0 else 0.8 if squared == 2 else 0.5 if squared == 4 else 0.2 if squared <= 8 else 0.0
 
 
-def text_chart(text: str) -> list[float]:
-    """Eight coordinates in [-2, 2] from the words of the text's hash."""
-    words = np.frombuffer(hashlib.sha256(text.encode()).digest(), ">u4")
-    return (words / 0xFFFFFFFF * 4 - 2).tolist()
-
-
 def snapped(df: DataFrame, key: str, point: str) -> DataFrame:
     """Per row: key, cell, cell_key, residual (distance to the cell)."""
 

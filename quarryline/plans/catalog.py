@@ -6,40 +6,19 @@ value for the quantity; an order's parts stand for the chunks of a file.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import formulas, jsonish, tensors, text
 from ..operators import chunks, continuity, lineage, metering, planning, vectors
-from ..shipping import ship
+from ..operators.policies import BANDS, POLICIES
 from ..sources import sinks
 from ..streaming import events as streams
 from .predicate import query, typed_fields, where
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .registry import QUERIES, SQL, registered, table
 
 SINCE = "2024-01-15 00:00:00"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def registered(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
 
 # --- metering and ledger -----------------------------------------------------------------------------
@@ -255,23 +234,27 @@ def status_inference(spark, sf_dir):
 
 
 @registered("""WITH RECURSIVE r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS b FROM events),
-    t AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM r WHERE b <= 50),
+    t AS (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM r WHERE b <= 100),
     f AS (SELECT user_id, CAST(0 AS BIGINT) AS i, 'seed' AS acc FROM t GROUP BY 1 UNION ALL SELECT f.user_id, t.i, sha256(f.acc || '|' || t.event_type) FROM f JOIN t ON t.user_id = f.user_id AND t.i = f.i + 1),
     g AS (SELECT user_id, sha256(string_agg(event_type, '|' ORDER BY i)) AS root FROM t GROUP BY 1)
     SELECT f.user_id, arg_max(f.acc, f.i) AS accumulator, MAX(f.i) AS steps, any_value(g.root) AS root FROM f JOIN g USING (user_id) GROUP BY 1""")
 def hash_chain_fold(spark, sf_dir):
-    last = metering.last_rows(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", 50)
+    last = metering.last_rows(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", 100)
     return lineage.folded(last, ["user_id"], "seq", F.col("event_type"))
 
 
-@registered("""WITH c AS (SELECT user_id, event_id, event_type, sha256(concat_ws('|', COALESCE(CAST(lag(event_id) OVER w AS VARCHAR), 'seed'), event_type)) AS h FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-    p AS (SELECT *, COALESCE(lag(h) OVER (PARTITION BY user_id ORDER BY event_id), 'seed') AS parent FROM c)
-    SELECT user_id, COUNT(*) AS links, COUNT(*) FILTER (WHERE h = sha256(parent || '|' || event_type)) AS valid_links FROM p GROUP BY 1""")
+_CHAIN = """WITH RECURSIVE r AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    c AS (SELECT user_id, event_id, i, sha256('seed|' || event_type) AS h FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.event_id, r.i, sha256(c.h || '|' || r.event_type) FROM c JOIN r ON r.user_id = c.user_id AND r.i = c.i + 1),"""
+
+
+@registered(_CHAIN + """ t AS (SELECT user_id, i, CASE WHEN event_id % 17 = 0 THEN 'x' || substr(h, 2) ELSE h END AS h, h AS built FROM c), p AS (SELECT t.*, event_type, COALESCE(lag(t.h) OVER (PARTITION BY t.user_id ORDER BY t.i), 'seed') AS parent FROM t JOIN r USING (user_id, i))
+    SELECT user_id, COUNT(*) AS links, COUNT(*) FILTER (WHERE h = sha256(parent || '|' || event_type)) AS valid_links, arg_max(built, i) AS head FROM p GROUP BY 1""")
 def hash_chain_verify(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy("event_id")
-    c = table(spark, sf_dir, "events").withColumn("hash", F.sha2(F.concat_ws("|", F.coalesce(F.lag("event_id").over(w).cast("string"), F.lit("seed")), "event_type"), 256))
-    checked = lineage.chain_checked(c, "user_id", "event_id", "event_type", "hash")
-    return checked.groupBy("user_id").agg(F.count("*").alias("links"), F.count_if("valid").alias("valid_links"))
+    """Chains are built, every seventeenth link is changed, and all links are checked."""
+    built = lineage.chained(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
+    changed = built.withColumn("hash", F.when(F.col("event_id") % 17 == 0, F.concat(F.lit("x"), F.substring("built", 2, 63))).otherwise(F.col("built")))
+    checked = lineage.chain_checked(changed, "user_id", "event_id", "event_type", "hash")
+    return checked.groupBy("user_id").agg(F.count("*").alias("links"), F.count_if("valid").alias("valid_links"), F.max_by("built", "event_id").alias("head"))
 
 
 def _merkle_sql() -> str:
@@ -347,19 +330,19 @@ def baseline_gate(spark, sf_dir):
     return chunks.baseline_drift(sets)
 
 
-@registered(f"""WITH {_CHUNKS}, o AS (SELECT DISTINCT hash FROM c WHERE ref % 3 = 0)
-    SELECT CASE WHEN o.hash IS NULL THEN 'inline' ELSE 'reuse' END AS op, COUNT(*) AS n, CAST(SUM(size) AS BIGINT) AS bytes FROM c LEFT JOIN o USING (hash) WHERE ref % 3 = 1 GROUP BY 1""")
+@registered(f"""WITH {_CHUNKS}, o AS (SELECT DISTINCT hash FROM c WHERE ref % 2 = 0)
+    SELECT CASE WHEN o.hash IS NULL THEN 'inline' ELSE 'reuse' END AS op, COUNT(*) AS n, CAST(SUM(size) AS BIGINT) AS bytes FROM c LEFT JOIN o USING (hash) WHERE ref % 2 = 1 GROUP BY 1""")
 def chunk_delta_semi(spark, sf_dir):
     c = _chunks(spark, sf_dir)
-    return chunks.delta_plan(c.filter("ref % 3 = 1"), c.filter("ref % 3 = 0")).groupBy("op").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    return chunks.delta_plan(c.filter("ref % 2 = 1"), c.filter("ref % 2 = 0")).groupBy("op").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-@registered(f"""WITH {_CHUNKS}, o AS (SELECT DISTINCT hash FROM c WHERE ref % 3 = 0),
-    t AS (SELECT CAST(SUM(size) AS BIGINT) AS nb, CAST(COALESCE(SUM(size) FILTER (WHERE o.hash IS NOT NULL), 0) AS BIGINT) AS rb FROM c LEFT JOIN o USING (hash) WHERE ref % 3 = 1)
+@registered(f"""WITH {_CHUNKS}, o AS (SELECT DISTINCT hash FROM c WHERE ref % 2 = 0),
+    t AS (SELECT CAST(SUM(size) AS BIGINT) AS nb, CAST(COALESCE(SUM(size) FILTER (WHERE o.hash IS NOT NULL), 0) AS BIGINT) AS rb FROM c LEFT JOIN o USING (hash) WHERE ref % 2 = 1)
     SELECT nb AS new_bytes, rb AS reused_bytes, CAST(rb AS DOUBLE) / nb AS overlap, CASE WHEN CAST(rb AS DOUBLE) / nb >= 0.25 AND rb > 0 THEN 'chunk' WHEN floor(nb * 0.6::DOUBLE + 0.5) < nb - rb THEN 'bsdiff' ELSE 'chunk' END AS strategy FROM t""")
 def delta_strategy(spark, sf_dir):
     c = _chunks(spark, sf_dir)
-    return chunks.delta_strategy(chunks.delta_plan(c.filter("ref % 3 = 1"), c.filter("ref % 3 = 0")))
+    return chunks.delta_strategy(chunks.delta_plan(c.filter("ref % 2 = 1"), c.filter("ref % 2 = 0")))
 
 
 @registered(f"""WITH {_CHUNKS}, m AS (SELECT DISTINCT hash FROM c WHERE ref % 10 < 7), s AS (SELECT DISTINCT hash, size FROM c)
@@ -387,20 +370,31 @@ def pack_layout(spark, sf_dir):
     return chunks.layout(p, ["size", "p_partkey"], "p_brand").select("p_brand", "p_partkey", "position", "offset")
 
 
-@registered()
+def _cdc_sql() -> str:
+    gear = ", ".join(str(g % 512) for g in chunks.gear_table())
+    low = " + ".join(f"{1 << k} * COALESCE(lag(g, {k}) OVER w, 0)" if k else "g" for k in range(9))
+    return f"""WITH RECURSIVE x AS (SELECT CAST(doc_id AS VARCHAR) AS ref, hex(encode(COALESCE(text, ''))) AS h FROM documents), t AS (SELECT [{gear}] AS t),
+        b AS (SELECT ref, p, (SELECT t FROM t)[CAST('0x' || substr(h, 2 * p - 1, 2) AS INT) + 1] AS g FROM (SELECT ref, h, unnest(range(1, CAST(length(h) / 2 AS BIGINT) + 1)) AS p FROM x)),
+        c AS (SELECT ref, p FROM (SELECT ref, p, ({low}) % 512 AS v FROM b WINDOW w AS (PARTITION BY ref ORDER BY p)) WHERE v = 0),
+        l AS (SELECT ref, list(p ORDER BY p) AS cuts FROM c GROUP BY 1), n AS (SELECT x.ref, CAST(length(h) / 2 AS BIGINT) AS n, COALESCE(cuts, []::BIGINT[]) AS cuts FROM x LEFT JOIN l USING (ref)),
+        r AS (SELECT ref, 0 AS i, 0::BIGINT AS s, CASE WHEN n = 0 THEN 0 ELSE COALESCE(list_min(list_filter(cuts, lambda p: p >= 256 AND p <= least(1024, n))), least(1024, n)) END AS e FROM n
+            UNION ALL SELECT r.ref, i + 1, r.e, COALESCE(list_min(list_filter(cuts, lambda p: p >= r.e + 256 AND p <= least(r.e + 1024, n))), least(r.e + 1024, n)) FROM r JOIN n USING (ref) WHERE r.e < n)
+        SELECT ref, CAST(i AS INT) AS index, s AS "offset", e - s AS length, sha256(unhex(substr(h, 2 * s + 1, 2 * (e - s)))) AS hash FROM r JOIN x USING (ref)"""
+
+
+@registered(_cdc_sql())
 def cdc_chunks(spark, sf_dir):
-    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
+    blobs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
     return chunks.chunked(blobs, least=256, target=1024, most=4096, bits=9)
 
 
-@registered("""SELECT CAST(doc_id AS VARCHAR) AS ref, sha256(text) AS sha, octet_length(encode(text)) AS bytes FROM documents""")
+@registered("""SELECT CAST(doc_id AS VARCHAR) AS ref, sha256(COALESCE(text, '')) AS sha, octet_length(encode(COALESCE(text, ''))) AS bytes FROM documents""")
 def delta_roundtrip(spark, sf_dir):
-    """Chunks joined back by hash give the documents again."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode("text", "utf-8").alias("content"))
-    made = chunks.chunked(d, least=256, target=1024, most=4096, bits=9)
-    parts = made.join(d, made["ref"] == d["path"]).select("ref", "index", F.expr("substring(content, int(offset + 1), int(length))").alias("data"), "length")
+    """Chunks, sliced while they are cut, joined back by order give the documents again."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("content"))
+    made = chunks.chunked(d, data=True, least=256, target=1024, most=4096, bits=9)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("index", F.hex("data").alias("h")))), lambda x: x["h"])
-    return parts.groupBy("ref").agg(F.sha2(F.unhex(F.array_join(ordered, "")), 256).alias("sha"), F.sum("length").alias("bytes"))
+    return made.groupBy("ref").agg(F.sha2(F.unhex(F.array_join(ordered, "")), 256).alias("sha"), F.sum("length").alias("bytes"))
 
 
 # --- text -------------------------------------------------------------------------------------------------
@@ -417,10 +411,9 @@ def slug(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat("p_type", F.lit(" / "), "p_name", F.lit("!"))).alias("slug"))
 
 
-@registered("SELECT conv_id, turn, len(list_filter(list_transform(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda s: trim(s, chr(10) || ' ')), lambda s: s <> '')) AS sentences FROM conversations WHERE NOT regexp_matches(text, '[.!?][^\\s.!?]')")
+@registered(f"""SELECT conv_id, turn, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, '{text.WHITE_SPACE}')), lambda s: s <> '')) AS sentences FROM conversations""")
 def sentence_split(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter(~F.col("text").rlike(r"[.!?][^\s.!?]"))
-    return c.select("conv_id", "turn", F.size(text.sentences(F.col("text"))).cast("long").alias("sentences"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(text.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
 @registered("""WITH t AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '[^.!?\\n]+[.!?\\n]+'), lambda s: trim(s, chr(10) || ' ')), lambda s: length(s) BETWEEN 30 AND 80) AS c FROM documents)
@@ -429,7 +422,11 @@ def clip_extract(spark, sf_dir):
     return text.clips(table(spark, sf_dir, "documents"), "doc_id", "text", 30, 80)
 
 
-@registered()
+_FILLERS = "(?i)\\b(um|uh|er)\\b"
+
+
+@registered(f"""WITH l AS (SELECT conv_id, turn, list_filter(list_transform(string_split(text, chr(10)), lambda s: trim(s, '{text.WHITE_SPACE}')), lambda s: s <> '') AS l FROM conversations)
+    SELECT conv_id, turn, array_to_string(list_filter(list_transform(list_filter(l, lambda s, i: list_position(l, s) = i), lambda s: trim(regexp_replace(regexp_replace(regexp_replace(s, '(?i)\\[inaudible\\]', '…', 'g'), '\\s+', ' ', 'g'), '{_FILLERS}', '', 'g'), '{text.WHITE_SPACE}')), lambda s: s <> ''), chr(10)) AS cleaned FROM l""")
 def transcript_clean(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.array_join(text.transcript_lines(F.col("text")), "\n").alias("cleaned"))
@@ -480,25 +477,44 @@ def embed_text_64d(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", vectors.embedded(F.col("p_name")).alias("vector"))
 
 
-def _query_vector(spark, sf_dir) -> list[float]:
-    return list(table(spark, sf_dir, "embeddings").filter("vec_id = 0").select("embedding").first()[0])
+_EVERY_50TH = "(SELECT vec_id AS query, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0)"
 
 
-@registered("""SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10""")
+@registered(f"""WITH s AS (SELECT query, vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS score FROM embeddings CROSS JOIN {_EVERY_50TH})
+    SELECT query, vec_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 10""")
 def vec_topk_cosine(spark, sf_dir):
-    return vectors.search(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 10, "embedding", "vec_id").select("vec_id", "label", "score")
+    """The ten best of every 50th vector; rows without a cell are scored by their cosine alone."""
+    e = table(spark, sf_dir, "embeddings")
+    store = e.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"), F.lit(None).cast("array<double>").alias("cell"), F.lit(None).cast("double").alias("residual"))
+    best = vectors.blended_each(store, store.filter("key % 50 = 0").withColumn("cell", F.array_repeat(F.lit(0.0), 8)), 10)
+    return best.join(e.select(F.col("vec_id").alias("key"), "label"), "key").select("query", F.col("key").alias("vec_id"), "label", "score")
 
 
 def _points(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double") * 8).alias("point"))
 
 
-@registered()
+_POINT = "list_transform(range(1, 9), lambda i: embedding[i]::DOUBLE * 8)"
+_LISTS = """e AS (SELECT vec_id AS key, embedding, {point} AS x FROM embeddings),
+    w AS (SELECT *, list_transform(x, lambda v: floor(v + 0.5)) AS z, list_transform(x, lambda v: v - 0.5 - floor(v)) AS unused, list_transform(x, lambda v: floor(v - 0.5 + 0.5)) AS y FROM e),
+    g AS (SELECT *, list_transform(range(1, 9), lambda i: x[i] - z[i]) AS gz, list_transform(range(1, 9), lambda i: x[i] - 0.5 - y[i]) AS gy FROM w),
+    a AS (SELECT *, list_position(list_transform(gz, lambda v: abs(v)), list_max(list_transform(gz, lambda v: abs(v)))) AS iz, list_position(list_transform(gy, lambda v: abs(v)), list_max(list_transform(gy, lambda v: abs(v)))) AS iy FROM g),
+    f AS (SELECT *, list_transform(range(1, 9), lambda i: z[i] + CASE WHEN i = iz AND CAST(list_sum(z) AS BIGINT) % 2 <> 0 THEN CASE WHEN gz[i] >= 0 THEN 1 ELSE -1 END ELSE 0 END) AS whole,
+        list_transform(range(1, 9), lambda i: y[i] + 0.5 + CASE WHEN i = iy AND CAST(list_sum(y) AS BIGINT) % 2 <> 0 THEN CASE WHEN gy[i] >= 0 THEN 1 ELSE -1 END ELSE 0 END) AS half FROM a),
+    d AS (SELECT *, list_sum(list_transform(range(1, 9), lambda i: (x[i] - whole[i]) * (x[i] - whole[i]))) AS dw, list_sum(list_transform(range(1, 9), lambda i: (x[i] - half[i]) * (x[i] - half[i]))) AS dh FROM f),
+    s AS (SELECT key, embedding::DOUBLE[] AS vector, CASE WHEN dh < dw THEN half ELSE whole END AS cell, round(sqrt(least(dw, dh)), 8) AS residual FROM d),
+    c AS (SELECT *, array_to_string(list_transform(cell, lambda v: CASE WHEN v <> floor(v) THEN CAST(CAST(2 * v AS BIGINT) AS VARCHAR) || 'h' ELSE CAST(CAST(v AS BIGINT) AS VARCHAR) END), ',') AS cell_key FROM s)""".replace("{point}", _POINT).replace("list_transform(x, lambda v: v - 0.5 - floor(v)) AS unused, ", "")
+
+
+@registered(f"WITH {_LISTS} SELECT key, cell, cell_key, residual FROM c")
 def e8_snap(spark, sf_dir):
     return vectors.snapped(_points(spark, sf_dir), "vec_id", "point")
 
 
-@registered()
+@registered(f"""WITH {_LISTS}, p AS (SELECT q.key AS query, r.key, r.cell_key, list_cosine_similarity(r.vector, q.vector) AS cos, r.residual,
+        list_sum(list_transform(range(1, 9), lambda i: (r.cell[i] - q.cell[i]) * (r.cell[i] - q.cell[i]))) AS d FROM c r CROSS JOIN (SELECT * FROM c WHERE key % 50 = 0) q),
+    b AS (SELECT query, key, cell_key, round(0.8::DOUBLE * cos + 0.15::DOUBLE * CASE WHEN d = 0 THEN 1 WHEN d = 2 THEN 0.8 WHEN d = 4 THEN 0.5 WHEN d <= 8 THEN 0.2 ELSE 0 END + 0.05::DOUBLE * (1 - least(1, residual / 2)), 6) AS score FROM p)
+    SELECT query, key, cell_key, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS r FROM b) WHERE r <= 10""")
 def vec_topk_blended(spark, sf_dir):
     p = _points(spark, sf_dir)
     store = vectors.snapped(p, "vec_id", "point").join(p.select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector")), "key")
@@ -532,16 +548,34 @@ def low_pass_energy(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(low, F.lit(0.0), lambda s, x: s + x * x), 6).alias("low_energy"))
 
 
-@registered()
+_ENERGIES = """l AS (SELECT vec_id AS key, e, list_transform(range(1, len(e) + 1), lambda i: list_avg(e[greatest(i - 16, 1):least(i + 16, len(e))])) AS low FROM (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)),
+    r AS (SELECT key, e, low, list_transform(range(1, len(e) + 1), lambda i: e[i] - low[i]) AS rest, list_sort(list_transform(e, lambda v: abs(v))) AS a FROM l),
+    n AS (SELECT *, list_sum(list_transform(low, lambda v: v * v)) AS el, list_sum(list_transform(rest, lambda v: v * v)) AS er, list_sum(list_transform(e, lambda v: v * v)) AS two, list_sum(list_transform(e, lambda v: v * v * v * v)) AS four,
+        a[CAST(floor((len(a) - 1) * 0.5) AS INT) + 1] AS p50, a[CAST(floor((len(a) - 1) * 0.95) AS INT) + 1] AS p95, list_sum(list_transform(range(1, len(e) + 1), lambda i: low[i] * rest[i])) AS lr FROM r)"""
+
+
+@registered(f"""WITH {_ENERGIES} SELECT key, round(el / greatest(el + er, 1e-12), 6) AS eta_low, round(er / greatest(el + er, 1e-12), 6) AS eta_rest, round((p95 + 1e-12) / (p50 + 1e-12), 4) AS spectral_gap,
+    greatest(1, CAST(floor(two * two / greatest(four, 1e-12) + 0.5) AS BIGINT)) AS effective_rank, CAST(least(8, floor(len(list_filter(e, lambda v: abs(v) < 1e-8)) / len(e) * 32 + 0.5)) AS BIGINT) AS ghost_rank, round(sqrt(two), 6) AS norm,
+    CASE WHEN el / greatest(el + er, 1e-12) < 0.06 THEN 'residual-heavy' WHEN el / greatest(el + er, 1e-12) > 0.20 THEN 'lowrank-heavy' ELSE 'balanced' END AS kind,
+    'pass' AS energy_closure, CASE WHEN abs(lr) / greatest(1e-9, sqrt(el) * sqrt(er)) < 0.05 THEN 'pass' ELSE 'fail' END AS subspace_compatibility FROM n""")
 def block_inspect(spark, sf_dir):
     return tensors.inspected(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-@registered()
+_SQUARES = """m AS (SELECT vec_id // 4 AS block, list(embedding::DOUBLE[] ORDER BY vec_id) AS l FROM embeddings GROUP BY 1), s AS (SELECT block, flatten(l) AS a FROM m WHERE len(l) = 4)"""
+
+
+@registered(f"""WITH {_SQUARES}, p AS (SELECT x.block, x.a AS a, y.a AS b FROM s x JOIN s y ON y.block = x.block + 1),
+    g AS (SELECT p.block, a, b, i, j FROM p, range(0, 16) r(i), range(0, 16) c(j)),
+    ab AS (SELECT block, i, j, list_sum(list_transform(range(0, 16), lambda k: a[16 * i + k + 1] * b[16 * k + j + 1])) AS x, list_sum(list_transform(range(0, 16), lambda k: b[16 * i + k + 1] * a[16 * k + j + 1])) AS y FROM g),
+    t AS (SELECT block AS key, sqrt(SUM((x - y) * (x - y))) / (sqrt(SUM(x * x)) + sqrt(SUM(y * y))) AS c FROM ab GROUP BY 1)
+    SELECT key, round(c, 9) AS commutator, c < 0.05 AS safe FROM t""")
 def commutator(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    pairs = e.select(F.col("vec_id"), F.col("embedding").alias("a")).join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
-    return tensors.commuted(pairs, "vec_id", "a", "b")
+    """Four vectors make a matrix of sixteen rows; each matrix against the next one."""
+    e = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 4).alias("block"), F.struct("vec_id", "embedding").alias("v"))
+    m = e.groupBy("block").agg(F.array_sort(F.collect_list("v")).alias("l")).filter("size(l) = 4").select("block", F.flatten(F.transform("l", lambda v: v["embedding"])).alias("a"))
+    pairs = m.join(m.select((F.col("block") - 1).alias("block"), F.col("a").alias("b")), "block")
+    return tensors.commuted(pairs, "block", "a", "b").withColumn("commutator", F.round("commutator", 9))
 
 
 @registered("""WITH c AS (SELECT p_partkey, [{'cost': p_size * 8.0, 'r': 0, 'n': 'dense'}, {'cost': p_size * 2.0 + 40, 'r': 1, 'n': 'lowrank'}, {'cost': p_size * 4.0 + 10, 'r': 2, 'n': 'sparse'}] AS o FROM part)
@@ -570,35 +604,74 @@ def session_diff(spark, sf_dir):
     return planning.session_diff(c.filter("conv_id % 2 = 0"), c.filter("conv_id % 2 = 1"), "step")
 
 
-@registered("""WITH s AS (SELECT turn, sha256(text) AS step FROM conversations WHERE conv_id = 1), o AS (SELECT turn, sha256(text) AS step FROM conversations WHERE conv_id = 0),
-    u AS (SELECT 0 AS part, turn, step FROM o UNION ALL SELECT 1, turn, step FROM s WHERE step NOT IN (SELECT step FROM o))
-    SELECT part, turn, step, CAST(row_number() OVER (ORDER BY part, turn) AS INT) AS new_order FROM u""")
+@registered("""WITH c AS (SELECT conv_id, turn, sha256(text) AS step FROM conversations), o AS (SELECT n.conv_id, c.turn, c.step FROM (SELECT DISTINCT conv_id FROM c) n JOIN c ON c.conv_id = n.conv_id - 1),
+    u AS (SELECT conv_id, 0 AS part, turn, step FROM o UNION ALL SELECT conv_id, 1, turn, step FROM c WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.conv_id = c.conv_id AND o.step = c.step))
+    SELECT conv_id, part, turn, step, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY part, turn, step) AS INT) AS new_order FROM u""")
 def session_rebase(spark, sf_dir):
+    """Every conversation onto the one before it."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2("text", 256).alias("step"))
-    return planning.rebased(c.filter("conv_id = 1"), c.filter("conv_id = 0"), "step", "turn")
-
+    onto = c.withColumn("conv_id", F.col("conv_id") + 1).join(c.select("conv_id").distinct(), "conv_id", "left_semi")
+    return planning.rebased(c, onto, "conv_id", "step", "turn")
 
-def _moves(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), F.when(F.col("value") > 50, "high").otherwise("low").alias("chart"), (F.col("value").cast("decimal(18,2)") / 100).cast("double").alias("residual"))
-    return continuity.transitions(e, ["key"], "ord", "chart", "residual")
 
+_CHART_OF = {"click": "geo_runtime", "view": "memory", "purchase": "execution_batch", "signup": "generic", "error": "liquidity_topology"}
 
-_TRANSITIONS = """WITH e AS (SELECT user_id AS key, event_id AS ord, CASE WHEN value > 50 THEN 'high' ELSE 'low' END AS chart, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) / 100 AS residual FROM events),
-    l AS (SELECT *, lag(chart) OVER w AS prior_chart, lag(residual) OVER w AS prior_residual FROM e WINDOW w AS (PARTITION BY key ORDER BY ord)),
-    d AS (SELECT *, residual - prior_residual AS delta, CASE WHEN residual <= 0.25::DOUBLE THEN 'stable' WHEN residual <= 0.5::DOUBLE THEN 'boundary' WHEN residual <= 0.75::DOUBLE THEN 'novel' ELSE 'degraded' END AS band FROM l),
-    m AS (SELECT *, CASE WHEN prior_chart IS NULL THEN 'INITIALIZED' WHEN prior_chart <> chart THEN 'BOUNDARY_CROSSING' WHEN abs(delta) > sqrt(4.05::DOUBLE) THEN 'CONTINUITY_FAIL' WHEN delta > 0.2::DOUBLE OR band <> 'stable' THEN 'PASS_WITH_DRIFT' ELSE 'PASS' END AS class FROM d)"""
 
-
-@registered(_TRANSITIONS + " SELECT key, ord, band, class FROM m")
+def _moves(spark, sf_dir) -> DataFrame:
+    """Each user's events as states: the type is the chart, a tenth of the value the residual."""
+    value = F.col("value").cast("decimal(18,2)").cast("double")
+    chart = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in _CHART_OF.items() for x in kv]), F.col("event_type")), F.lit("text_proof"))
+    cell = F.array(*[(F.shiftright("event_id", i) % 2).cast("double") for i in range(8)])
+    e = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("key"), F.col("event_id").alias("ord"), chart.alias("chart"), (value / 80).alias("residual"), F.when(F.col("event_id") % 5 != 0, cell).alias("cell"),
+        F.sha2(F.col("event_id").cast("string"), 256).alias("commitment"), F.when(F.col("event_id") % 7 != 0, F.sha2("event_type", 256)).alias("witness"), F.when(F.col("event_id") % 11 == 0, "space.state").otherwise("event").alias("type"),
+    )
+    return continuity.transitions(e, ["key"], "ord")
+
+
+def _quoted(values) -> str:
+    return "(" + ", ".join(f"'{v}'" for v in values) + ")"
+
+
+def _moves_sql() -> str:
+    chart = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CHART_OF.items()) + " ELSE 'text_proof' END"
+    bands = ", ".join(f"('{c}', {a}::DOUBLE, {b}::DOUBLE, {d}::DOUBLE)" for c, (a, b, d) in BANDS.items())
+    return f"""WITH e AS (SELECT user_id AS key, event_id AS ord, {chart} AS chart, CAST(CAST(value AS DECIMAL(18,2)) AS DOUBLE) / 80 AS residual, event_id % 5 <> 0 AS placed,
+        event_id % 7 <> 0 AS witnessed, event_id % 11 = 0 AS space FROM events),
+    l AS (SELECT *, lag(ord) OVER w AS p_ord, lag(chart) OVER w AS p_chart, lag(residual) OVER w AS p_residual, lag(placed) OVER w AS p_placed, lag(witnessed) OVER w AS p_witnessed, lag(space) OVER w AS p_space FROM e WINDOW w AS (PARTITION BY key ORDER BY ord)),
+    b AS (SELECT * FROM (VALUES {bands}) v(c, stable, boundary, novel)),
+    d AS (SELECT l.*, round(residual - p_residual, 8) AS delta, CASE WHEN residual <= b.stable THEN 'stable' WHEN residual <= b.boundary THEN 'boundary' WHEN residual <= b.novel THEN 'novel' ELSE 'degraded' END AS band,
+        bit_count(xor(ord % 256, p_ord % 256)) AS apart FROM l JOIN b ON b.c = CASE WHEN chart IN {_quoted(BANDS)} THEN chart ELSE 'default' END),
+    i AS (SELECT *, p_ord IS NULL AS first, p_ord IS NULL OR p_chart <> chart OR chart = 'generic' OR p_chart = 'generic' OR space OR p_space OR NOT placed OR NOT p_placed OR apart <= 4.05 AS near FROM d),
+    m AS (SELECT *, CASE WHEN first THEN 'INITIALIZED' WHEN p_chart <> chart THEN 'BOUNDARY_CROSSING' WHEN NOT witnessed OR band = 'degraded' OR NOT near THEN 'CONTINUITY_FAIL' WHEN delta > 0.2::DOUBLE OR band <> 'stable' THEN 'PASS_WITH_DRIFT' ELSE 'PASS' END AS class FROM i)"""
+
+
+def _policy_sql() -> str:
+    rows, moves = [], []
+    for p in POLICIES:
+        yes = lambda names, n: str(n in names).lower()
+        rows.append(f"('{p.id}', {p.max_delta}::DOUBLE, {str(p.crossing).lower()}, {yes(p.required, 'neighborhood_preserved')}, {yes(p.required, 'prior_commitment_present')}, {yes(p.failing, 'witness_bound')}, {yes(p.failing, 'residual_bounded')}, {yes(p.failing, 'neighborhood_preserved')}, {yes(p.witnesses, 'prior_state_witness')})")
+        moves += [f"('{p.id}', '{a}', {list(to)})" for a, to in p.moves.items()]
+    return f"""{_moves_sql()}, p AS (SELECT * FROM (VALUES {', '.join(rows)}) v(policy, mx, crossing, need_near, need_prior, fail_witness, fail_residual, fail_near, prior_too)),
+    g AS (SELECT * FROM (VALUES {', '.join(moves)}) v(g_policy, g_from, g_to)),
+    v AS (SELECT key, ord, class, policy, (fail_witness AND NOT witnessed) OR (fail_residual AND band = 'degraded') OR (fail_near AND NOT first AND NOT near) AS failed,
+        NOT witnessed OR (prior_too AND NOT first AND NOT p_witnessed) AS unwitnessed, coalesce(delta > mx, false) AS jumped, class = 'BOUNDARY_CROSSING' AND NOT crossing AS crossed,
+        coalesce(p_chart <> chart AND g_to IS NOT NULL AND NOT list_contains(g_to, chart), false) AS moved FROM m CROSS JOIN p LEFT JOIN g ON g_policy = policy AND g_from = p_chart),
+    s AS (SELECT *, failed OR unwitnessed OR jumped OR crossed OR moved AS bad, 0.35::DOUBLE * failed::INT + 0.25::DOUBLE * unwitnessed::INT + 0.2::DOUBLE * jumped::INT + 0.15::DOUBLE * crossed::INT + 0.15::DOUBLE * moved::INT AS r FROM v),
+    t AS (SELECT policy, CASE WHEN bad THEN 'CONTINUITY_FAIL' WHEN class IN ('PASS_WITH_DRIFT', 'BOUNDARY_CROSSING', 'INITIALIZED') THEN class ELSE 'PASS' END AS verdict,
+        CASE class WHEN 'PASS_WITH_DRIFT' THEN greatest(r, 0.25::DOUBLE) WHEN 'BOUNDARY_CROSSING' THEN greatest(r, 0.3::DOUBLE) ELSE r END AS r FROM s)
+    SELECT policy, verdict, COUNT(*) AS n, round(SUM(CASE WHEN verdict IN ('PASS', 'INITIALIZED') THEN least(r, 0.1::DOUBLE) ELSE least(r, 1::DOUBLE) END), 4) AS risk FROM t GROUP BY ALL"""
+
+
+@registered(_moves_sql() + " SELECT key, ord, band, delta, near, class FROM m")
 def continuity_transitions(spark, sf_dir):
-    return _moves(spark, sf_dir).select("key", "ord", "band", "class")
+    near = F.coalesce(F.element_at(F.map_from_entries("invariants"), "neighborhood_preserved"), F.lit(True))
+    return _moves(spark, sf_dir).select("key", "ord", "band", "delta", near.alias("near"), "class")
 
 
-@registered(_TRANSITIONS + """, p AS (SELECT * FROM (VALUES ('default', 0.5::DOUBLE, true), ('strict', 0.2::DOUBLE, false), ('ledger', 0.1::DOUBLE, false), ('exploratory', 2.0::DOUBLE, true)) v(policy, mx, crossing)),
-    j AS (SELECT policy, class, CASE WHEN class <> 'INITIALIZED' AND (delta > mx OR (class = 'BOUNDARY_CROSSING' AND NOT crossing)) THEN 'CONTINUITY_FAIL' ELSE class END AS verdict FROM m CROSS JOIN p)
-    SELECT policy, verdict, COUNT(*) AS n FROM j GROUP BY ALL""")
+@registered(_policy_sql())
 def policy_eval(spark, sf_dir):
-    return continuity.judged(_moves(spark, sf_dir), continuity.policy_table(spark)).groupBy("policy", "verdict").agg(F.count("*").alias("n"))
+    return continuity.judged(_moves(spark, sf_dir), POLICIES).groupBy("policy", "verdict").agg(F.count("*").alias("n"), F.round(F.sum("risk"), 4).alias("risk"))
 
 
 @registered("""SELECT user_id, event_type, arg_max(value, event_id) AS value, MAX(event_id) AS event_id FROM events GROUP BY 1, 2""")
@@ -614,21 +687,23 @@ def physics_run(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", end.alias("e")).select("p_partkey", "e.x", "e.v")
 
 
-@registered("""WITH o AS (SELECT s_nationkey, s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) / 100 AS cost, CAST(s_suppkey % 90 AS DOUBLE) AS latency, CAST(s_suppkey % 10 AS DOUBLE) / 10 AS quality FROM supplier),
+@registered("""WITH o AS (SELECT s_nationkey, s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) / 100 AS cost, CAST(s_suppkey % 90 AS DOUBLE) AS latency, CAST(s_suppkey % 10 AS DOUBLE) / 10 AS quality, s_suppkey % 4 <> 0 AS cloud FROM supplier),
     e AS (SELECT *, latency <= 60 AND quality >= 0.3::DOUBLE AND cost <= 80 AS eligible, (80 - cost) / 80 * 50 + greatest(0::DOUBLE, (60 - latency) / 60 * 30) + (quality - 0.3::DOUBLE) * 10 AS s FROM o),
-    f AS (SELECT *, CASE WHEN eligible THEN s ELSE 0 END AS score, row_number() OVER (PARTITION BY s_nationkey ORDER BY eligible DESC, CASE WHEN eligible THEN s ELSE 0 END DESC, s_suppkey) AS r, bool_or(eligible) OVER (PARTITION BY s_nationkey) AS any_eligible FROM e)
-    SELECT s_nationkey, s_suppkey, round(score, 6) AS score, any_eligible FROM f WHERE r = 1""")
+    g AS (SELECT *, CAST(printf('%.2f', nextafter(CASE WHEN eligible THEN s ELSE 0::DOUBLE END + CASE WHEN cloud THEN 0::DOUBLE ELSE 5::DOUBLE END, 1e300)) AS DOUBLE) AS score FROM e),
+    f AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY eligible DESC, score DESC, s_suppkey) AS r, bool_or(eligible) OVER (PARTITION BY s_nationkey) AS any_eligible FROM g)
+    SELECT s_nationkey, s_suppkey, score, any_eligible FROM f WHERE r = 1""")
 def arb_route(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_acctbal").cast("decimal(18,2)").cast("double") / 100).alias("cost"), (F.col("s_suppkey") % 90).cast("double").alias("latency"), ((F.col("s_suppkey") % 10).cast("double") / 10).alias("quality"))
-    ok, score = planning.route_score(F.col("cost"), F.col("latency"), F.col("quality"), 80.0, 60.0, 0.3)
-    return planning.routed(s.withColumns({"eligible": ok, "score": score}), "s_nationkey", "s_suppkey").withColumn("score", F.round("score", 6))
+    ok, score = planning.route_score(F.col("cost"), F.col("latency"), F.col("quality"), F.col("s_suppkey") % 4 != 0, 80.0, 60.0, 0.3)
+    return planning.routed(s.withColumns({"eligible": ok, "score": score}), "s_nationkey", "s_suppkey")
 
 
-@registered("""SELECT p_partkey, p_name, CAST(len(list_filter(string_split(p_name, ' '), lambda f: contains(f, 'ring') OR contains('ring', f) OR contains(f, 'small') OR contains('small', f))) * 20 + CASE WHEN p_retailprice <= 1000 THEN 30 ELSE 0 END + CASE WHEN p_size <= 20 THEN 20 ELSE 0 END AS INT) AS score
-    FROM part ORDER BY score DESC, p_partkey LIMIT 15""")
+@registered("""SELECT p_partkey, p_name, CAST(len(list_filter(string_split(p_name, ' '), lambda f: contains(f, 'ring') OR contains('ring', f) OR contains(f, 'small') OR contains('small', f))) * 20 + CASE WHEN p_size <= 30 THEN 30 ELSE 0 END + CASE WHEN p_size <= 40 THEN 20 ELSE 0 END
+    + CASE WHEN p_partkey % 3 = 0 THEN 15 ELSE 0 END + CASE WHEN p_partkey % 5 = 0 THEN 10 ELSE 0 END + CASE WHEN p_partkey % 2 = 0 THEN 5 ELSE 0 END AS INT) AS score FROM part ORDER BY score DESC, p_partkey LIMIT 15""")
 def marketplace_topn(spark, sf_dir):
-    p = table(spark, sf_dir, "part").withColumn("price", F.col("p_retailprice"))
-    return planning.marketplace(p, ["ring", "small"], F.split("p_name", " "), F.col("p_size"), 1000, 20, "p_partkey", 15).select("p_partkey", "p_name", "score")
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.split("p_name", " ").alias("features"), F.col("p_size").alias("size"), (k % 3 == 0).alias("sae"), (k % 5 == 0).alias("memory_pack"), F.when(k % 2 == 0, "general").otherwise("code").alias("family"))
+    return planning.marketplace(p, ["ring", "small"], 30, 40, 0.9, "p_partkey", 15).select("p_partkey", "p_name", "score")
 
 
 @registered("""WITH f AS (SELECT p_brand, p_partkey, p_retailprice * 24 * 2 AS cost FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY cost, p_partkey) AS i FROM f)
@@ -708,10 +783,15 @@ def join_as_of(spark, sf_dir):
     return e.withColumn("last_signup", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w)).filter("event_type = 'purchase'").select("event_id", "last_signup")
 
 
-@registered("SELECT p_partkey, COUNT(*) AS bands FROM part JOIN (SELECT range * 10 AS lo, range * 10 + 14 AS hi FROM range(0, 6)) b ON p_size >= lo AND p_size < hi GROUP BY 1")
+@registered("SELECT o.o_orderkey, COUNT(e.event_id) AS events FROM orders o LEFT JOIN events e ON e.user_id = o.o_custkey AND e.value >= o.o_totalprice / 10000 AND e.value < o.o_totalprice / 10000 + 12 GROUP BY 1")
 def join_range(spark, sf_dir):
-    bands = F.filter(F.sequence(F.lit(0), F.lit(5)), lambda i: (F.col("p_size") >= i * 10) & (F.col("p_size") < i * 10 + 14))
-    return table(spark, sf_dir, "part").select("p_partkey", F.size(bands).cast("long").alias("bands")).filter("bands > 0")
+    """A join on a key and a range: ranges are cut into bins of their width, so equal bins meet and no key's rows are all paired."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), "event_id", "value", F.floor(F.col("value") / 12).alias("bin"))
+    low = F.col("o_totalprice") / 10000
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("k"), low.alias("low"))
+    o2 = o.withColumn("bin", F.explode(F.sequence(F.floor(F.col("low") / 12), F.floor((F.col("low") + 12) / 12))))
+    hit = o2.join(e, ["k", "bin"]).filter((F.col("value") >= F.col("low")) & (F.col("value") < F.col("low") + 12))
+    return o.join(hit.groupBy("o_orderkey").agg(F.count("*").alias("events")), "o_orderkey", "left").select("o_orderkey", F.coalesce("events", F.lit(0)).alias("events"))
 
 
 @registered("SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -741,9 +821,11 @@ def set_except_all(spark, sf_dir):
     return a.exceptAll(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))).groupBy("k").agg(F.count("*").alias("left_over"))
 
 
-@registered()
+@registered("SELECT l_returnflag, COUNT(DISTINCT l_partkey) AS parts, true AS sketch_is_near FROM lineitem GROUP BY 1")
 def approx_distinct(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("parts"))
+    """The sketch beside the exact count; its stated relative deviation is 0.02, and four times that is allowed."""
+    exact, sketch = F.count_distinct("l_partkey"), F.approx_count_distinct("l_partkey", 0.02)
+    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(exact.alias("parts"), (F.abs(sketch - exact) <= 0.08 * exact).alias("sketch_is_near"))
 
 
 @registered("SELECT strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, COUNT(*) AS n, CAST(SUM(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
@@ -791,7 +873,7 @@ def split_ranges(spark, sf_dir):
     SELECT p_partkey, n_nationkey, cached_gb, round(p_size - cached_gb, 3) AS transfer_gb, CAST(ceil(round(p_size - cached_gb, 3) * 1024 / 64) AS BIGINT) AS chunks FROM t""")
 def cdn_plan(spark, sf_dir):
     p = table(spark, sf_dir, "part").withColumn("n_nationkey", (F.col("p_partkey") % 25).cast("int"))
-    rows = p.join(F.broadcast(table(spark, sf_dir, "nation")), "n_nationkey")
+    rows = p.join(table(spark, sf_dir, "nation"), "n_nationkey")
     t = formulas.transfer(F.col("p_size").cast("double"), (F.col("n_nationkey") % 10).cast("double") / 10, F.lit(0.02), 64.0)
     return rows.select("p_partkey", "n_nationkey", *[t[k].alias(k) for k in ("cached_gb", "transfer_gb", "chunks")])
 
@@ -830,7 +912,7 @@ def adapter_list(spark, sf_dir):
 @registered("SELECT c_custkey, n_name IS NOT NULL AS pinned, COALESCE(r_name, 'unpinned') AS region FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_regionkey <> 2 LEFT JOIN region ON r_regionkey = n_regionkey")
 def geo_pin(spark, sf_dir):
     n = table(spark, sf_dir, "nation").filter("n_regionkey != 2").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    c = table(spark, sf_dir, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    c = table(spark, sf_dir, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return c.select("c_custkey", F.col("n_name").isNotNull().alias("pinned"), F.coalesce("r_name", F.lit("unpinned")).alias("region"))
 
 
@@ -859,9 +941,11 @@ def ingest_layout(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.substring(h, 1, 2).alias("prefix")).agg(F.count("*").alias("files"), F.count_distinct(h).alias("kinds"))
 
 
-@registered()
+@registered("SELECT doc_id AS key, octet_length(encode(coalesce(text, ''))) AS raw_bytes, sha256(coalesce(text, '')) AS restored, true AS smaller_where_long FROM documents")
 def compress_family(spark, sf_dir):
-    return sinks.compression(table(spark, sf_dir, "documents"), "doc_id", "text")
+    """Texts deflated and restored; long ones must shrink."""
+    c = sinks.compressed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return c.select("key", "raw_bytes", F.sha2(sinks.inflated(F.col("packed")), 256).alias("restored"), ((F.col("raw_bytes") < 400) | (F.length("packed") < F.col("raw_bytes"))).alias("smaller_where_long"))
 
 
 @registered("""SELECT event_id AS key, '$.run[0]' AS path, '{"id":' || CAST(event_id AS VARCHAR) || ',"verdict":"CONTINUITY_FAIL"}' AS node FROM events WHERE event_type = 'error'""")
@@ -881,9 +965,8 @@ def classify_first_match(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(F.contains("p_name", F.lit("small")), "tiny").when(F.contains("p_type", F.lit("STANDARD")), "standard").when(F.col("p_size") > 40, "bulk").otherwise("other").alias("kind"))
 
 
-@registered("""WITH RECURSIVE d AS (SELECT p_partkey AS step, CASE WHEN p_partkey > 0 THEN p_partkey // 2 END AS dep FROM part WHERE p_partkey < 64),
-    t AS (SELECT step, 0 AS depth FROM d WHERE dep IS NULL UNION ALL SELECT d.step, t.depth + 1 FROM d JOIN t ON d.dep = t.step) SELECT step, CAST(depth AS INT) AS depth FROM t""")
+@registered("""WITH RECURSIVE d AS (SELECT p_partkey AS step, CASE WHEN p_partkey > 0 THEN p_partkey // 2 END AS dep FROM part),
+    t AS (SELECT step, 0 AS depth FROM d WHERE dep IS NULL OR dep NOT IN (SELECT step FROM d) UNION ALL SELECT d.step, t.depth + 1 FROM d JOIN t ON d.dep = t.step) SELECT step, CAST(depth AS INT) AS depth FROM t""")
 def pipeline_depth(spark, sf_dir):
-    rows = table(spark, sf_dir, "part").filter("p_partkey < 64").select(F.col("p_partkey").alias("step"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 2)).alias("dep"))
-    rows.createOrReplaceTempView("plan_steps")
-    return spark.sql("WITH RECURSIVE t(step, depth) AS (SELECT step, 0 FROM plan_steps WHERE dep IS NULL UNION ALL SELECT d.step, t.depth + 1 FROM plan_steps d JOIN t ON d.dep = t.step) SELECT step, depth FROM t")
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("step"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 2)).alias("dep"))
+    return planning.depths(rows)

@@ -26,21 +26,27 @@ def number_of(text: Column) -> Column:
     return F.regexp_extract(text, _NUMBER, 1).try_cast("double")
 
 
-def typed_fields(df: DataFrame, json_columns: tuple[str, ...] = ()) -> Callable[[str], Column]:
-    """Resolves dotted paths over columns; a path into a JSON text column is read from it."""
+def typed_values(df: DataFrame, json_columns: tuple[str, ...] = ()) -> Callable[[str], Column]:
+    """Resolves dotted paths over columns, null where there is nothing; a path into a JSON text column is read from it."""
     kinds = dict(df.dtypes)
 
-    def field(path: str) -> Column:
+    def value(path: str) -> Column:
         head, _, rest = path.partition(".")
         if path in kinds:
-            return text_of(F.col(f"`{path}`"), kinds[path])
+            return F.when(F.col(f"`{path}`").isNotNull(), text_of(F.col(f"`{path}`"), kinds[path]))
         if rest and head in json_columns:
-            return F.coalesce(F.get_json_object(head, f"$.{rest}"), F.lit(""))
+            return F.get_json_object(head, f"$.{rest}")
         if rest and kinds.get(head, "").startswith("variant"):
-            return F.coalesce(F.try_variant_get(F.col(head), f"$.{rest}", "string"), F.lit(""))
-        return F.lit("")
+            return F.try_variant_get(F.col(head), f"$.{rest}", "string")
+        return F.lit(None).cast("string")
+
+    return value
+
 
-    return field
+def typed_fields(df: DataFrame, json_columns: tuple[str, ...] = ()) -> Callable[[str], Column]:
+    """``typed_values`` with the empty text where there is nothing."""
+    value = typed_values(df, json_columns)
+    return lambda path: F.coalesce(value(path), F.lit(""))
 
 
 def variant_fields(column: str = "v") -> Callable[[str], Column]:
@@ -56,32 +62,58 @@ def _like(value: Column, pattern: str) -> Column:
     return F.endswith(value, F.lit(body)) if lead else F.startswith(value, F.lit(body)) if trail else value == body
 
 
+#: Operators of a clause, longer ones before those they begin with.
+OPERATORS = ["=~", "~=", "~", ">=", "<=", "!=", "="]
+
+
+def scanned(text: str) -> tuple[str, str, str] | None:
+    """(field, operator, rest) of a clause, read from the left; None if there is none.
+
+    ``field like value`` comes first.  Else the field runs up to the first of = ~ < > !, where an
+    operator must stand; without any of these, up to the first : or =, and the value up to the next.
+    """
+    words = text.split(None, 2)
+    if len(words) == 3 and words[1].lower() == "like":
+        value = words[2][1:] if words[2][0] in "'\"" else words[2]
+        value = value[:-1] if value[-1:] in ("'", '"') else value
+        if "'" not in value and '"' not in value:
+            return words[0], "like", value
+    at = next((i for i, c in enumerate(text) if c in "=~<>!"), len(text))
+    if 0 < at < len(text):
+        found = next((o for o in OPERATORS if text.startswith(o, at)), None)
+        return (text[:at].strip(), found, text[at + len(found) :]) if found else None
+    parts = text.split(":")
+    return (parts[0].strip(), "=", parts[1]) if at == len(text) and len(parts) > 1 and parts[0] else None
+
+
+def _number(text: str) -> float | None:
+    """The number that a text begins with."""
+    m = re.match(_NUMBER, text)
+    return float(m[1]) if m else None
+
+
 def clause(text: str, field: Callable[[str], Column], strict: bool = True) -> Column:
     """One clause; in compat mode (``strict=False``) a malformed clause passes every row and values keep blanks."""
-    if m := re.fullmatch(r"(\S+)\s+like\s+['\"]?([^'\"]*)['\"]?", text, re.I):
-        return _like(field(m[1]), m[2])
-    if m := re.fullmatch(r"([^=~<>!]+)(=~|~=|~|>=|<=|!=|=)(.*)", text, re.S):
-        name, op, value = m[1].strip(), m[2], m[3].strip() if strict else m[3]
-        have = field(name)
-        bare = value.removesuffix("%")
-        if op in ("=", "=~", "~="):
-            return F.startswith(have, F.lit(bare)) if value.endswith("%") else have == value
-        if op == "~":
-            return F.contains(have, F.lit(bare))
-        if op == "!=":
-            return have != bare
-        n = re.match(r"\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", value)
-        if not n:
-            return F.lit(False)
+    parts = scanned(text)
+    if parts is None:
+        if strict:
+            raise ValueError(f"malformed clause: {text!r}")
+        return F.lit(True)
+    name, op, value = parts
+    have = field(name)
+    if op == "like":
+        return _like(have, value)
+    value = value.strip() if strict else value
+    bare, prefix = value.removesuffix("%"), value.endswith("%")
+    if op == "~":
+        return F.contains(have, F.lit(bare))
+    if op == "!=":
+        return have != bare
+    if op in (">=", "<="):
+        n = _number(bare)
         compare = operator.ge if op == ">=" else operator.le
-        return F.coalesce(compare(number_of(have), F.lit(float(n[0]))), F.lit(False))
-    if m := re.fullmatch(r"([^=:]+):(.*)", text, re.S):
-        value = m[2].strip()
-        have = field(m[1].strip())
-        return F.startswith(have, F.lit(value[:-1])) if value.endswith("%") else have == value
-    if strict:
-        raise ValueError(f"malformed clause: {text!r}")
-    return F.lit(True)
+        return F.lit(False) if n is None else F.coalesce(compare(number_of(have), F.lit(n)), F.lit(False))
+    return F.startswith(have, F.lit(bare)) if prefix else have == value
 
 
 def where(text: str, field: Callable[[str], Column], strict: bool = True) -> Column:
@@ -97,4 +129,5 @@ def query(df: DataFrame, text: str, select: list[str], limit: int | None = 100,
     if limit is not None:
         out = out.orderBy(order).limit(limit)
     kinds = dict(df.dtypes)
-    return out.select(*[F.col(f"`{p}`") if p in kinds else F.when(field(p) != "", field(p)).alias(p) for p in select])
+    value = typed_values(df, json_columns)
+    return out.select(*[F.col(f"`{p}`") if p in kinds else value(p).alias(p) for p in select])

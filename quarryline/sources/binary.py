@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -18,13 +18,32 @@ WIDTHS = {"F16": 2, "BF16": 2, "F32": 4, "F64": 8, "I8": 1, "U8": 1, "I16": 2, "
 TENSORS = "path string, name string, dtype string, shape array<long>, elements long, start long, end long, kind string"
 
 
+#: Classes of tensors and the marks in a name, the first that occurs; attention is crossed where a second mark occurs.
+KIND_MARKS = [
+    ("self_attention", ["q_proj", "k_proj", "v_proj", "o_proj", "attn", "self_attn", "query", "key", "value", "attention"]),
+    ("ffn", ["mlp", "ffn", "fc1", "fc2", "gate_proj", "up_proj", "down_proj", "dense"]),
+    ("embedding", ["embed", "_emb", "emb_", "tok_emb", "wte", "wpe", "position_embedding", "lm_head"]),
+    ("norm", ["norm", "ln_", "layernorm", "rmsnorm"]),
+    ("kv_cache", ["kv_cache", "kvcache", "past_key", "past_value"]),
+]
+CROSS_MARKS = ["cross", "enc_dec"]
+
+
 def tensor_kind(name: str) -> str:
-    """The first class whose mark occurs in the name."""
+    """The first class of which a mark occurs in the name; ``layer`` otherwise."""
     n = name.lower()
-    for marks, kind in ((("emb",), "embedding"), (("norm", "ln_"), "norm"), (("q_proj", "k_proj", "v_proj", "o_proj", "attn", "attention"), "self_attention"), (("mlp", "ffn", "up_proj", "down_proj", "gate_proj"), "mlp"), (("lm_head", "output"), "head")):
-        if any(m in n for m in marks):
-            return kind
-    return "other"
+    kind = next((k for k, marks in KIND_MARKS if any(m in n for m in marks)), "layer")
+    return "cross_attention" if kind == "self_attention" and any(m in n for m in CROSS_MARKS) else kind
+
+
+def kind_of(name: Column) -> Column:
+    """``tensor_kind`` of a column."""
+    n = F.lower(name)
+    has = lambda marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.contains(n, m))
+    out = F.when(has(KIND_MARKS[0][1]), F.when(has(CROSS_MARKS), "cross_attention").otherwise("self_attention"))
+    for kind, marks in KIND_MARKS[1:]:
+        out = out.when(has(marks), kind)
+    return out.otherwise("layer")
 
 
 def tensor_rows(path: str, data: bytes) -> list[tuple]:
@@ -44,13 +63,27 @@ def tensor_rows(path: str, data: bytes) -> list[tuple]:
     return out
 
 
+#: Values that a sample takes, and the least it must hold; of a tensor and of a raw file.
+SAMPLES, LEAST_SAMPLES, RAW_SAMPLES, RAW_LEAST = 4096, 64, 8192, 128
+
+
 def decoded(dtype: str, raw: bytes) -> np.ndarray:
-    """Values as doubles; integers are scaled to [-1, 1]."""
+    """Values as doubles; what isn't F16, BF16 or F32 is read as signed integers of its width, scaled by their largest; widths above 4 give nothing."""
     if dtype == "BF16":
         return (np.frombuffer(raw, "<u2").astype("<u4") << 16).view("<f4").astype(float)
-    kind = {"F16": "<f2", "F32": "<f4", "F64": "<f8", "I8": "i1", "U8": "u1", "I16": "<i2", "U16": "<u2", "I32": "<i4", "U32": "<u4", "I64": "<i8", "U64": "<u8", "BOOL": "u1"}[dtype]
-    x = np.frombuffer(raw, kind)
-    return x.astype(float) if kind[1] == "f" else x.astype(float) / np.iinfo(np.dtype(kind)).max
+    if dtype in ("F16", "F32"):
+        return np.frombuffer(raw, {"F16": "<f2", "F32": "<f4"}[dtype]).astype(float)
+    kind = {1: "i1", 2: "<i2", 4: "<i4"}.get(WIDTHS[dtype])
+    return np.frombuffer(raw, kind).astype(float) / np.iinfo(kind).max if kind else np.zeros(0)
+
+
+def strided(values: np.ndarray, most: int, least: int, what: str) -> np.ndarray:
+    """Finite values at a stride of floor(n / most), at most ``most`` places; too few fail."""
+    taken = values[:: max(1, len(values) // most)]
+    finite = taken[np.isfinite(taken)][:most]
+    if len(finite) < least:
+        raise ValueError(f"{what} has {len(finite)} numbers; {least} are needed")
+    return finite
 
 
 def tensors(spark: SparkSession, path: str) -> DataFrame:
@@ -64,8 +97,8 @@ def tensors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, TENSORS)
 
 
-def sampled(spark: SparkSession, path: str, most: int = 8192) -> DataFrame:
-    """Every tensor's values at a stride that takes at most ``most`` of them."""
+def sampled(spark: SparkSession, path: str, most: int = SAMPLES) -> DataFrame:
+    """Every tensor's finite values at a stride that takes at most ``most`` of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -73,12 +106,26 @@ def sampled(spark: SparkSession, path: str, most: int = 8192) -> DataFrame:
             for p, c in zip(pdf["path"], pdf["content"]):
                 data = bytes(c)
                 for _, name, dtype, _, n, a, b, _ in tensor_rows(p, data):
-                    rows.append((p, name, decoded(dtype, data[a:b])[:: max(1, -(-n // most))].tolist()))
+                    rows.append((p, name, strided(decoded(dtype, data[a:b]), most, LEAST_SAMPLES, f"tensor {name} of {p}").tolist()))
             yield pd.DataFrame(rows, columns=["path", "name", "values"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, name string, values array<double>")
 
 
+def raw_sampled(spark: SparkSession, path: str, most: int = RAW_SAMPLES) -> DataFrame:
+    """Files of plain 32-bit floats, sampled as tensors are."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for p, c in zip(pdf["path"], pdf["content"]):
+                data = bytes(c)
+                rows.append((p, strided(np.frombuffer(data[: len(data) // 4 * 4], "<f4").astype(float), most, RAW_LEAST, p).tolist()))
+            yield pd.DataFrame(rows, columns=["path", "values"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, values array<double>")
+
+
 class TensorFiles(DataSource):
     """``spark.read.format("tensorfile").option("paths", "a,b")``: one partition a file."""
 

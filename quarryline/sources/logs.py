@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Fields lifted from ``metadata`` where the top level lacks them.  Fixed values.
-CONTINUITY_FIELDS = ["state_commitment", "prior_commitment", "transition_type", "continuity_relation", "continuity_class", "continuity_verdict", "opening_policy", "residual_delta", "transition_witness", "chart_id"]
+CONTINUITY_FIELDS = ["state_commitment", "prior_commitment", "transition_type", "continuity_relation", "continuity_class", "continuity_verdict", "continuity_policy", "opening_policy", "residual_delta", "transition_witness"]
 
 
 def jsonl(spark: SparkSession, path: str) -> DataFrame:

@@ -57,16 +57,25 @@ def materialized(refs: DataFrame, store: DataFrame) -> DataFrame:
     return at.groupBy("ref").agg(F.unhex(F.array_join(parts, "")).alias("content"))
 
 
-def compression(df: DataFrame, key: str, text: str) -> DataFrame:
-    """Deflated size of each text and its ratio."""
+def compressed(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Each text deflated: (key, raw_bytes, packed)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             raw = [(t or "").encode() for t in pdf["text"]]
-            packed = [len(zlib.compress(r, 6)) for r in raw]
-            yield pd.DataFrame({"key": pdf["key"], "raw_bytes": [len(r) for r in raw], "packed_bytes": packed, "ratio": [p / max(1, len(r)) for p, r in zip(packed, raw)]})
+            yield pd.DataFrame({"key": pdf["key"], "raw_bytes": [len(r) for r in raw], "packed": [zlib.compress(r, 6) for r in raw]})
 
-    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, raw_bytes long, packed_bytes long, ratio double")
+    return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, raw_bytes long, packed binary")
+
+
+def inflated(packed: Column) -> Column:
+    """The bytes again."""
+
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(zlib.decompress)
+
+    return run(packed)
 
 
 def host_map(spark: SparkSession, path: str) -> DataFrame:

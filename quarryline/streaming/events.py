@@ -31,22 +31,30 @@ def breaches(events: DataFrame, ts: str, value: str, limit: float) -> DataFrame:
     return events.groupBy(F.window(ts, "60 seconds").alias("w")).agg(F.count("*").alias("n"), F.count_if(F.col(value) > limit).alias("breaches"))
 
 
-def watched(observations: DataFrame, path: str, hash_: str) -> DataFrame:
-    """A stream of (path, hash): each one against the last seen of its path."""
+def watched(observations: DataFrame, path: str, hash_: str, order: str, forget: int | None = None) -> DataFrame:
+    """A stream of (path, order, hash): each one against the last seen of its path, in order within a batch.
+
+    With ``forget``, a path that isn't seen for so many seconds of processing time is forgotten;
+    such a stream runs until it is stopped, because an expiry may come at any time.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
-        for pdf in frames:
-            out = []
-            for h in pdf["hash"]:
-                out.append((key[0], h, "FIRST_OBSERVATION" if last is None else "UNCHANGED" if h == last else "CHANGED"))
-                last = h
-            yield pd.DataFrame(out, columns=["path", "hash", "state"])
-        if last is not None:
-            state.update((last,))
-
-    rows = observations.select(F.col(path).alias("path"), F.col(hash_).alias("hash"))
-    return rows.groupBy("path").applyInPandasWithState(step, "path string, hash string, state string", "last string", "append", GroupStateTimeout.NoTimeout)
+        rows = pd.concat(list(frames)).sort_values(["ord", "hash"], kind="stable")
+        out = []
+        for o, h in zip(rows["ord"], rows["hash"]):
+            out.append((key[0], o, h, "FIRST_OBSERVATION" if last is None else "UNCHANGED" if h == last else "CHANGED"))
+            last = h
+        state.update((last,))
+        if forget:
+            state.setTimeoutDuration(forget * 1000)
+        yield pd.DataFrame(out, columns=["path", "ord", "hash", "state"])
+
+    rows = observations.select(F.col(path).alias("path"), F.col(order).cast("long").alias("ord"), F.col(hash_).alias("hash"))
+    return rows.groupBy("path").applyInPandasWithState(step, "path string, ord long, hash string, state string", "last string", "append", GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout)
 
 
 def claimed(tasks: DataFrame) -> DataFrame:

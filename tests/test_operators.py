@@ -11,6 +11,8 @@ from quarryline.functions import jsonish, tensors, text
 from quarryline.operators import chunks, continuity, lineage, planning, vectors
 from quarryline.plans import catalog
 from quarryline.sources import binary, logs
+from quarryline.functions import formulas
+from quarryline.operators import policies
 from quarryline.streaming import events as streams
 
 M = 1 << 20
@@ -61,7 +63,18 @@ def test_tensor_file(spark, tmp_path):
     path.write_bytes(struct.pack("<Q", len(header)) + header + x.tobytes())
     rows = binary.tensors(spark, str(path)).collect()
     assert [(r.name, r.elements, r.kind) for r in rows] == [("layer0.q_proj", 64, "self_attention")]
-    assert binary.sampled(spark, str(path), 16).first()["values"] == x[::4].tolist()
+    assert binary.sampled(spark, str(path)).first()["values"] == x.tolist()
+    assert binary.strided(np.arange(10.0), 4, 2, "x").tolist() == [0, 2, 4, 6]
+    assert binary.strided(np.array([1, np.nan, np.inf, 4.0]), 9, 2, "x").tolist() == [1, 4]
+    with pytest.raises(ValueError):
+        binary.strided(np.arange(10.0), 4, 5, "x")
+    assert binary.decoded("U8", b"\xff\x7f").tolist() == [-1 / 127, 1.0] and len(binary.decoded("I64", b"12345678")) == 0
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "f").write_bytes(np.arange(300, dtype="<f4").tobytes() + b"x")
+    assert len(binary.raw_sampled(spark, str(tmp_path / "raw"), 150).first()["values"]) == 150
+    kinds = {"model.cross_attn.q": "cross_attention", "blocks.0.fc1": "ffn", "wte": "embedding", "ln_f": "norm", "kv_cache.0": "kv_cache", "conv1": "layer"}
+    made = spark.createDataFrame([(k,) for k in kinds], "n string").select("n", binary.kind_of(F.col("n")).alias("k")).collect()
+    assert {k: binary.tensor_kind(k) for k in kinds} == kinds == {r.n: r.k for r in made}
     spark.dataSource.register(binary.TensorFiles)
     assert spark.read.format("tensorfile").option("paths", str(path)).load().count() == 1
     with pytest.raises(ValueError):
@@ -130,7 +143,7 @@ def test_json():
 
 def test_text(spark):
     row = spark.range(1).select(text.slug(F.lit("--A b!!C--")).alias("s"), text.transcript_lines(F.lit("a  b\n\na  b\num, yes [inaudible]\n")).alias("t"), text.sentences(F.lit("One. Two!  Three")).alias("n")).first()
-    assert row.s == "-a-b-c-".strip("-") and row.t == ["a b", "yes ..."] and row.n == ["One.", "Two!", "Three"]
+    assert row.s == "-a-b-c-".strip("-") and row.t == ["a b", ", yes \u2026"] and row.n == ["One.", "Two!", "Three"]
     assert text.reflow("aa bb cc".split(), 5) == ["aa bb", "cc"]
 
 
@@ -142,7 +155,7 @@ def test_plan_order():
 
 def test_commutator_of_itself_is_zero():
     a = np.arange(16.0).reshape(4, 4)
-    assert tensors.commutator(a, a) == 0
+    assert tensors.commutators(a[None], a[None])[0] == 0
 
 
 def test_gauge_keeps_length():
@@ -151,8 +164,18 @@ def test_gauge_keeps_length():
 
 
 def test_transition_classes(spark):
-    s = spark.createDataFrame([("k", 1, "a", 0.1), ("k", 2, "a", 0.2), ("k", 3, "b", 0.2), ("k", 4, "b", 0.9)], "k string, o int, chart string, r double")
-    assert [r["class"] for r in continuity.transitions(s, ["k"], "o", "chart", "r").orderBy("o").collect()] == ["INITIALIZED", "PASS", "BOUNDARY_CROSSING", "PASS_WITH_DRIFT"]
+    z, far = [0.0] * 8, [2.0, 1.0] + [0.0] * 6
+    rows = [
+        ("k", 1, "memory", 0.1, z, "c", "w", "event"), ("k", 2, "memory", 0.2, z, "c", "w", "event"), ("k", 3, "text_proof", 0.2, z, "c", "w", "event"), ("k", 4, "text_proof", 0.6, z, "c", "w", "event"),
+        ("k", 5, "text_proof", 0.1, far, "c", "w", "event"), ("k", 6, "text_proof", 0.1, z, "c", "w", "space.state"), ("k", 7, "text_proof", 1.2, None, "c", "w", "event"), ("k", 8, "text_proof", 0.1, None, "c", None, "event"),
+    ]
+    s = spark.createDataFrame(rows, "k string, o int, chart string, residual double, cell array<double>, commitment string, witness string, type string")
+    moves = continuity.transitions(s, ["k"], "o")
+    want = ["INITIALIZED", "PASS", "BOUNDARY_CROSSING", "PASS_WITH_DRIFT", "CONTINUITY_FAIL", "PASS", "CONTINUITY_FAIL", "CONTINUITY_FAIL"]
+    assert [r["class"] for r in moves.orderBy("o").collect()] == want
+    strict = continuity.judged(moves, [policies.policy("strict")]).withColumn("t", continuity.triggered()).orderBy("o").collect()
+    assert [r["verdict"] for r in strict][:3] == ["INITIALIZED", "PASS", "CONTINUITY_FAIL"] and strict[2]["t"] == ["boundary_crossing_disallowed", "chart_transition_disallowed"]
+    assert strict[4]["t"] == ["neighborhood_preserved"] and strict[7]["t"] == ["witness_bound", "missing_witness:next_state_witness"] and strict[7]["risk"] == 0.6
 
 
 def test_streams(spark, small, tmp_path):
@@ -162,10 +185,10 @@ def test_streams(spark, small, tmp_path):
     got = streams.drained(streams.windowed(stream, "ts", "event_type", "value", "6 hours"), "tumbled", "complete")
     assert got.agg(F.sum("n")).first()[0] == 200
     (tmp_path / "obs").mkdir()
-    spark.createDataFrame([("p", "x"), ("p", "x"), ("p", "y")], "path string, hash string").coalesce(1).write.mode("overwrite").parquet(str(tmp_path / "obs"))
-    obs = spark.readStream.schema("path string, hash string").parquet(str(tmp_path / "obs"))
-    states = [r.state for r in streams.drained(streams.watched(obs, "path", "hash"), "watched", "append").collect()]
-    assert sorted(states) == ["CHANGED", "FIRST_OBSERVATION", "UNCHANGED"]
+    spark.createDataFrame([("p", 3, "y"), ("p", 1, "x"), ("p", 2, "x"), ("q", 1, "z")], "path string, ord long, hash string").repartition(3).write.mode("overwrite").parquet(str(tmp_path / "obs"))
+    obs = spark.readStream.schema("path string, ord long, hash string").parquet(str(tmp_path / "obs"))
+    states = sorted((r.path, r.ord, r.state) for r in streams.drained(streams.watched(obs, "path", "hash", "ord"), "watched", "append").collect())
+    assert states == [("p", 1, "FIRST_OBSERVATION"), ("p", 2, "UNCHANGED"), ("p", 3, "CHANGED"), ("q", 1, "FIRST_OBSERVATION")]
 
 
 def test_blended_search_answers_every_query(spark, small, monkeypatch):
@@ -183,3 +206,39 @@ def test_blended_search_answers_every_query(spark, small, monkeypatch):
     got = vectors.blended_each(odd, odd.filter("key % 50 = 0 AND key < 120"), 200).collect()
     want = [(q.key, r.key, r.score) for q in some for r in vectors.blended(odd, [float(x) for x in q.vector], q.cell, 200).collect()]
     assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_to_fixed_rounds_the_exact_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    values = [1.005, 2.675, 0.125, 1.0000005, -1.005, -0.125, 0.0, 1e-9, 123456.785, 8.345, 1.45, 0.285, 1e17] + np.random.default_rng(1).normal(0, 100, 400).round(3).tolist()
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for places in (0, 2, 4, 8):
+        got = [r.x for r in df.select(formulas.to_fixed(F.col("v"), places).alias("x")).collect()]
+        assert got == [float(Decimal(v).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP)) for v in values]
+
+
+def test_policies_merge_over_the_default():
+    p = policies.policy({"id": "own", "max_residual_delta": 0.1, "required_witnesses": []})
+    d = policies.policy("nothing like it")
+    assert (p.id, p.max_delta, p.witnesses, p.required) == ("own", 0.1, [], d.required) and d.id == "default" and len(policies.POLICIES) == 12
+
+
+def test_logs_promote_continuity_fields(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"timestamp": "2024-01-01T00:00:00Z", "metadata": {"continuity_policy": "strict", "chart_id": "x"}, "residual_delta": 1, "proof_hash": "h"}\n')
+    row = logs.audit_log(spark, str(tmp_path)).first()
+    assert row.continuity_policy == "strict" and row.residual_delta == "1" and "chart_id" not in logs.CONTINUITY_FIELDS
+
+
+def test_clause_scanner():
+    from quarryline.plans.predicate import scanned
+
+    cases = {"a=b": ("a", "=", "b"), "a =~ b%": ("a", "=~", " b%"), "a~=b": ("a", "~=", "b"), "a:b:c": ("a", "=", "b"), "a like '%x%'": ("a", "like", "%x%"), "a like x y": ("a", "like", "x y"), "a>5": None, "x": None, "a>=5": ("a", ">=", "5"), "a!=b=c": ("a", "!=", "b=c")}
+    assert {k: scanned(k) for k in cases} == cases
+
+
+def test_query_keeps_empty_json_strings(spark):
+    from quarryline.plans.predicate import query
+
+    df = spark.createDataFrame([(1, '{"a": ""}'), (2, "{}")], "ord long, j string")
+    assert [r["j.a"] for r in query(df, "ord>=1", ["ord", "j.a"], None, json_columns=("j",)).orderBy("ord").collect()] == ["", None]
