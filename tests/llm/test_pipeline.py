@@ -55,7 +55,7 @@ def test_stages_against_brute_force(spark, docs, small, ordered):
     out = step(three, out)
     classes = near_classes(before)
     keep = lambda places: min((before[i][0] for i in places), key=lambda i: (i is None, i or 0))
-    assert out.columns == table.columns and ordered(i for i, _ in rows(out)) == ordered(map(keep, classes))
+    assert out.columns == table.columns and ordered((i,) for i, _ in rows(out)) == ordered((keep(c),) for c in classes)
     assert set(rows(out)) <= set(before)
 
     before, model = rows(out), pii.trained(spark)
