@@ -86,3 +86,34 @@ def found(df: DataFrame, key: str, text: str, field: str, wanted: str) -> DataFr
             yield pd.DataFrame(rows, columns=["key", "path", "node"])
 
     return df.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInPandas(run, "key long, path string, node string")
+
+
+def shallow_canonical(doc: object) -> str:
+    """An object with its top-level keys sorted, and nothing below them."""
+    return json.dumps({k: doc[k] for k in sorted(doc)} if isinstance(doc, dict) else doc, separators=(",", ":"), ensure_ascii=False)
+
+
+def depth(doc: object, at: int = 0) -> int:
+    """How deep a document nests; looked at no further than below ten levels."""
+    if at > 10 or not isinstance(doc, (dict, list)):
+        return at
+    return max([at, *(depth(v, at + 1) for v in (doc if isinstance(doc, list) else doc.values()))])
+
+
+def shaped(df: DataFrame, key: str, doc: str) -> DataFrame:
+    """Per JSON document: its top-level keys in order (20 at most), their number, whether it is an array, its depth, and the hash of its shallow canonical form; null where it isn't JSON."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for k, text in zip(pdf["key"], pdf["doc"]):
+                try:
+                    d = json.loads(text)
+                except (TypeError, ValueError):
+                    rows.append((k, None, None, None, None, None))
+                    continue
+                names = list(d) if isinstance(d, dict) else [str(i) for i in range(len(d))] if isinstance(d, list) else []
+                rows.append((k, names[:20], len(names), isinstance(d, list), depth(d), hashlib.sha256(shallow_canonical(d).encode()).hexdigest()))
+            yield pd.DataFrame(rows, columns=["key", "top_keys", "top_key_count", "is_array", "depth", "shallow_hash"])
+
+    return df.select(F.col(key).alias("key"), F.col(doc).alias("doc")).mapInPandas(run, "key long, top_keys array<string>, top_key_count long, is_array boolean, depth long, shallow_hash string")

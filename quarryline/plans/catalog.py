@@ -16,7 +16,7 @@ from ..operators.policies import BANDS, POLICIES
 from ..sources import sinks
 from ..streaming import events as streams
 from .predicate import query, typed_fields, where
-from .registry import QUERIES, SQL, registered, table
+from .registry import QUERIES, SQL, fixed_sql, registered, table
 
 SINCE = "2024-01-15 00:00:00"
 _STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
@@ -687,9 +687,9 @@ def physics_run(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", end.alias("e")).select("p_partkey", "e.x", "e.v")
 
 
-@registered("""WITH o AS (SELECT s_nationkey, s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) / 100 AS cost, CAST(s_suppkey % 90 AS DOUBLE) AS latency, CAST(s_suppkey % 10 AS DOUBLE) / 10 AS quality, s_suppkey % 4 <> 0 AS cloud FROM supplier),
+@registered(f"""WITH o AS (SELECT s_nationkey, s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(18,2)) AS DOUBLE) / 100 AS cost, CAST(s_suppkey % 90 AS DOUBLE) AS latency, CAST(s_suppkey % 10 AS DOUBLE) / 10 AS quality, s_suppkey % 4 <> 0 AS cloud FROM supplier),
     e AS (SELECT *, latency <= 60 AND quality >= 0.3::DOUBLE AND cost <= 80 AS eligible, (80 - cost) / 80 * 50 + greatest(0::DOUBLE, (60 - latency) / 60 * 30) + (quality - 0.3::DOUBLE) * 10 AS s FROM o),
-    g AS (SELECT *, CAST(printf('%.2f', nextafter(CASE WHEN eligible THEN s ELSE 0::DOUBLE END + CASE WHEN cloud THEN 0::DOUBLE ELSE 5::DOUBLE END, 1e300)) AS DOUBLE) AS score FROM e),
+    g AS (SELECT *, {fixed_sql('CASE WHEN eligible THEN s ELSE 0::DOUBLE END + CASE WHEN cloud THEN 0::DOUBLE ELSE 5::DOUBLE END', 2)} AS score FROM e),
     f AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY eligible DESC, score DESC, s_suppkey) AS r, bool_or(eligible) OVER (PARTITION BY s_nationkey) AS any_eligible FROM g)
     SELECT s_nationkey, s_suppkey, score, any_eligible FROM f WHERE r = 1""")
 def arb_route(spark, sf_dir):
@@ -970,3 +970,6 @@ def classify_first_match(spark, sf_dir):
 def pipeline_depth(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("step"), F.when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 2)).alias("dep"))
     return planning.depths(rows)
+
+
+from . import records  # noqa: E402, F401  # registers its queries

@@ -25,3 +25,8 @@ def registered(sql: str | None = None):
         return f
 
     return put
+
+
+def fixed_sql(x: str, places: int) -> str:
+    """SQL of ``to_fixed`` for numbers from 0: printf rounds exact values, but exact ties (which are dyadic) to even."""
+    return f"CASE WHEN ({x}) * 32 = floor(({x}) * 32) THEN floor(({x}) * {10**places} + 0.5) / {10**places}::DOUBLE ELSE CAST(printf('%.{places}f', {x}) AS DOUBLE) END"
