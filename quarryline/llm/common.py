@@ -19,9 +19,19 @@ from ..shipping import ship
 HEAVY_SHARE = 0.001
 
 
+#: A table of fewer bytes is spread over the cores before work; its files may hold one row group each.
+SMALL = 64 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A small table dealt out over all cores; a larger one as its files split, without an exchange."""
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return table.repartition(2 * table.sparkSession.sparkContext.defaultParallelism) if size < SMALL else table
 
 
 def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -74,6 +74,18 @@ ORACLE_SQL = {
         SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
             sha256(coalesce(array_to_string(list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)), ' '), '')) AS kept_sha256
         FROM d LEFT JOIN k USING (doc_id)""",
+    "op5_suffix_dedup": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+        q AS (SELECT doc_id, n, j, substr(h, 1000 * j + 1, 1200) AS piece FROM (SELECT doc_id, n, h, unnest(range(0, (n + 499) // 500)) AS j FROM d)),
+        x AS (SELECT doc_id, i, md5_number(substr(piece, 2 * (i - 500 * j) + 1, 200)) AS g FROM (SELECT doc_id, j, piece, unnest(range(500 * j, least(500 * j + 500, n - 99))) AS i FROM q)),
+        f AS (SELECT g, min({'d': doc_id, 'i': i}) AS first FROM x GROUP BY g HAVING count(*) > 1),
+        r AS (SELECT doc_id, i FROM x JOIN f USING (g) WHERE first.d <> doc_id OR first.i <> i),
+        o AS (SELECT doc_id, i, coalesce(i > lag(i) OVER w + 100, true) AS new FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+        u AS (SELECT doc_id, i, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+        s AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS b FROM u GROUP BY 1, 2),
+        p AS (SELECT s.*, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM s),
+        k AS (SELECT doc_id, sum(b - a) AS gone, count(*) AS runs, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS kept FROM p JOIN d USING (doc_id) GROUP BY 1)
+        SELECT d.doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(runs, 0) AS n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
     "op8_exact_dedup": f"""
         WITH d AS (SELECT doc_id, sha256({_LOWER}) AS text_sha256, {_LOWER} AS low FROM documents),
         g AS (SELECT low, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY low)
