@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -18,7 +20,9 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(app)
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="quarryline-")) / "quarryline.zip"
+    folder = tempfile.mkdtemp(prefix="quarryline-")  # the driver serves the archive from here as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = Path(folder) / "quarryline.zip"
     with zipfile.ZipFile(archive, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
