@@ -73,17 +73,31 @@ def chain_checked(chain: DataFrame, key: str, order: str, payload: str, hash_: s
     return chain.withColumn("parent_hash", before).withColumn("valid", F.col(hash_) == _sha(F.concat_ws("|", "parent_hash", payload)))
 
 
+#: Levels of a tree that are folded in one row, over at most 2 ** LEVELS leaves.
+LEVELS = 10
+
+
 def merkle_root(leaves: DataFrame, key: str, order: str, leaf: str) -> DataFrame:
     """Pairwise hashes of hex text, level by level; the last of an odd level is paired with itself.
 
-    All keys advance together; a level halves the rows, so the depth is the log of the longest key.
+    Rows of at most 1024 neighbours are folded by ten levels at once, so a key with very many
+    leaves is spread over rows and each round leaves a thousandth; the rounds are the only loop.
     """
+    width = 1 << LEVELS
     rows = leaves.select(F.col(key).alias("k"), (F.row_number().over(W.partitionBy(key).orderBy(order)) - 1).alias("i"), F.col(leaf).alias("h"))
-    rows = rows.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("level"))
+    count = leaves.groupBy(F.col(key).alias("k")).agg(F.count("*").alias("leaves"))
+    longest = count.agg(F.max("leaves").alias("n")).first()["n"] or 0
+    rows = rows.join(count, "k").withColumn("n", F.col("leaves"))
     pair = lambda lv: F.transform(F.sequence(F.lit(0), F.floor((F.size(lv) - 1) / 2).cast("int")), lambda i: _sha(F.concat(F.element_at(lv, 2 * i + 1), F.element_at(lv, F.least(2 * i + 2, F.size(lv))))))
-    levels = F.sequence(F.lit(1), F.lit(40))
-    root = F.aggregate(levels, F.col("level"), lambda lv, _: F.when(F.size(lv) > 1, pair(lv)).otherwise(lv))
-    return rows.select(F.col("k").alias(key), F.element_at(root, 1).alias("root"), F.size("level").alias("leaves"))
+    while True:
+        one = rows.groupBy("k", "leaves", "n", F.floor(F.col("i") / width).alias("b")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]).alias("level"))
+        # beside other rows all levels are climbed, a single node being paired with itself; alone, until one node is left
+        climbed = F.aggregate(F.sequence(F.lit(1), F.lit(LEVELS)), F.col("level"), lambda lv, _: F.when(F.col("beside") | (F.size(lv) > 1), pair(lv)).otherwise(lv))
+        one = one.withColumn("beside", F.col("n") > width).withColumn("h", F.element_at(climbed, 1))
+        rows = one.select("k", "leaves", F.ceil(F.col("n") / width).alias("n"), F.col("b").alias("i"), "h")
+        longest = -(-longest // width)
+        if longest <= 1:
+            return rows.select(F.col("k").alias(key), F.col("h").alias("root"), F.col("leaves").cast("int").alias("leaves"))
 
 
 def leaves_validated(recorded: DataFrame, current: DataFrame, key: str = "name") -> DataFrame:

@@ -124,16 +124,21 @@ def test_embedding_matches_python(spark):
     assert got == pytest.approx([round(x / norm, 6) for x in raw], abs=1e-6)
 
 
-def test_merkle(spark):
+@pytest.mark.parametrize("levels", [10, 2])
+def test_merkle(spark, monkeypatch, levels):
     import hashlib
 
+    monkeypatch.setattr(lineage, "LEVELS", levels)
     h = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    leaves = [h(str(i)) for i in range(5)]
-    level = leaves
-    while len(level) > 1:
-        level = [h(level[i] + level[min(i + 1, len(level) - 1)]) for i in range(0, len(level), 2)]
-    df = spark.createDataFrame([("k", i, x) for i, x in enumerate(leaves)], "k string, i int, leaf string")
-    assert lineage.merkle_root(df, "k", "i", "leaf").first().root == level[0]
+    rows, want = [], {}
+    for n in (1, 2, 4, 5, 16, 17, 33, 65):
+        leaves = [h(f"{n}-{i}") for i in range(n)]
+        rows += [(n, i, x) for i, x in enumerate(leaves)]
+        while len(leaves) > 1:
+            leaves = [h(leaves[i] + leaves[min(i + 1, len(leaves) - 1)]) for i in range(0, len(leaves), 2)]
+        want[n] = leaves[0]
+    df = spark.createDataFrame(rows, "k int, i int, leaf string")
+    assert {r.k: r.root for r in lineage.merkle_root(df, "k", "i", "leaf").collect()} == want
 
 
 def test_json():
