@@ -374,7 +374,8 @@ def _cdc_sql() -> str:
     gear = ", ".join(str(g % 512) for g in chunks.gear_table())
     low = " + ".join(f"{1 << k} * COALESCE(lag(g, {k}) OVER w, 0)" if k else "g" for k in range(9))
     return f"""WITH RECURSIVE x AS (SELECT CAST(doc_id AS VARCHAR) AS ref, hex(encode(COALESCE(text, ''))) AS h FROM documents), t AS (SELECT [{gear}] AS t),
-        b AS (SELECT ref, p, (SELECT t FROM t)[CAST('0x' || substr(h, 2 * p - 1, 2) AS INT) + 1] AS g FROM (SELECT ref, h, unnest(range(1, CAST(length(h) / 2 AS BIGINT) + 1)) AS p FROM x)),
+        q AS (SELECT ref, j, substr(h, 1000 * j + 1, 1000) AS piece FROM (SELECT ref, h, unnest(range(0, (CAST(length(h) / 2 AS BIGINT) + 499) // 500)) AS j FROM x)),
+        b AS (SELECT ref, 500 * j + k AS p, (SELECT t FROM t)[CAST('0x' || substr(piece, 2 * k - 1, 2) AS INT) + 1] AS g FROM (SELECT ref, j, piece, unnest(range(1, CAST(length(piece) / 2 AS BIGINT) + 1)) AS k FROM q)),
         c AS (SELECT ref, p FROM (SELECT ref, p, ({low}) % 512 AS v FROM b WINDOW w AS (PARTITION BY ref ORDER BY p)) WHERE v = 0),
         l AS (SELECT ref, list(p ORDER BY p) AS cuts FROM c GROUP BY 1), n AS (SELECT x.ref, CAST(length(h) / 2 AS BIGINT) AS n, COALESCE(cuts, []::BIGINT[]) AS cuts FROM x LEFT JOIN l USING (ref)),
         r AS (SELECT ref, 0 AS i, 0::BIGINT AS s, CASE WHEN n = 0 THEN 0 ELSE COALESCE(list_min(list_filter(cuts, lambda p: p >= 256 AND p <= least(1024, n))), least(1024, n)) END AS e FROM n
