@@ -1,12 +1,15 @@
-"""Helpers shared by the operators: inputs, shared tables, skew-safe lookups, text buffers."""
+"""Helpers shared by the operators: inputs, shared tables, skew-safe lookups, workers' memory, text buffers."""
 
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
 import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -132,6 +135,52 @@ def with_group(members: DataFrame, groups: DataFrame, keys: list[str], size: str
     return at.join(light, on, "left").select(*members.columns, *[found[c].alias(c) for c in rest])
 
 
+# --- memory of workers ----------------------------------------------------------------------------
+# A worker outlives its task and serves the next operator beside an executor whose heap has grown by then.
+
+_held: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept by this process between tasks until something else is held or ``let_go``."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go() -> None:
+    """Forgets what is held and gives this process's free memory back to the system."""
+    _held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Gives back free memory that Arrow and the C library would keep."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+
+
+def lean(run: Callable[[Iterator], Iterator], holds: bool = False) -> Callable[[Iterator], Iterator]:
+    """A task's function that leaves its worker no larger than it has to; one that ``holds`` nothing forgets what another left."""
+
+    def task(batches: Iterator) -> Iterator:
+        if not holds:
+            let_go()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 # --- text of Arrow batches as bytes ---------------------------------------------------------------
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, pieces, text_bytes, with_group, written
+from .common import fresh, lean, pieces, text_bytes, with_group, written
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 256, 16384, 11
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -87,7 +87,7 @@ def recipes(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
                 made.append(b"".join(_key(c, key_bytes) for c in chunks))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(shas), pa.array(made, pa.binary())], [x.split()[0] for x in _RECIPES.split(", ")])
 
-    return docs.select("row_id", "doc_id", "text").mapInArrow(run, _RECIPES)
+    return docs.select("row_id", "doc_id", "text").mapInArrow(lean(run), _RECIPES)
 
 
 def chunk_table(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
@@ -101,7 +101,7 @@ def chunk_table(docs: DataFrame, key_bytes: int = KEY_BYTES) -> DataFrame:
                     seen[c] = seen.get(c, 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([_key(c, key_bytes) for c in seen], pa.binary()), pa.array(seen, pa.binary()), pa.array(seen.values(), pa.int64())], ["k", "chunk", "uses"])
 
-    one = docs.select("text").mapInArrow(run, "k binary, chunk binary, uses long")
+    one = docs.select("text").mapInArrow(lean(run), "k binary, chunk binary, uses long")
     table = one.groupBy("k").agg(F.sum("uses").alias("uses"), F.min("chunk").alias("chunk"), F.max("chunk").alias("other"))
     return table.select("k", "uses", "chunk", (F.col("chunk") == F.col("other")).alias("verified"))
 

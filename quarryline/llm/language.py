@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import id_and_text, pieces, text_bytes
+from .common import id_and_text, lean, pieces, text_bytes
 
 #: Bytes read from one zero state; units of each direction.
 LENGTH, UNITS = 96, 8
@@ -262,7 +262,7 @@ def identified(docs: DataFrame, network: Network | None, id_col: str = "doc_id",
             names, scores = _judged(network, batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names.tolist(), pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return id_and_text(docs, id_col, text_col).mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, network: Network | None, least: float, text_col: str = "text") -> DataFrame:
@@ -273,4 +273,4 @@ def accepted(docs: DataFrame, network: Network | None, least: float, text_col: s
             names, scores = _judged(network, batch.column(batch.schema.get_field_index(text_col)))
             yield batch.filter(pa.array((names != UNDETERMINED) & (scores >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

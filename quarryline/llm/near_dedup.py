@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, mix, pieces, text_bytes, with_group, written
+from .common import discard, fresh, give_back, lean, mix, pieces, text_bytes, with_group, written
 from .words import SECOND, gathered, gram_numbers, word_hashes, word_numbers, words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -200,7 +200,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = with_group(pairs, sides, ["a"], "n", pairs.count()).select("a", "b", F.pmod(F.hash("b"), many).alias("salt"))
     right = dealt.join(texts.select(F.col("row_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
     left = sides.select("a", F.explode(F.sequence(F.lit(0), many - 1)).alias("salt")).join(texts.select(F.col("row_id").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a")
-    return right.join(left.hint("merge"), ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long")
+    return right.join(left.hint("merge"), ["a", "salt"]).select("a", "b", "text_a", "text_b").mapInArrow(lean(_verify), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -264,6 +264,13 @@ def _rest(key, table):
     return pa.table([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.int64())], names=["a", "b"])
 
 
+def _rest_alone(key, table):
+    try:
+        return _rest(key, table)
+    finally:
+        give_back()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_id: str | None = None) -> DataFrame:
     """Per row: row_id, doc_id, class_id (doc_id of the row that stays), class_size, kept.
 
@@ -273,7 +280,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rid = F.col(row_id).cast("long") if row_id else F.monotonically_increasing_id()
     texts = docs.select(rid.alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    signed = written(texts.mapInArrow(_sign(os.urandom(16), row_id is None), _SIGNED), "signed")
+    signed = written(texts.mapInArrow(lean(_sign(os.urandom(16), row_id is None)), _SIGNED), "signed")
     texts = texts if row_id else signed
     total = signed.count()
     low = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_id")
@@ -300,7 +307,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         own = own.withColumn("other", F.explode(F.sequence(F.lit(0), shares - 1)))
         group = F.when(shares == 1, F.pmod(F.xxhash64("key"), F.lit(4 * parts))).otherwise(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")))
         tried = own.withColumn("group", group).select("group", "key", "band", "row_id", "root", "bands", "text", "own", "other")
-        more = written(tried.groupBy("group").applyInArrow(_rest, "a long, b long"), "more_links")
+        more = written(tried.groupBy("group").applyInArrow(_rest_alone, "a long, b long"), "more_links")
         if not more.isEmpty():
             every = written(links.unionByName(more), "all_links")
             discard(labels)

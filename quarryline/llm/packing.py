@@ -17,7 +17,6 @@ is a document, also where doc_ids repeat, and sequence ids tell rows apart.
 
 from __future__ import annotations
 
-import functools
 import os
 import re
 from collections.abc import Iterator
@@ -28,7 +27,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, pieces
+from .common import held, id_and_text, lean, pieces
 from .pretoken import splitter
 
 #: Distinct words that a worker remembers before it starts afresh (memory bound).
@@ -105,9 +104,9 @@ class WordTokenizer:
         return [self._whole(t) if s is None else b"".join(map(get, s)) for s, t in zip(split, texts)]
 
 
-@functools.cache
 def tokenizer(name: str) -> WordTokenizer:
-    return WordTokenizer(name if os.path.isabs(name) else public_tokenizers.path(name))
+    """Kept by a worker, with the words that it remembers, until it serves another operator."""
+    return held(f"packing {name}", lambda: WordTokenizer(name if os.path.isabs(name) else public_tokenizers.path(name)))
 
 
 def binary_lengths(n: int, length: int) -> list[int]:
@@ -138,6 +137,6 @@ def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", length: int =
                     at += size
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array(totals, pa.int64())], ["doc_id", "start", "length", "ids", "doc_tokens"])
 
-    made = id_and_text(docs, id_col, text_col).mapInArrow(run, SCHEMA)
+    made = id_and_text(docs, id_col, text_col).mapInArrow(lean(run, holds=True), SCHEMA)
     bucket = F.log2("length").cast("int").alias("bucket")
     return made.select("*", bucket, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
