@@ -19,6 +19,8 @@ from quarryline.llm.pii import redacted
 
 #: Documents whose language has a lower mean probability are rejected; four languages at chance have 0.25.
 LEAST_SCORE = 0.3
+#: Words that a packing worker remembers, and bytes that it tokenises at once: it stands beside an executor whose heap the earlier stages have grown.
+REMEMBERED, PIECE = 50_000, 1 << 18
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of token ids; a null or empty text is its end token alone."""
-    return packed(docs)
+    return packed(docs, remembered=REMEMBERED, piece=PIECE)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]

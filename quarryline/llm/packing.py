@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 from .common import held, id_and_text, lean, pieces
 from .pretoken import splitter
 
-#: Distinct words that a worker remembers before it starts afresh (memory bound).
+#: Distinct words that a worker remembers before it starts afresh, unless one piece of the input has more (memory bound: about 0.2 kB each).
 REMEMBERED = 1_000_000
+#: Bytes of text that are tokenised at once; a longer text stands alone.
+PIECE = 1 << 20
 #: Characters of new words encoded at once.
 AT_ONCE = 2_000
 #: Characters that str.split takes for white space and the tokenizer doesn't.
@@ -43,7 +45,8 @@ SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long"
 class WordTokenizer:
     """Ids of whole texts by a lower-casing BPE tokenizer whose tokens mark the ends of words."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -96,7 +99,7 @@ class WordTokenizer:
         split = [t.lower().split() if self._plain(t) else None for t in texts]
         words = set().union(*(s for s in split if s))
         new = words.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
+        if len(self.known) + len(new) > self.remembered:
             self.known, new = {}, words
         if new:
             self._learn(sorted(new))
@@ -104,9 +107,9 @@ class WordTokenizer:
         return [self._whole(t) if s is None else b"".join(map(get, s)) for s, t in zip(split, texts)]
 
 
-def tokenizer(name: str) -> WordTokenizer:
+def tokenizer(name: str, remembered: int = REMEMBERED) -> WordTokenizer:
     """Kept by a worker, with the words that it remembers, until it serves another operator."""
-    return held(f"packing {name}", lambda: WordTokenizer(name if os.path.isabs(name) else public_tokenizers.path(name)))
+    return held(f"packing {name} {remembered}", lambda: WordTokenizer(name if os.path.isabs(name) else public_tokenizers.path(name), remembered))
 
 
 def binary_lengths(n: int, length: int) -> list[int]:
@@ -115,15 +118,18 @@ def binary_lengths(n: int, length: int) -> list[int]:
     return [length] * (n // length) + [1 << b for b in range(length.bit_length() - 1, -1, -1) if rest >> b & 1]
 
 
-def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per piece: doc_id, start, length, ids (binary), doc_tokens, bucket (log2 of the length), sequence_id, offset."""
+def packed(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED, piece: int = PIECE) -> DataFrame:
+    """Per piece: doc_id, start, length, ids (binary), doc_tokens, bucket (log2 of the length), sequence_id, offset.
+
+    Fewer words ``remembered`` and a smaller ``piece`` take less memory and more time; the rows are the same.
+    """
     if length < 1 or length & (length - 1):
         raise ValueError("length must be a power of two")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(vocabulary)
-        for batch in pieces(batches, most=1 << 20):
+        t = tokenizer(vocabulary, remembered)
+        for batch in pieces(batches, most=piece):
             docs_, starts, lengths, ids, totals = [], [], [], [], []
             for doc, own in zip(batch.column(0).to_pylist(), t.encode([x or "" for x in batch.column(1).to_pylist()])):
                 own += end

@@ -1,9 +1,13 @@
 import gc
+import itertools
 import weakref
 
 import pyarrow as pa
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
+import corpus_pipeline
 from quarryline.llm import common, exact_dedup, language, near_dedup, packing
 
 BATCH = pa.RecordBatch.from_pydict({"row_id": [1, 2], "doc_id": [1, 2], "text": ["one two three", None]})
@@ -70,3 +74,22 @@ def test_tasks_give_memory_back(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "give_back", lambda: given.append(1))
     monkeypatch.setattr(near_dedup, "_rest", lambda key, table: table)
     assert near_dedup._rest_alone(None, "t") == "t" and len(given) == 3
+
+
+def test_the_pipeline_packs_in_bounded_memory(spark):
+    """Its workers remembered a million words; two of them, beside the JVM that the earlier stages had grown, took over 3000 MB."""
+    words = ["".join(w) for w in itertools.islice(itertools.product("aeiknorst", repeat=5), 0, 59_000)]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    texts.append(texts[0])  # its words have been forgotten by then
+    table = Table(spark)
+    corpus_pipeline.packing(spark, table, "")
+    most, ids = 0, {}
+    for out in table.run(iter([pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})])):
+        (tokenizer,) = common._held.values()
+        most = max(most, len(tokenizer.known))
+        for doc, part in zip(out.column(0).to_pylist(), out.column(3).to_pylist()):
+            ids[doc] = ids.get(doc, b"") + part
+    assert most <= corpus_pipeline.REMEMBERED < len(words)
+    whole = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for i in (0, 1, 60, len(texts) - 2, len(texts) - 1):
+        assert memoryview(ids[i]).cast("I").tolist() == [*whole.encode(texts[i], add_special_tokens=False).ids, 1]
